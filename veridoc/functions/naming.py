@@ -11,8 +11,8 @@ from veridoc.functions.text import casefold, nfc, strip_ws
 # --- fixed values -----------------------------------------------------------
 MAX_NAME = 200
 MAX_DISPLAY = 80
-LOOKALIKES = r"[⁄∕∖⧵⧸﹨／＼]"
-BIDI = r"[‪-‮⁦-⁩‎‏⁪-⁯﻿]"
+LOOKALIKES = r"[\u2044\u2215\u2216\u29f5\u29f8\ufe68\uff0f\uff3c]"
+BIDI = r"[\u202a-\u202e\u2066-\u2069\u200e\u200f\u206a-\u206f\ufeff]"
 RESERVED = r"^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])$"
 UNSAFE_DISPLAY = r"""[\\/:*?"<>|\x00-\x1f\x7f]"""
 # --- end of fixed values ----------------------------------------------------

@@ -49,6 +49,15 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, UNACCENTED = _accent_table()
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    Plain column reuse would be inlined into every use, and inside an array lambda that
+    means once per element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_ws(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

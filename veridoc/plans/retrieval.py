@@ -243,11 +243,12 @@ def vector_topk(t: Tables) -> DataFrame:
     "vector_topk_filtered", "R8,R9",
     f"""WITH {VECTOR_SQL},
 ranked AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
-           FROM vd WHERE label = query_id % 10 QUALIFY rank <= 12)
+           FROM vd JOIN (SELECT vec_id AS query_id, label AS wanted FROM embeddings) USING (query_id)
+           WHERE label = wanted QUALIFY rank <= 12)
 SELECT query_id, id, round(distance, 6) AS distance, rank::INT AS rank FROM ranked""",
 )
 def vector_topk_filtered(t: Tables) -> DataFrame:
-    q = query_vectors(t).withColumn("label", (F.col("query_id") % 10).cast("int"))
+    q = query_vectors(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     vecs = t.embeddings.select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label"
     )
@@ -372,11 +373,18 @@ def context_rows(t: Tables) -> DataFrame:
     )
 
 
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+
+
 @query(
     "cjk_bigrams", "R1",
-    None,
+    f"""WITH w AS (SELECT p_partkey, unnest(string_split(translate(lower(p_name), '{_LATIN}', '{_HAN}'), ' ')) AS run,
+unnest(range(len(string_split(p_name, ' ')))) AS pos FROM part)
+SELECT p_partkey, string_agg(CASE WHEN length(run) = 1 THEN run
+  ELSE array_to_string([substr(run, i, 2) FOR i IN range(1, length(run))], ' ') END, ' ' ORDER BY pos) AS grams
+FROM w GROUP BY p_partkey""",
 )
 def cjk_bigrams(t: Tables) -> DataFrame:
-    return t.documents.select(
-        "doc_id", F.size(tx.cjk_bigram_list(tx.norm_search(F.col("text")))).alias("n_grams")
-    )
+    han = F.translate(F.lower("p_name"), _LATIN, _HAN)
+    return t.part.select("p_partkey", tx.cjk_bigrams(han).alias("grams"))
