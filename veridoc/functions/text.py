@@ -245,11 +245,14 @@ def derive_meta(*texts: Column) -> Column:
 
 def first_wins_map(pairs: Column) -> Column:
     """array<struct<key,value>> -> map, keeping the first value of each key."""
-    keys = F.transform(pairs, lambda p: p["key"])
-    kept = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_arrays(
-        F.transform(kept, lambda p: p["key"]), F.transform(kept, lambda p: p["value"])
-    )
+
+    def kept(ps: Column) -> Column:
+        return let(
+            F.transform(ps, lambda p: p["key"]),
+            lambda keys: F.filter(ps, lambda p, i: F.array_position(keys, p["key"]) == i + 1),
+        )
+
+    return F.map_from_entries(let(pairs, kept))
 
 
 def segment_pairs(c: Column) -> Column:
@@ -257,20 +260,19 @@ def segment_pairs(c: Column) -> Column:
 
     A segment is cut at its first full-width colon, else at its first ASCII colon.
     """
-    segments = F.filter(F.transform(F.split(c, "[；;]"), strip_ws), lambda s: s != "")
 
     def pair(seg: Column) -> Column:
-        sep = F.when(F.contains(seg, F.lit("：")), F.lit("：")).otherwise(F.lit(":"))
-        at = F.instr(seg, sep)
-        return F.when(
-            at > 0,
-            F.struct(
-                strip_ws(F.substring(seg, F.lit(1), at - 1)).alias("key"),
-                strip_ws(F.substring(seg, at + 1, F.length(seg))).alias("value"),
+        at = F.coalesce(F.nullif(F.instr(seg, "："), F.lit(0)), F.instr(seg, ":"))
+        return let(
+            at,
+            lambda i: F.struct(
+                strip_ws(F.substring(seg, F.lit(1), i - 1)).alias("key"),
+                strip_ws(F.substring(seg, i + 1, F.length(seg))).alias("value"),
             ),
         )
 
-    return F.filter(F.transform(segments, pair), lambda p: p.isNotNull())
+    with_colon = F.filter(F.split(c, "[；;]"), lambda s: s.rlike("[：:]"))
+    return F.transform(with_colon, pair)
 
 
 def norm_term(c: Column) -> Column:

@@ -22,6 +22,7 @@ from veridoc.functions.digest import sha256
 MAX_CREDIT = "999.9"
 RECORD_LABELS = ("课程代码", "课程名称", "学分", "课程类别", "状态")
 RULE_LABELS = ("专业名称", "招生年份", "文档版本", "生效日期")
+RULE_FIELDS = ("major", "admission_year", "rule_version", "effective_from")
 CATEGORY_LABELS = ("课程类别", "类别")
 MINIMUM_LABELS = ("最低学分", "最低毕业学分", "最低修读学分", "学分")
 TOTAL_LABEL = "毕业总学分"
@@ -39,8 +40,8 @@ COLUMN_ALIASES = {
     "修读状态": "status", "学期": "semester", "上课时间": "schedule", "时间": "schedule",
 }
 WARNINGS = (
-    "RULE_VERSION_CONFLICT", "TIME_CONFLICT", "CATEGORY_MISMATCH", "RECORD_CONTRADICTION",
-    "COURSE_NOT_IN_RULE", "REQUIRED_COURSE_UNKNOWN",
+    "DEGREE_PLAN_VERSION_CONFLICT", "COURSE_TIME_CONFLICT", "COURSE_CATEGORY_MISMATCH",
+    "COURSE_RECORD_CONTRADICTION", "COURSE_NOT_IN_RULE_CATALOG", "REQUIRED_COURSE_UNKNOWN",
 )
 ITEM_JOINER = "、"
 COURSE_CODE = r"^[A-Za-z]{2,5}-[A-Za-z]{2,5}\d{2,5}$"
@@ -133,19 +134,21 @@ def project_records(blocks: DataFrame) -> DataFrame:
 def labelled_map(c: Column) -> Column:
     """``label: value`` pairs of one text; segments when there are two or more, else a scan."""
     text = F.coalesce(c, F.lit(""))
-    parts = F.filter(F.split(text, "[；;]"), lambda p: tx.strip_ws(p) != "")
+    n_parts = F.size(F.filter(F.split(text, "[；;]"), lambda p: p.rlike(r"(?U)\S")))
     pattern = r"(?U)([^\s：:；;]{1,20})[：:]\s*([^\s：:；;]+)"
-    scan = F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("key"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"),
-        ),
-        lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")),
-    )
-    return tx.let(
-        tx.segment_pairs(text),
-        lambda seg: tx.first_wins_map(F.when((F.size(parts) >= 2) & (F.size(seg) > 0), seg).otherwise(scan)),
-    )
+
+    def scan() -> Column:
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda hit: F.struct(
+                F.regexp_extract(hit, pattern, 1).alias("key"), F.regexp_extract(hit, pattern, 2).alias("value")
+            ),
+        )
+
+    def choose(seg: Column) -> Column:
+        return F.when((n_parts >= 2) & (F.size(seg) > 0), seg).otherwise(scan())
+
+    return tx.first_wins_map(tx.let(tx.segment_pairs(text), choose))
 
 
 def column_positions(headers: DataFrame) -> DataFrame:
@@ -192,40 +195,41 @@ def leading_number(c: Column) -> Column:
 def rule_facts(blocks: DataFrame) -> DataFrame:
     """Blocks (doc_id, block_index, text) with their parsed rule parts.
 
-    Adds ``labels`` (map), ``total``, ``declared`` struct(category, credits) and ``entry``
+    Adds the header labels, ``total``, ``declared`` struct(category, credits) and ``entry``
     struct(code, name, credits, category) for table-shaped catalogue rows. Line-shaped rows
     depend on categories declared earlier: ``line_entries`` resolves them.
     """
-    b = blocks.withColumn("text", tx.strip_ws(F.coalesce("text", F.lit("")))).withColumn("labels", labelled_map(F.col("text")))
-
-    def label(name: str) -> Column:
-        return F.try_element_at("labels", F.lit(name))
-
-    total_line = F.nullif(F.regexp_extract("text", TOTAL_LABEL + r"[：:]\s*(\d+(?:\.\d+)?)\s*学分", 1), F.lit(""))
-    total = F.coalesce(total_line, leading_number(F.coalesce(label(TOTAL_LABEL), F.lit(""))))
-    category = F.coalesce(*[label(x) for x in CATEGORY_LABELS])
-    minimum = leading_number(F.coalesce(*[label(x) for x in MINIMUM_LABELS], F.lit("")))
-    is_entry = (
-        F.nullif(label("课程代码"), F.lit("")).isNotNull() & F.nullif(label("课程名称"), F.lit("")).isNotNull()
-        & F.nullif(label("学分"), F.lit("")).isNotNull() & category.isNotNull()
-    )
-    table_decl = category.isNotNull() & minimum.isNotNull() & (category != "") & (category != TOTAL_LABEL)
     line_pattern = r"(?U)^[·•\-]?\s*([^\s：:；;]{2,12})[：:]\s*(\d+(?:\.\d+)?)\s*学分"
-    line_cat = F.nullif(F.regexp_extract("text", line_pattern, 1), F.lit(""))
-    line_num = F.regexp_extract("text", line_pattern, 2)
-    return b.select(
-        "doc_id", "block_index", "text", "labels", total.alias("total"),
-        F.when(
-            is_entry,
-            F.struct(
-                label("课程代码").alias("code"), label("课程名称").alias("name"), label("学分").alias("credits"), category.alias("category")
-            ),
-        ).alias("entry"),
-        F.when(is_entry, None)
-        .when(table_decl, F.struct(category.alias("category"), minimum.alias("credits")))
-        .when(line_cat.isNotNull() & (line_cat != TOTAL_LABEL), F.struct(line_cat.alias("category"), line_num.alias("credits")))
-        .alias("declared"),
-    )
+    body = tx.strip_ws(F.coalesce("text", F.lit("")))
+
+    def parts(text: Column, labels: Column) -> Column:
+        def label(name: str) -> Column:
+            return F.try_element_at(labels, F.lit(name))
+
+        total_line = F.regexp_extract(text, TOTAL_LABEL + r"[：:]\s*(\d+(?:\.\d+)?)\s*学分", 1)
+        category = F.coalesce(*[label(x) for x in CATEGORY_LABELS])
+        minimum = leading_number(F.coalesce(*[label(x) for x in MINIMUM_LABELS], F.lit("")))
+        fields = [F.nullif(label(x), F.lit("")) for x in ("课程代码", "课程名称", "学分")]
+        is_entry = fields[0].isNotNull() & fields[1].isNotNull() & fields[2].isNotNull() & category.isNotNull()
+        line_cat = F.regexp_extract(text, line_pattern, 1)
+        table_decl = minimum.isNotNull() & (category != "") & (category != TOTAL_LABEL)
+        declared = F.when(table_decl, F.struct(category.alias("category"), minimum.alias("credits"))).when(
+            (line_cat != "") & (line_cat != TOTAL_LABEL),
+            F.struct(line_cat.alias("category"), F.regexp_extract(text, line_pattern, 2).alias("credits")),
+        )
+        entry = F.struct(
+            fields[0].alias("code"), fields[1].alias("name"), fields[2].alias("credits"), category.alias("category")
+        )
+        return F.struct(
+            text.alias("text"),
+            *[F.nullif(label(x), F.lit("")).alias(n) for x, n in zip(RULE_LABELS, RULE_FIELDS)],
+            F.coalesce(F.nullif(total_line, F.lit("")), leading_number(F.coalesce(label(TOTAL_LABEL), F.lit("")))).alias("total"),
+            F.when(is_entry, entry).alias("entry"),
+            F.when(~is_entry, declared).alias("declared"),
+        )
+
+    parsed = tx.let(body, lambda text: tx.let(labelled_map(text), lambda labels: parts(text, labels)))
+    return blocks.select("doc_id", "block_index", parsed.alias("f")).select("doc_id", "block_index", "f.*")
 
 
 def line_entries(facts: DataFrame) -> DataFrame:
@@ -259,18 +263,12 @@ def project_rules(blocks: DataFrame) -> dict[str, DataFrame]:
     Identical repeats are warnings, contradicting repeats and undeclared categories errors.
     """
     facts = rule_facts(blocks)
-    header_aggs = [
-        F.min_by(
-            F.try_element_at("labels", F.lit(x)),
-            F.when(F.coalesce(F.try_element_at("labels", F.lit(x)), F.lit("")) != "", F.col("block_index")),
-        ).alias(name)
-        for x, name in zip(RULE_LABELS, ("major", "admission_year", "rule_version", "effective_from"))
-    ]
-    header = facts.groupBy("doc_id").agg(
-        *header_aggs,
-        F.min_by("total", F.when(F.col("total").isNotNull(), F.col("block_index"))).alias("required_credits"),
-    ).withColumn("admission_year", F.regexp_extract("admission_year", r"(\d{4})", 1).try_cast("int")).withColumn(
-        "required_credits", F.col("required_credits").try_cast(CREDIT)
+    def first(name: str) -> Column:
+        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("block_index"))).alias(name)
+
+    header = facts.groupBy("doc_id").agg(*[first(x) for x in RULE_FIELDS], first("total")).select(
+        "doc_id", "major", F.regexp_extract("admission_year", r"(\d{4})", 1).try_cast("int").alias("admission_year"),
+        "rule_version", "effective_from", F.col("total").try_cast(CREDIT).alias("required_credits"),
     )
     lines = line_entries(facts)
     table_entries = facts.where("entry IS NOT NULL").select("doc_id", "block_index", "entry")
@@ -459,9 +457,21 @@ def warning_items(
     out = rows(versions, WARNINGS[0], F.col("v"))
     if time_items is not None:
         out = out.unionByName(rows(time_items.join(pairs, "set_id"), WARNINGS[1], F.col("item")))
-    out = out.unionByName(rows(credited.where("mismatch"), WARNINGS[2], F.col("course_code")))
-    out = out.unionByName(rows(credited.where("contradictory"), WARNINGS[3], F.col("course_code")))
-    out = out.unionByName(rows(credited.where("unlisted"), WARNINGS[4], F.col("course_code")))
+    # the three course flags leave the credited rows in one pass
+    flags = F.filter(
+        F.array(
+            *[
+                F.when(F.col(flag), F.lit(WARNINGS[i]))
+                for flag, i in (("mismatch", 2), ("contradictory", 3), ("unlisted", 4))
+            ]
+        ),
+        lambda x: x.isNotNull(),
+    )
+    flagged = credited.where("mismatch OR contradictory OR unlisted").select(*KEY, F.explode(flags).alias("code"), "course_code")
+    order = F.create_map(*[F.lit(x) for i, w in enumerate(WARNINGS) for x in (w, i)])
+    out = out.unionByName(
+        flagged.select(*KEY, F.element_at(order, F.col("code")).alias("ordinal"), "code", F.col("course_code").alias("item"))
+    )
     return out.unionByName(rows(missing.where("unknown").distinct(), WARNINGS[5], F.col("course_code"))).distinct()
 
 

@@ -60,11 +60,11 @@ mis AS (SELECT pairs.set_id, pairs.rule_set_id, req.ordinal, req.position, req.c
   FROM pairs JOIN req USING (rule_set_id) LEFT JOIN cat ON cat.rule_set_id = req.rule_set_id AND cat.code = req.code
   WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.set_id = pairs.set_id AND res.code = req.code AND state <> 'failed')),
 wi AS (SELECT DISTINCT * FROM (
-  SELECT set_id, p.rule_set_id, 0 AS ordinal, 'RULE_VERSION_CONFLICT' AS code, b.rule_version AS item FROM pairs p JOIN rs a USING (rule_set_id)
+  SELECT set_id, p.rule_set_id, 0 AS ordinal, 'DEGREE_PLAN_VERSION_CONFLICT' AS code, b.rule_version AS item FROM pairs p JOIN rs a USING (rule_set_id)
     JOIN rs b ON a.major = b.major AND a.rule_version <> b.rule_version
-  UNION ALL SELECT set_id, rule_set_id, 2, 'CATEGORY_MISMATCH', code FROM cr WHERE mismatch
-  UNION ALL SELECT set_id, rule_set_id, 3, 'RECORD_CONTRADICTION', code FROM cr WHERE contradictory
-  UNION ALL SELECT set_id, rule_set_id, 4, 'COURSE_NOT_IN_RULE', code FROM cr WHERE unlisted
+  UNION ALL SELECT set_id, rule_set_id, 2, 'COURSE_CATEGORY_MISMATCH', code FROM cr WHERE mismatch
+  UNION ALL SELECT set_id, rule_set_id, 3, 'COURSE_RECORD_CONTRADICTION', code FROM cr WHERE contradictory
+  UNION ALL SELECT set_id, rule_set_id, 4, 'COURSE_NOT_IN_RULE_CATALOG', code FROM cr WHERE unlisted
   UNION ALL SELECT set_id, rule_set_id, 5, 'REQUIRED_COURSE_UNKNOWN', code FROM mis WHERE unknown))"""
 
 
@@ -191,9 +191,9 @@ def plan_warning_items(t: Tables) -> DataFrame:
     "plan_warning_evidence", "A25",
     f"""WITH {AUDIT_SQL}, w AS (SELECT DISTINCT set_id, rule_set_id, code FROM wi),
 ev AS (SELECT DISTINCT * FROM (SELECT w.set_id, w.rule_set_id, w.code, 'order-' || o_orderkey AS chunk_id FROM w JOIN orders ON o_custkey = w.set_id
-   WHERE code IN ('CATEGORY_MISMATCH', 'RECORD_CONTRADICTION', 'COURSE_NOT_IN_RULE')
+   WHERE code IN ('COURSE_CATEGORY_MISMATCH', 'COURSE_RECORD_CONTRADICTION', 'COURSE_NOT_IN_RULE_CATALOG')
  UNION ALL SELECT set_id, w.rule_set_id, w.code, 'cat-' || w.rule_set_id || '-' || category FROM w JOIN cats USING (rule_set_id) WHERE w.code = 'REQUIRED_COURSE_UNKNOWN'
- UNION ALL SELECT set_id, rule_set_id, code, 'head-' || rule_set_id FROM w WHERE code = 'RULE_VERSION_CONFLICT'))
+ UNION ALL SELECT set_id, rule_set_id, code, 'head-' || rule_set_id FROM w WHERE code = 'DEGREE_PLAN_VERSION_CONFLICT'))
 SELECT rule_set_id, code, count(*) AS n_links, count(DISTINCT chunk_id) AS n_chunks FROM ev GROUP BY ALL""",
 )
 def plan_warning_evidence(t: Tables) -> DataFrame:
@@ -257,7 +257,7 @@ def plan_invariants(t: Tables) -> DataFrame:
 
 @query(
     "plan_diff", "A28",
-    f"""WITH {AUDIT_SQL}, full_ AS (SELECT set_id, rule_version, required, completed, in_progress, remaining,
+    f"""WITH {AUDIT_SQL}, full_ AS (SELECT set_id, rule_version, tot.required, completed, in_progress, remaining,
   (SELECT string_agg(code || name || credits || category, ',' ORDER BY ordinal, position) FROM mis WHERE mis.set_id = tot.set_id AND mis.rule_set_id = tot.rule_set_id) AS missing,
   (SELECT string_agg(ordinal || ':' || required || ':' || completed || ':' || in_progress || ':' || remaining, ',' ORDER BY ordinal) FROM gap WHERE gap.set_id = tot.set_id AND gap.rule_set_id = tot.rule_set_id) AS gaps,
   coalesce((SELECT string_agg(code, ',' ORDER BY ordinal) || ',' FROM (SELECT DISTINCT set_id, rule_set_id, ordinal, code FROM wi) w WHERE w.set_id = tot.set_id AND w.rule_set_id = tot.rule_set_id), '') AS codes
