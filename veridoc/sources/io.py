@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridoc.functions import jsonx as jx
+from veridoc.functions import text as tx
 from veridoc.functions.digest import sha256
 
 # --- fixed values -----------------------------------------------------------
@@ -132,24 +134,28 @@ def parse_cases(lines: DataFrame, value: str = "value") -> DataFrame:
     def blank(field: str) -> Column:
         return F.coalesce(F.trim(F.col(f"c.{field}")), F.lit("")) == ""
 
-    def shape(field: str) -> Column:
-        """First character of the raw JSON value: ``"``, ``[``, ``t``, ``f``; null when absent."""
-        variant = F.try_parse_json(raw)
-        return F.schema_of_variant(F.try_variant_get(variant, f"$.{field}", "variant"))
+    # types come from the raw JSON, read once per line
+    def shapes(v: Column) -> Column:
+        return F.struct(
+            v.isNull().alias("unreadable"), jx.is_object(v).alias("is_object"),
+            jx.kind(jx.member(v, "$.id")).alias("id"), jx.is_list(jx.member(v, "$.expected_source_paths")).alias("paths"),
+            jx.kind(jx.member(v, "$.should_refuse")).alias("refuse"),
+        )
 
+    parsed = parsed.withColumn("_s", tx.let(jx.strict_json(raw), shapes))
     paths = F.col("c.expected_source_paths")
     problem = (
-        F.when(F.try_parse_json(raw).isNull(), "not_json")
-        .when(~raw.rlike(r"^\s*\{"), "not_object")
-        .when(blank("id") | (shape("id") != "STRING"), "bad_id")
+        F.when(F.col("_s.unreadable"), "not_json")
+        .when(~F.col("_s.is_object"), "not_object")
+        .when(blank("id") | (F.col("_s.id") != "STRING"), "bad_id")
         .when(blank("category"), "bad_category")
         .when(blank("question"), "bad_question")
         .when(
-            ~F.coalesce(F.startswith(shape("expected_source_paths"), F.lit("ARRAY")), F.lit(False))
+            ~F.col("_s.paths")
             | F.coalesce(F.exists(paths, lambda p: F.coalesce(F.trim(p), F.lit("")) == ""), F.lit(False)),
             "bad_expected_source_paths",
         )
-        .when(F.coalesce(shape("should_refuse"), F.lit("")) != "BOOLEAN", "bad_should_refuse")
+        .when(F.col("_s.refuse") != "BOOLEAN", "bad_should_refuse")
     )
     checked = parsed.select("line_no", "c.*", problem.alias("problem")).drop("_corrupt")
     copies = checked.where("problem IS NULL").groupBy(F.trim("id").alias("_id")).agg(F.min("line_no").alias("_first"))
