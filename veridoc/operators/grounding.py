@@ -27,7 +27,7 @@ REFUSAL_TEXT = {
 }
 MARKER = r"\[(\d{1,3})\]"
 FACT_KEYS = ("answer_expresses", "evidence_indices", "evidence_supports", "fact_index")
-VERDICTS = ("supported", "partial", "unsupported")
+VERDICTS = ("supported", "partially_supported", "unsupported")
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -258,7 +258,7 @@ def audit_judge(df: DataFrame) -> DataFrame:
         )
         derived = (
             F.when(F.forall(f["supported"], lambda x: x), "supported")
-            .when(F.exists(f["supported"], lambda x: x), "partial").otherwise("unsupported")
+            .when(F.exists(f["supported"], lambda x: x), "partially_supported").otherwise("unsupported")
         )
         return tx.let(reason, lambda r: F.struct(r.alias("reason"), F.when(r.isNull(), derived).alias("verdict")))
 

@@ -304,7 +304,7 @@ def outcome_rewrite(t: Tables) -> DataFrame:
 JUDGE_KIND = """CASE m WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_object' WHEN 3 THEN CASE s WHEN 'F' THEN 'extra_keys' WHEN 'O' THEN 'missing_keys' ELSE 'bad_fact_results' END
  WHEN 4 THEN CASE s WHEN 'F' THEN 'bad_fact_result_item' WHEN 'O' THEN 'extra_fact_keys' ELSE 'missing_fact_keys' END WHEN 5 THEN CASE s WHEN 'F' THEN 'bad_fact_index' WHEN 'O' THEN 'duplicate_fact' ELSE 'fact_coverage' END
  WHEN 6 THEN CASE s WHEN 'F' THEN 'bad_bool' WHEN 'O' THEN 'bad_evidence_indices' ELSE 'evidence_out_of_range' END WHEN 7 THEN CASE s WHEN 'F' THEN 'duplicate_evidence_index' WHEN 'O' THEN 'supported_without_evidence' ELSE 'unsupported_with_evidence' END
- WHEN 8 THEN CASE s WHEN 'F' THEN 'bad_verdict' WHEN 'O' THEN 'no_facts' ELSE 'partial' END WHEN 9 THEN 'unsupported' ELSE 'supported' END"""
+ WHEN 8 THEN CASE s WHEN 'F' THEN 'bad_verdict' WHEN 'O' THEN 'no_facts' ELSE 'partially_supported' END WHEN 9 THEN 'unsupported' ELSE 'supported' END"""
 
 
 def judge_outputs(t: Tables) -> DataFrame:
@@ -330,8 +330,8 @@ def judge_outputs(t: Tables) -> DataFrame:
         F.when(k == "missing_fact_keys", '{"fact_index":1').otherwise(one), F.when(k == "extra_fact_keys", ',"note":1').otherwise(""), F.lit("}")
     )
     two = F.concat(
-        fact(F.when(k == "duplicate_fact", "1").otherwise("2"), F.lit("true"), F.when(k.isin("unsupported", "partial"), "false").otherwise("true"),
-             F.when(k.isin("unsupported", "partial"), "[]").otherwise("[3]")), F.lit("}"),
+        fact(F.when(k == "duplicate_fact", "1").otherwise("2"), F.lit("true"), F.when(k.isin("unsupported", "partially_supported"), "false").otherwise("true"),
+             F.when(k.isin("unsupported", "partially_supported"), "[]").otherwise("[3]")), F.lit("}"),
     )
     items = (
         F.when(k == "bad_fact_result_item", "[1]").when(k == "bad_fact_results", "[]").when(k == "fact_coverage", F.concat(F.lit("["), one, F.lit("]")))
@@ -351,7 +351,7 @@ def judge_outputs(t: Tables) -> DataFrame:
 @query(
     "judge_audit", "E30",
     f"""WITH j AS (SELECT o_orderkey AS case_id, {JUDGE_KIND} AS kind FROM (SELECT *, month(o_orderdate) AS m, o_orderstatus AS s FROM orders))
-SELECT case_id, kind, CASE WHEN kind NOT IN ('supported', 'partial', 'unsupported') THEN kind END AS reason, CASE WHEN kind IN ('supported', 'partial', 'unsupported') THEN kind END AS verdict FROM j""",
+SELECT case_id, kind, CASE WHEN kind NOT IN ('supported', 'partially_supported', 'unsupported') THEN kind END AS reason, CASE WHEN kind IN ('supported', 'partially_supported', 'unsupported') THEN kind END AS verdict FROM j""",
 )
 def judge_audit(t: Tables) -> DataFrame:
     return gr.audit_judge(judge_outputs(t)).select("case_id", "kind", "reason", "verdict")
