@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veridoc.functions.text import let
+
 
 def strict_json(text: Column) -> Column:
     """Variant of a text that is exactly one JSON value; null otherwise.
@@ -12,10 +14,14 @@ def strict_json(text: Column) -> Column:
     The parser stops after the first value, so the text is also read inside an array and
     inside an object: trailing characters break one of the two.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
-    single = F.size(F.try_variant_get(in_list, "$", "array<variant>")) == 1
-    return F.when(single & in_object.isNotNull(), F.try_variant_get(in_list, "$[0]", "variant"))
+
+    def read(x: Column) -> Column:
+        in_list = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        in_object = F.try_parse_json(F.concat(F.lit('{"a":'), x, F.lit("}")))
+        single = F.size(F.try_variant_get(in_list, "$", "array<variant>")) == 1
+        return F.when(single & in_object.isNotNull(), F.try_variant_get(in_list, "$[0]", "variant"))
+
+    return let(text, read)
 
 
 def kind(v: Column) -> Column:

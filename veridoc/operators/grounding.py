@@ -75,10 +75,12 @@ def assemble_turns(turns: DataFrame) -> DataFrame:
 
 def strip_fence(raw: Column) -> Column:
     """One surrounding code fence, with or without a json tag, is tolerated."""
-    text = tx.strip_ws(F.coalesce(raw, F.lit("")))
-    inner = tx.strip_ws(F.regexp_replace(F.substring(text, F.lit(4), F.length(text)), r"^(?i)json", ""))
-    inner = tx.strip_ws(F.regexp_replace(inner, r"```\z", ""))
-    return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+    def bare(text: Column) -> Column:
+        inner = tx.strip_ws(F.regexp_replace(F.substring(text, F.lit(4), F.length(text)), r"^(?i)json", ""))
+        inner = tx.strip_ws(F.regexp_replace(inner, r"```\z", ""))
+        return F.when(F.startswith(text, F.lit("```")), inner).otherwise(text)
+
+    return tx.let(tx.strip_ws(F.coalesce(raw, F.lit(""))), bare)
 
 
 def _first(problems: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
@@ -309,7 +309,7 @@ def status_normalise(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag", "l_linestatus", au.norm_status(raw).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _record_text(f: dict) -> F.Column:
+def _record_text(f: dict) -> Column:
     parts = []
     for i, (label, value) in enumerate(f.items()):
         parts += [F.lit(("；" if i else "") + label + ": "), value]
@@ -379,7 +379,7 @@ def rule_blocks(t: Tables) -> DataFrame:
     doc = F.col("p_brand").alias("doc_id")
     brands = t.part.select("p_brand").distinct()
 
-    def fixed(no: int, text) -> F.Column:
+    def fixed(no: int, text) -> Column:
         return F.struct(F.lit(no).cast("bigint").alias("block_index"), text.alias("text"))
 
     heads = [

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridoc.functions import text as tx
 from veridoc.functions.digest import sha256
 from veridoc.operators import conflicts as cf
 from veridoc.operators import grounding as gr
@@ -214,11 +215,13 @@ KIND_SQL = """CASE WHEN m = 1 THEN 'not_json' WHEN m = 2 THEN 'not_object' WHEN
 
 def completions(t: Tables) -> DataFrame:
     """Raw model answers rendered from orders; the kind column says what was put in."""
-    k = F.col("kind")
-    o = t.orders.select(
-        F.col("o_orderkey").alias("query_id"), "o_custkey",
-        F.expr(KIND_SQL.replace("m =", "month(o_orderdate) =").replace("AND p =", "AND o_orderpriority =").replace("AND s =", "AND o_orderstatus =")).alias("kind"),
+    kind = F.expr(KIND_SQL.replace("m =", "month(o_orderdate) =").replace("AND p =", "AND o_orderpriority =").replace("AND s =", "AND o_orderstatus ="))
+    return t.orders.select(F.col("o_orderkey").alias("query_id"), "o_custkey", tx.let(kind, render_completion).alias("c")).select(
+        "query_id", "o_custkey", "c.*", F.lit(5).alias("evidence_count")
     )
+
+
+def render_completion(k: Column) -> Column:
     outcome = (
         F.when(k == "bad_outcome", '"maybe"').when(k.isin("conflict_without_server_evidence", "conflict"), '"conflict"')
         .when(k.isin("refused", "refused_with_citations"), '"refused"').otherwise('"answered"')
@@ -245,7 +248,7 @@ def completions(t: Tables) -> DataFrame:
         .when(k == "answered", F.concat(F.lit("```JSON\n"), body, F.lit("\n```"))).otherwise(body)
     )
     required = F.when(k == "conflict", F.array(F.lit(1))).when(k == "missing_required_citation", F.array(F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return o.select("query_id", "o_custkey", "kind", raw.alias("raw"), F.lit(5).alias("evidence_count"), required.cast("array<bigint>").alias("required_indices"))
+    return F.struct(k.alias("kind"), raw.alias("raw"), required.cast("array<bigint>").alias("required_indices"))
 
 
 _COMP_SQL = f"""comp AS (SELECT o_orderkey AS query_id, o_custkey, {KIND_SQL} AS kind FROM (SELECT *, month(o_orderdate) AS m, o_orderpriority AS p, o_orderstatus AS s FROM orders)),
@@ -308,13 +311,14 @@ JUDGE_KIND = """CASE m WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_object' WHEN 3 TH
 
 
 def judge_outputs(t: Tables) -> DataFrame:
-    k = F.col("kind")
-    o = t.orders.select(
-        F.col("o_orderkey").alias("case_id"),
-        F.expr(JUDGE_KIND.replace("CASE m", "CASE month(o_orderdate)").replace("CASE s", "CASE o_orderstatus")).alias("kind"),
+    kind = F.expr(JUDGE_KIND.replace("CASE m", "CASE month(o_orderdate)").replace("CASE s", "CASE o_orderstatus"))
+    return t.orders.select(F.col("o_orderkey").alias("case_id"), tx.let(kind, render_judgement).alias("c")).select(
+        "case_id", "c.*", F.lit(3).alias("evidence_count")
     )
 
-    def fact(index, expresses, supports, ids) -> F.Column:
+
+def render_judgement(k: Column) -> Column:
+    def fact(index, expresses, supports, ids) -> Column:
         return F.concat(
             F.lit('{"fact_index":'), index, F.lit(',"answer_expresses":'), expresses, F.lit(',"evidence_supports":'), supports,
             F.lit(',"evidence_indices":'), ids,
@@ -345,7 +349,7 @@ def judge_outputs(t: Tables) -> DataFrame:
             )
         )
     )
-    return o.select("case_id", "kind", raw.alias("raw"), F.when(k == "no_facts", 0).otherwise(2).alias("fact_count"), F.lit(3).alias("evidence_count"))
+    return F.struct(k.alias("kind"), raw.alias("raw"), F.when(k == "no_facts", 0).otherwise(2).alias("fact_count"))
 
 
 @query(
