@@ -298,20 +298,24 @@ def parse_slot(c: Column) -> Column:
     def num(pattern: str, group: int) -> Column:
         return F.regexp_extract(c, pattern, group).try_cast("int")
 
-    day = F.nullif(F.regexp_extract(c, "星期([一二三四五六日天])", 1), F.lit(""))
-    p1, p2 = num(period, 1), num(period, 2)
-    c1 = num(clock, 1) * 60 + num(clock, 2)
-    c2 = num(clock, 3) * 60 + num(clock, 4)
-
-    def slot(unit: str, start: Column, end: Column) -> Column:
-        return F.struct(
-            day.alias("weekday"), F.lit(unit).alias("unit"), start.alias("start"), end.alias("end")
+    read = F.struct(
+        F.nullif(F.regexp_extract(c, "星期([一二三四五六日天])", 1), F.lit("")).alias("day"),
+        num(period, 1).alias("p1"), num(period, 2).alias("p2"),
+        (num(clock, 1) * 60 + num(clock, 2)).alias("c1"), (num(clock, 3) * 60 + num(clock, 4)).alias("c2"),
+    )
+
+    def choose(r: Column) -> Column:
+        def slot(unit: str, start: str, end: str) -> Column:
+            return F.struct(
+                r["day"].alias("weekday"), F.lit(unit).alias("unit"), r[start].alias("start"), r[end].alias("end")
+            )
+
+        return F.when(
+            r["day"].isNotNull(),
+            F.when(r["p1"] <= r["p2"], slot("period", "p1", "p2")).when(r["c1"] <= r["c2"], slot("clock", "c1", "c2")),
         )
 
-    return F.when(
-        day.isNotNull(),
-        F.when(p1 <= p2, slot("period", p1, p2)).when(c1 <= c2, slot("clock", c1, c2)),
-    )
+    return let(read, choose)
 
 
 # --- anchors ----------------------------------------------------------------

@@ -14,6 +14,7 @@ from veridoc.functions.digest import sha256, short_digest
 from veridoc.operators.grounding import REFUSAL_TEXT
 
 # --- fixed values -----------------------------------------------------------
+STAGES = ("dense", "keyword", "fused", "final")
 TOP_K = 5
 CANDIDATE_K = 20
 MIN_RECALL = 0.85
@@ -43,31 +44,31 @@ def select_cases(cases: DataFrame) -> DataFrame:
 
 
 def canonical_ranks(hits: DataFrame, expected: DataFrame, version: str) -> DataFrame:
-    """Hits (query_id, rank, source_key, file_name) -> (query_id, source, rank) without repeats.
+    """Hits (stage, query_id, rank, source_key, file_name) -> (stage, query_id, source, rank) without repeats.
 
     A hit equal to ``version:path`` or to the path's file name becomes the first such
     expected path; other hits keep their identity. Ranks are renumbered after the repeats go.
     """
+    key = ["stage", "query_id"]
     e = expected.select("query_id", "path", "pos")
     match = (F.col("source_key") == F.concat_ws(":", F.lit(version), "path")) | (F.col("file_name") == tx.base_name(F.col("path")))
-    named = hits.join(e, "query_id", "left").groupBy("query_id", "rank").agg(
+    named = hits.join(e, "query_id", "left").groupBy(*key, "rank").agg(
         F.min_by("path", F.when(match, F.col("pos"))).alias("path"),
         F.first(F.coalesce(F.nullif("source_key", F.lit("")), "file_name")).alias("identity"),
     )
-    best = named.groupBy("query_id", F.coalesce("path", "identity").alias("source")).agg(F.min("rank").alias("rank"))
-    w = Window.partitionBy("query_id").orderBy("rank")
+    best = named.groupBy(*key, F.coalesce("path", "identity").alias("source")).agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy(*key).orderBy("rank")
     return best.withColumn("rank", F.row_number().over(w))
 
 
 # --- per-case metrics (E4-E8) --------------------------------------------------------
 
-def recall_and_rr(expected: DataFrame, ranks: DataFrame, k: int, prefix: str) -> DataFrame:
-    """Per query: recall within the first k distinct sources and reciprocal rank of the first hit."""
-    j = expected.select("query_id", F.col("path").alias("source")).distinct().join(ranks, ["query_id", "source"], "left")
-    return j.groupBy("query_id").agg(
-        (F.count_if(F.col("rank") <= k) / F.count(F.lit(1))).alias(f"{prefix}_recall"),
-        F.coalesce(F.lit(1.0) / F.min("rank"), F.lit(0.0)).alias(f"{prefix}_rr"),
+def expected_ranks(expected: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Per expected source its rank in every stage (null where it is absent), one row each."""
+    flat = ranks.groupBy("query_id", "source").agg(
+        *[F.min(F.when(F.col("stage") == s, F.col("rank"))).alias(f"{s}_rank") for s in STAGES]
     )
+    return expected.select("query_id", F.col("path").alias("source")).distinct().join(flat, ["query_id", "source"], "left")
 
 
 def classify_stage(indexed: Column, in_dense: Column, in_keyword: Column, fused: Column, final: Column, k: int = TOP_K) -> Column:
@@ -82,12 +83,10 @@ def classify_stage(indexed: Column, in_dense: Column, in_keyword: Column, fused:
     )
 
 
-def source_stages(expected: DataFrame, stages: dict[str, DataFrame], indexed: DataFrame, k: int = TOP_K) -> DataFrame:
+def source_stages(expected: DataFrame, ranks: DataFrame, indexed: DataFrame, k: int = TOP_K) -> DataFrame:
     """Per expected source its rank in dense / keyword / fused / final and the stage label."""
-    out = expected.select("query_id", F.col("path").alias("source")).distinct()
-    for name in ("dense", "keyword", "fused", "final"):
-        out = out.join(stages[name].withColumnRenamed("rank", f"{name}_rank"), ["query_id", "source"], "left")
-    out = out.join(indexed.select("source").distinct().withColumn("_ix", F.lit(True)), "source", "left")
+    known = indexed.select("source").distinct().withColumn("_ix", F.lit(True))
+    out = expected_ranks(expected, ranks).join(known, "source", "left")
     stage = classify_stage(
         F.coalesce("_ix", F.lit(False)), F.col("dense_rank").isNotNull(), F.col("keyword_rank").isNotNull(),
         F.col("fused_rank"), F.when(F.col("final_rank") <= k, F.col("final_rank")), k,
@@ -95,13 +94,23 @@ def source_stages(expected: DataFrame, stages: dict[str, DataFrame], indexed: Da
     return out.withColumn("stage", stage).drop("_ix")
 
 
-def evaluate(expected: DataFrame, stages: dict[str, DataFrame], k: int = TOP_K, candidate_k: int = CANDIDATE_K) -> DataFrame:
-    """Per case: final, fusion and candidate recall, two reciprocal ranks and the full-hit flag."""
-    cut = stages["final"].where(F.col("rank") <= k)
-    final = recall_and_rr(expected, cut, k, "final")
-    fusion = recall_and_rr(expected, stages["fused"], k, "fusion")
-    cand = recall_and_rr(expected, stages["fused"], candidate_k, "candidate").drop("candidate_rr")
-    return final.join(fusion, "query_id").join(cand, "query_id").withColumn("hit", F.col("final_recall") >= 1.0)
+def evaluate(expected: DataFrame, ranks: DataFrame, k: int = TOP_K, candidate_k: int = CANDIDATE_K) -> DataFrame:
+    """Per case: final, fusion and candidate recall, two reciprocal ranks and the full-hit flag.
+
+    Recall is the share of expected sources within the first k distinct ones; a reciprocal
+    rank is 0 where none was found. All of it comes from one aggregate per case.
+    """
+    def recall(rank: str, limit: int, name: str) -> Column:
+        return (F.count_if(F.col(rank) <= limit) / F.count(F.lit(1))).alias(name)
+
+    def rr(rank: Column, name: str) -> Column:
+        return F.coalesce(F.lit(1.0) / F.min(rank), F.lit(0.0)).alias(name)
+
+    return expected_ranks(expected, ranks).groupBy("query_id").agg(
+        recall("final_rank", k, "final_recall"), rr(F.when(F.col("final_rank") <= k, F.col("final_rank")), "final_rr"),
+        recall("fused_rank", k, "fusion_recall"), rr(F.col("fused_rank"), "fusion_rr"),
+        recall("fused_rank", candidate_k, "candidate_recall"),
+    ).withColumn("hit", F.col("final_recall") >= 1.0)
 
 
 # --- aggregates and gates (E6, E9, E10) -------------------------------------------------
@@ -247,10 +256,13 @@ def degradation_summary(cases: DataFrame, flag: str, reason: str, id_col: str) -
 
 def section_match(expected: Column, actual: Column) -> Column:
     """Equal paths, or a leaf title equal to any segment below the root."""
-    e, a = tx.norm_section(expected), tx.norm_section(actual)
-    segs = F.split(a, " > ")
-    inner = F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 1, F.lit(0)))
-    return (e != "") & (a != "") & ((e == a) | (~F.contains(e, F.lit(">")) & F.array_contains(inner, e)))
+    def compare(p: Column) -> Column:
+        e, a = p["e"], p["a"]
+        segs = F.split(a, " > ")
+        inner = F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 1, F.lit(0)))
+        return (e != "") & (a != "") & ((e == a) | (~F.contains(e, F.lit(">")) & F.array_contains(inner, e)))
+
+    return tx.let(F.struct(tx.norm_section(expected).alias("e"), tx.norm_section(actual).alias("a")), compare)
 
 
 def locator_failed_fields(expected: Column, actual: Column) -> Column:

@@ -93,6 +93,22 @@ def rerank_merge(
     )
 
 
+def with_final_rank(cand: DataFrame, score: str = "rerank_score", top_k: int = RERANK_OUTPUT) -> DataFrame:
+    """All fused rows with the rank the reranked output gives them; null outside it.
+
+    Every row of the first 20 must carry its score. One small window per query, no second
+    pass over the candidates.
+    """
+    inside = F.col("fused_rank") <= RERANK_INPUT
+    order = Window.partitionBy("query_id").orderBy(
+        F.when(inside, 0).otherwise(1), F.when(inside, F.col(score)).desc(), F.col("fused_score").desc(), "id"
+    )
+    position = F.row_number().over(order)
+    return cand.withColumn("_p", position).withColumn(
+        "final_rank", F.when(inside & (F.col("_p") <= top_k), F.col("_p"))
+    ).drop("_p")
+
+
 def hash_scores(candidates: DataFrame, query_text: str, text: str) -> DataFrame:
     return candidates.select(
         "query_id", "id", hash_score(F.col(query_text), F.col(text)).alias("rerank_score")

@@ -119,8 +119,8 @@ def _weight(n, avgdl):
 
 def keyword_matches(tokens: DataFrame, plan: DataFrame) -> DataFrame:
     """All matching (query_id, id, score, mode): AND hits where the query has any, else OR hits."""
-    n = index_stats(tokens).select("n").scalar()
-    avgdl = index_stats(tokens).select("avgdl").scalar()
+    stats = index_stats(tokens).select(F.struct("n", "avgdl").alias("s")).scalar()
+    n, avgdl = stats["n"], stats["avgdl"]
     wanted = plan.select(F.col("token").alias("term")).distinct()
     postings = (
         tokens.select("id", "dl", F.explode("tokens").alias("term"))
@@ -153,8 +153,8 @@ def keyword_matches(tokens: DataFrame, plan: DataFrame) -> DataFrame:
 
 def bm25_scores(tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
     """(query_id, id, score) for any shared token; ``query_tokens`` is (query_id, token), repeats count."""
-    n = index_stats(tokens).select("n").scalar()
-    avgdl = index_stats(tokens).select("avgdl").scalar()
+    stats = index_stats(tokens).select(F.struct("n", "avgdl").alias("s")).scalar()
+    n, avgdl = stats["n"], stats["avgdl"]
     q = query_tokens.groupBy("query_id", F.col("token").alias("term")).agg(
         F.count(F.lit(1)).alias("mult")
     )

@@ -326,7 +326,7 @@ SELECT set_id, CASE WHEN set_id % 10 = 0 THEN 'missing_columns' ELSE set_error E
 FROM s JOIN (SELECT set_id, sum(CASE WHEN row_error = 'missing_label' THEN NULL ELSE round(l_quantity / 10, 1)::DECIMAL(10,4) END) AS total FROM r GROUP BY set_id) USING (set_id)""",
 )
 def project_records(t: Tables) -> DataFrame:
-    li = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("set_id")), "l_orderkey")
+    li = t.wide("lineitem").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("set_id")), "l_orderkey")
     heavy = F.col("l_tax") >= 0.08
     status = (
         F.when(heavy & (F.col("l_quantity") == 50), "?").when(F.col("l_returnflag") == "A", "通过")
@@ -502,7 +502,7 @@ _DAY = "(['一','二','三','四','五','六','日'])[isodow(ts)]"
 
 def slot_records(t: Tables, unit: str) -> DataFrame:
     """Events as in-progress records of a user; schedule and term are rendered as text."""
-    e = t.events
+    e = t.wide("events")
     day = F.element_at(F.array(*[F.lit(x) for x in "一二三四五六日"]), (F.weekday("ts") + 1))
     minute = F.hour("ts") * 60 + F.minute("ts")
     stop = F.least(minute + 1 + (F.floor("value") % 120).cast("int"), F.lit(1439))

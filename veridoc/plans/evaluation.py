@@ -44,7 +44,7 @@ agg_ AS (SELECT count(*) AS cases, count(*) FILTER (final_recall >= 1) AS fully_
 
 def gold(t: Tables) -> DataFrame:
     """Expected sources: every source holding a document that contains the whole benchmark text."""
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    docs = t.wide("documents").select(F.col("doc_id").alias("id"), "text")
     needles = t.benchmark.select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
     pairs = mt.containing(docs, needles)
     src = t.documents.select(F.col("doc_id").alias("id"), "source")
@@ -53,29 +53,25 @@ def gold(t: Tables) -> DataFrame:
     ).distinct().withColumn("pos", F.col("path"))
 
 
-def stage_ranks(t: Tables, expected: DataFrame) -> dict[str, DataFrame]:
-    """Canonical source ranks of the four retrieval stages."""
+def stage_ranks(t: Tables, expected: DataFrame) -> DataFrame:
+    """(stage, query_id, source, rank): canonical source ranks of the four stages, one retrieval run."""
     src = t.documents.select(
         F.col("doc_id").alias("id"),
         F.when(F.col("lang") == "en", F.concat(F.lit(f"{VERSION}:corpus/"), "source", F.lit(".txt"))).alias("demo_key"),
         F.concat("source", F.lit(".txt")).alias("file_name"),
     )
-    dense, kw = rt.vector_top(t), rt.keyword_top(t)
-    fused = fusion.rrf(dense, kw)
-    final = rt.reranked(t)
-    raw = {
-        "dense": dense.select("query_id", "id", "rank"), "keyword": kw.select("query_id", "id", "rank"),
-        "fused": fused.where("fused_rank <= 20").select("query_id", "id", F.col("fused_rank").alias("rank")),
-        "final": final.where("final_rank <= 5").select("query_id", "id", F.col("final_rank").alias("rank")),
-    }
-    out = {}
-    for name, df in raw.items():
-        hits = df.join(src, "id", "left").select(
-            "query_id", "rank", F.coalesce("demo_key", F.concat(F.lit("upload:"), F.col("id").cast("string"))).alias("source_key"),
-            F.coalesce("file_name", F.lit("")).alias("file_name"),
-        )
-        out[name] = ev.canonical_ranks(hits, expected, VERSION)
-    return out
+    stages = F.array(
+        F.struct(F.lit("dense").alias("stage"), F.col("dense_rank").alias("rank")),
+        F.struct(F.lit("keyword").alias("stage"), F.col("keyword_rank").alias("rank")),
+        F.struct(F.lit("fused").alias("stage"), F.when(F.col("fused_rank") <= 20, F.col("fused_rank")).alias("rank")),
+        F.struct(F.lit("final").alias("stage"), F.when(F.col("final_rank") <= 5, F.col("final_rank")).alias("rank")),
+    )
+    hits = rt.all_ranks(t).join(src, "id", "left").select(
+        "query_id", F.explode(F.filter(stages, lambda x: x["rank"].isNotNull())).alias("s"),
+        F.coalesce("demo_key", F.concat(F.lit("upload:"), F.col("id").cast("string"))).alias("source_key"),
+        F.coalesce("file_name", F.lit("")).alias("file_name"),
+    ).select("query_id", "s.stage", "s.rank", "source_key", "file_name")
+    return ev.canonical_ranks(hits, expected, VERSION)
 
 
 def staged(t: Tables) -> DataFrame:
@@ -119,7 +115,7 @@ def case_selection(t: Tables) -> DataFrame:
     f"WITH {EVAL_SQL} SELECT query_id, source, rank::INT AS rank FROM cr_ WHERE stage = 'fused'",
 )
 def canonical_sources(t: Tables) -> DataFrame:
-    return stage_ranks(t, gold(t))["fused"]
+    return stage_ranks(t, gold(t)).where("stage = 'fused'").drop("stage")
 
 
 @query(
@@ -498,7 +494,7 @@ h AS (SELECT doc_id, count(*) AS n FROM a JOIN b USING (w) GROUP BY doc_id)
 SELECT d.doc_id AS id, coalesce(n, 0) AS n_windows, n IS NOT NULL AS leaked FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id""",
 )
 def leak_windows(t: Tables) -> DataFrame:
-    answers = t.documents.select(F.col("doc_id").alias("id"), "text")
+    answers = t.wide("documents").select(F.col("doc_id").alias("id"), "text")
     return mt.leaked_windows(answers, t.benchmark.select("text"))
 
 

@@ -216,7 +216,7 @@ KIND_SQL = """CASE WHEN m = 1 THEN 'not_json' WHEN m = 2 THEN 'not_object' WHEN
 def completions(t: Tables) -> DataFrame:
     """Raw model answers rendered from orders; the kind column says what was put in."""
     kind = F.expr(KIND_SQL.replace("m =", "month(o_orderdate) =").replace("AND p =", "AND o_orderpriority =").replace("AND s =", "AND o_orderstatus ="))
-    return t.orders.select(F.col("o_orderkey").alias("query_id"), "o_custkey", tx.let(kind, render_completion).alias("c")).select(
+    return t.wide("orders").select(F.col("o_orderkey").alias("query_id"), "o_custkey", tx.let(kind, render_completion).alias("c")).select(
         "query_id", "o_custkey", "c.*", F.lit(5).alias("evidence_count")
     )
 
@@ -312,7 +312,7 @@ JUDGE_KIND = """CASE m WHEN 1 THEN 'not_json' WHEN 2 THEN 'not_object' WHEN 3 TH
 
 def judge_outputs(t: Tables) -> DataFrame:
     kind = F.expr(JUDGE_KIND.replace("CASE m", "CASE month(o_orderdate)").replace("CASE s", "CASE o_orderstatus"))
-    return t.orders.select(F.col("o_orderkey").alias("case_id"), tx.let(kind, render_judgement).alias("c")).select(
+    return t.wide("orders").select(F.col("o_orderkey").alias("case_id"), tx.let(kind, render_judgement).alias("c")).select(
         "case_id", "c.*", F.lit(3).alias("evidence_count")
     )
 

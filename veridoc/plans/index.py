@@ -490,7 +490,7 @@ p AS (SELECT line_no, CASE WHEN st = 'P' AND m = 1 THEN NULL ELSE id END AS id,
 SELECT line_no, id, CASE WHEN problem IS NULL AND line_no <> min(line_no) FILTER (problem IS NULL) OVER (PARTITION BY id) THEN 'duplicate_id' ELSE problem END AS problem FROM p""",
 )
 def case_lines(t: Tables) -> DataFrame:
-    o = t.orders
+    o = t.wide("orders")
     st, m = F.col("o_orderstatus"), F.month("o_orderdate")
     case_id = F.concat(
         F.lit("case"),

@@ -11,7 +11,7 @@ from veridoc.functions import text as tx
 from veridoc.operators import blocks as bl
 from veridoc.operators import chunking as ch
 from veridoc.plans.registry import query
-from veridoc.session import Tables
+from veridoc.session import Tables, spread
 
 # --- P1-P4 ---------------------------------------------------------------
 _NB = r"""trim(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t\x{{3000}}]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), chr(10) || ' ')"""
@@ -24,7 +24,7 @@ _CTRL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 )
 def block_normalise(t: Tables) -> DataFrame:
     norm = tx.norm_block(F.col("text"))
-    return t.documents.select("doc_id", dg.sha256(norm).alias("text_sha"), F.length(norm).alias("n_chars"))
+    return t.wide("documents").select("doc_id", dg.sha256(norm).alias("text_sha"), F.length(norm).alias("n_chars"))
 
 
 @query(
@@ -33,7 +33,7 @@ def block_normalise(t: Tables) -> DataFrame:
 FROM (SELECT doc_id, replace(text, ' ', chr(7) || ' ') AS text FROM documents)""",
 )
 def chunk_normalise(t: Tables) -> DataFrame:
-    noisy = t.documents.select("doc_id", F.replace("text", F.lit(" "), F.lit("\x07 ")).alias("text"))
+    noisy = t.wide("documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("\x07 ")).alias("text"))
     return noisy.select("doc_id", dg.sha256(tx.norm_chunk(F.col("text"))).alias("text_sha"))
 
 
@@ -43,7 +43,7 @@ def chunk_normalise(t: Tables) -> DataFrame:
 '\\s+', ' ', 'g')))) AS text_sha FROM documents""",
 )
 def search_normalise(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", dg.sha256(tx.norm_search(F.col("text"))).alias("text_sha"))
+    return t.wide("documents").select("doc_id", dg.sha256(tx.norm_search(F.col("text"))).alias("text_sha"))
 
 
 @query(
@@ -52,7 +52,7 @@ def search_normalise(t: Tables) -> DataFrame:
 '\\s+', '', 'g')) AS text_sha FROM documents""",
 )
 def match_normalise(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", dg.sha256(tx.norm_match(F.col("text"))).alias("text_sha"))
+    return t.wide("documents").select("doc_id", dg.sha256(tx.norm_match(F.col("text"))).alias("text_sha"))
 
 
 # --- P5, P6 ---------------------------------------------------------------
@@ -72,7 +72,7 @@ def markdown_docs(t: Tables) -> DataFrame:
             F.col("c_nationkey").cast("string"), F.lit(" | y | extra |"),
         ).alias("text"),
     )
-    return t.documents.select("doc_id", "text").unionByName(sheet)
+    return spread(t.documents.select("doc_id", "text").unionByName(sheet))
 
 
 MARKDOWN_SQL = r"""
@@ -372,7 +372,7 @@ _RUNS = "regexp_extract_all(text, '[0-9]+')"
 len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS n_emails FROM documents""",
 )
 def pii_scrub_email(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return t.wide("documents").select(
         "doc_id", dg.sha256(privacy.scrub(F.col("text"), ("email",))).alias("text_sha"),
         F.regexp_count("text", F.lit(privacy.EMAIL)).cast("bigint").alias("n_emails"),
     )
@@ -381,7 +381,7 @@ def pii_scrub_email(t: Tables) -> DataFrame:
 @query("pii_scrub_full", "P13")
 def pii_scrub_full(t: Tables) -> DataFrame:
     clean = privacy.scrub(F.col("text"))
-    docs = t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
+    docs = t.wide("documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
         t.conversations.select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     )
     return docs.select("kind", "id", clean.alias("text"), (clean != F.col("text")).alias("changed"))
@@ -398,7 +398,7 @@ len(regexp_extract_all(text, '(?i)[\\w\\p{{L}}-]+\\.(?:com|cn|edu|org|net|gov)(?
 len(regexp_extract_all(text, '[A-Za-z]:\\\\'))::BIGINT AS absolute_path FROM documents""",
 )
 def pii_scan(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", *privacy.scan_counts(F.col("text")))
+    return t.wide("documents").select("doc_id", *privacy.scan_counts(F.col("text")))
 
 
 @query(
@@ -410,7 +410,7 @@ FROM documents GROUP BY lang""",
 )
 def forbidden_keywords(t: Tables) -> DataFrame:
     low = F.lower("text")
-    return t.documents.groupBy("lang").agg(
+    return t.wide("documents").groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"),
         *[F.count_if(F.contains(low, F.lit(w))).alias(w) for w in ("token", "license", "secret")],
     )
@@ -427,7 +427,7 @@ SELECT doc_id, (i - 1)::INT AS sentence_no, a[i] AS sentence FROM s, unnest(rang
 )
 def sentence_split(t: Tables) -> DataFrame:
     pieces = tx.split_sentences(tx.norm_block(F.col("text")), "!?;.")
-    return t.documents.select("doc_id", F.posexplode(pieces).alias("sentence_no", "sentence"))
+    return t.wide("documents").select("doc_id", F.posexplode(pieces).alias("sentence_no", "sentence"))
 
 
 def chunked(t: Tables) -> DataFrame:

@@ -91,7 +91,7 @@ dfinal AS (SELECT m.query_id, m.id, m.fused_rank, m.fused_score,
 # --- shared plans ---------------------------------------------------------------
 
 def doc_tokens(t: Tables) -> DataFrame:
-    return keyword.tokenised(t.documents, "doc_id", INDEXED)
+    return keyword.tokenised(t.wide("documents"), "doc_id", INDEXED)
 
 
 def questions(t: Tables) -> DataFrame:
@@ -116,9 +116,9 @@ def fused(t: Tables, limit: int | None = None) -> DataFrame:
     return fusion.rrf(vector_top(t), keyword_top(t), limit=limit)
 
 
-def candidates(t: Tables) -> DataFrame:
+def candidates(t: Tables, limit: int | None = fusion.RERANK_INPUT) -> DataFrame:
     """Fused top 20 with the candidate text a scorer sees."""
-    cand = fused(t, limit=fusion.RERANK_INPUT)
+    cand = fused(t, limit=limit)
     docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
     q = questions(t).withColumnRenamed("text", "query_text")
     return cand.join(docs, "id", "left").join(q, "query_id").withColumn(
@@ -135,6 +135,14 @@ def reranked(t: Tables) -> DataFrame:
     return fusion.rerank_merge(cand, scores)
 
 
+def all_ranks(t: Tables) -> DataFrame:
+    """Every fused row with its dense, keyword, fused and final rank, from one retrieval run."""
+    score = dg.hash_score(F.col("query_text"), F.col("candidate_text"))
+    return fusion.with_final_rank(candidates(t, None).withColumn("rerank_score", score)).select(
+        "query_id", "id", "dense_rank", "keyword_rank", "fused_rank", "final_rank"
+    )
+
+
 def degraded(t: Tables) -> DataFrame:
     """The scorer returns nothing for candidates labelled toxic."""
     cand = candidates(t)

@@ -23,6 +23,7 @@ def build_session(app: str = "veridoc", cpus: str | None = None, **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -51,6 +52,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table out to all cores when its files give fewer splits than there are cores.
+
+    Text work is bound by CPU, and a small file is one split however many rows it has. A table
+    with enough splits, as any large one has, is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Attribute access to the parquet tables of one data folder."""
 
@@ -62,3 +73,7 @@ class Tables:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def wide(self, name: str) -> DataFrame:
+        """A table for CPU-bound row work."""
+        return spread(getattr(self, name))
