@@ -58,14 +58,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# every character a text trim removes: Unicode white space and the four separators
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def fold_accents(c: Column) -> Column:
-    """Drop diacritics, composed or combining."""
-    return F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"\p{Mn}+", "")
+    """Drop diacritics, composed or combining; plain ASCII passes untouched."""
+    folded = F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"\p{Mn}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -221,7 +226,7 @@ def index_tokens(c: Column) -> Column:
     A CJK run stays one word here, exactly as a Unicode word tokenizer leaves it.
     """
     folded = fold_accents(F.lower(F.coalesce(c, F.lit(""))))
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}\p{Co}]+"), "")
 
 
 # --- metadata and labels ----------------------------------------------------

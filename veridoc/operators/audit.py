@@ -105,6 +105,8 @@ def project_records(blocks: DataFrame) -> DataFrame:
         F.when(absent, "missing_label").when(status.isNull(), "unknown_status")
         .when(credit.getField("error").isNotNull(), "invalid_credit").alias("row_error"),
     )
+    # the parsed rows feed the verdict and the result: one exchange keeps them from being parsed twice
+    rows = rows.repartition("set_id", "block_index")
     labels = (
         blocks.where("block_type = 'table_header'")
         .select("set_id", F.explode(F.transform(F.split("text", r"\|"), tx.strip_ws)).alias("label"))
@@ -134,7 +136,7 @@ def project_records(blocks: DataFrame) -> DataFrame:
 def labelled_map(c: Column) -> Column:
     """``label: value`` pairs of one text; segments when there are two or more, else a scan."""
     text = F.coalesce(c, F.lit(""))
-    n_parts = F.size(F.filter(F.split(text, "[；;]"), lambda p: p.rlike(r"(?U)\S")))
+    several = text.rlike(r"(?sU)[^\s；;].*[；;].*[^\s；;]")
     pattern = r"(?U)([^\s：:；;]{1,20})[：:]\s*([^\s：:；;]+)"
 
     def scan() -> Column:
@@ -146,7 +148,7 @@ def labelled_map(c: Column) -> Column:
         )
 
     def choose(seg: Column) -> Column:
-        return F.when((n_parts >= 2) & (F.size(seg) > 0), seg).otherwise(scan())
+        return F.when(several & (F.size(seg) > 0), seg).otherwise(scan())
 
     return tx.first_wins_map(tx.let(tx.segment_pairs(text), choose))
 
