@@ -135,22 +135,19 @@ def project_records(blocks: DataFrame) -> DataFrame:
 
 def labelled_map(c: Column) -> Column:
     """``label: value`` pairs of one text; segments when there are two or more, else a scan."""
-    text = F.coalesce(c, F.lit(""))
-    several = text.rlike(r"(?sU)[^\s；;].*[；;].*[^\s；;]")
     pattern = r"(?U)([^\s：:；;]{1,20})[：:]\s*([^\s：:；;]+)"
 
-    def scan() -> Column:
-        return F.transform(
+    def pairs(text: Column) -> Column:
+        several = text.rlike(r"(?sU)[^\s；;].*[；;].*[^\s；;]")
+        scan = F.transform(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
             lambda hit: F.struct(
                 F.regexp_extract(hit, pattern, 1).alias("key"), F.regexp_extract(hit, pattern, 2).alias("value")
             ),
         )
+        return tx.let(tx.segment_pairs(text), lambda seg: F.when(several & (F.size(seg) > 0), seg).otherwise(scan))
 
-    def choose(seg: Column) -> Column:
-        return F.when(several & (F.size(seg) > 0), seg).otherwise(scan())
-
-    return tx.first_wins_map(tx.let(tx.segment_pairs(text), choose))
+    return tx.first_wins_map(tx.let(F.coalesce(c, F.lit("")), pairs))
 
 
 def column_positions(headers: DataFrame) -> DataFrame:

@@ -50,7 +50,12 @@ def index_stats(tokens: DataFrame) -> DataFrame:
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Document frequency per word.
+
+    The count reads ``tf`` and ``dl`` (never zero in a posting): with the same columns in use
+    the planner reuses the shuffled postings instead of tokenising the corpus again.
+    """
+    return postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
 
 
 def match_plan(queries: DataFrame, id_col: str, text_col: str, compose: bool = False) -> DataFrame:

@@ -66,6 +66,21 @@ def _table(q, i, d) -> pa.RecordBatch:
     )
 
 
+def _cell(k: int):
+    """Function over one (queries, vectors) cell of a grid."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([_table([], [], [])])
+        q_ids, ids = left.column("query_id").to_numpy(), right.column("id").to_numpy()
+        out = _local_top(
+            q_ids, _matrix(left.column("v"), left.num_rows), ids, _matrix(right.column("v"), right.num_rows), k
+        )
+        return pa.Table.from_batches([_table(*out)])
+
+    return run
+
+
 def _one_block(vectors: DataFrame, block: list, k: int) -> DataFrame:
     spark = vectors.sparkSession
     q_ids = np.array([r[0] for r in block], dtype=np.int64)
@@ -88,28 +103,16 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, block:
     n_slices = max(1, -(-vectors.count() // CELL_VECTORS))
     q = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).cast("bigint").alias("s"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_slices - 1).cast("bigint"))).alias("s"),
         "query_id", "v",
     )
     v = vectors.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("b"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("b"),
         F.pmod(F.xxhash64("id"), F.lit(n_slices)).alias("s"),
         "id", "v",
     )
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table(
-                {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()),
-                 "distance": pa.array([], pa.float64())}
-            )
-        out = _local_top(
-            left.column("query_id").to_numpy(), _matrix(left.column("v"), left.num_rows),
-            right.column("id").to_numpy(), _matrix(right.column("v"), right.num_rows), k,
-        )
-        return pa.Table.from_batches([_table(*out)])
-
-    return q.groupBy("b", "s").cogroup(v.groupBy("b", "s")).applyInArrow(cell, _OUT)
+    return q.groupBy("b", "s").cogroup(v.groupBy("b", "s")).applyInArrow(_cell(k), _OUT)
 
 
 def vector_top_k(
@@ -168,19 +171,7 @@ def filtered_top_k(
         "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("b"), "s", "id", "v"
     )
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table(
-                {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()),
-                 "distance": pa.array([], pa.float64())}
-            )
-        out = _local_top(
-            left.column("query_id").to_numpy(), _matrix(left.column("v"), left.num_rows),
-            right.column("id").to_numpy(), _matrix(right.column("v"), right.num_rows), k,
-        )
-        return pa.Table.from_batches([_table(*out)])
-
-    local = q.groupBy("key", "b", "s").cogroup(v.groupBy("key", "b", "s")).applyInArrow(cell, _OUT)
+    local = q.groupBy("key", "b", "s").cogroup(v.groupBy("key", "b", "s")).applyInArrow(_cell(k), _OUT)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
         local.withColumn("rank", F.row_number().over(w))
