@@ -396,3 +396,37 @@ FROM w GROUP BY p_partkey""",
 def cjk_bigrams(t: Tables) -> DataFrame:
     han = F.translate(F.lower("p_name"), _LATIN, _HAN)
     return t.part.select("p_partkey", tx.cjk_bigrams(han).alias("grams"))
+
+
+def length_ratio(query_text: str, texts: list[str]) -> list[float]:
+    """A user scorer: shorter candidates first."""
+    return [len(query_text) / (1.0 + len(text)) for text in texts]
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A user embedder: length and number of one letter."""
+    return [[float(len(text)), float(text.count("e"))] for text in texts]
+
+
+@query(
+    "user_scorer", "R13,R24",
+    f"""WITH {SCORED_SQL}, us AS (SELECT query_id, id, fused_score, length(qtext) / (1.0 + length(ctext)) AS s FROM sc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fused_score DESC, id) AS final_rank FROM us QUALIFY final_rank <= 10)
+SELECT query_id, id, round(s, 6) AS rerank_score, final_rank::INT AS final_rank FROM ranked""",
+)
+def user_scorer(t: Tables) -> DataFrame:
+    cand = candidates(t)
+    scores = fusion.score_with(cand, "query_text", "candidate_text", length_ratio)
+    return fusion.rerank_merge(cand, scores).select(
+        "query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank"
+    )
+
+
+@query(
+    "user_embedder", "R24",
+    """SELECT doc_id AS id, length(text)::DOUBLE AS x0, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS x1 FROM documents""",
+)
+def user_embedder(t: Tables) -> DataFrame:
+    return vectors.embed_with(t.wide("documents"), "doc_id", "text", letter_counts, 2).select(
+        "id", F.col("v")[0].alias("x0"), F.col("v")[1].alias("x1")
+    )
