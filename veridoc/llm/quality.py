@@ -17,6 +17,7 @@ SAMPLE_ROWS = 8000
 PAIRS_PER_REJECT = 24
 STEPS = 500
 L2 = 1e-3
+SHORT_WORDS, TYPICAL_WORD = 20, 6.5  # as if so many ordinary words were there: a text of few words shows little
 
 _CLASSES = {
     "upper": bytes(range(65, 91)),
@@ -35,15 +36,16 @@ FEATURES = [*_CLASSES, "repeated_word", "repeated_line", "marked_word", "word_le
 
 def features(text: bytes) -> np.ndarray:
     """Shares of byte classes, of repeated neighbours and of words with marks, and two mean lengths."""
-    size = max(len(text), 1)
-    shares = _MEMBER @ np.bincount(np.frombuffer(text, np.uint8), minlength=256) / size
-    words = text.split()
+    size, words = len(text), text.split()
+    counts = _MEMBER @ np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    n = len(words) + SHORT_WORDS
     lines = [x for x in text.splitlines() if x]
-    n = max(len(words), 1)
     again = sum(map(eq, words, words[1:])) / n
-    lines_again = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    marked = min(1.0, (shares[5] + shares[6] + shares[7]) * size / n)
-    return np.array([*shares, again, lines_again, marked, min(len(text) / n, 40.0) / 40, min(n / max(len(lines), 1), 400.0) / 400])
+    lines_again = (len(lines) - len(set(lines))) / (len(lines) + 1)
+    marked = min(1.0, counts[5:8].sum() / n)
+    word_length = min((size + TYPICAL_WORD * SHORT_WORDS) / n, 40.0) / 40
+    line_words = min(n / (len(lines) + 1), 400.0) / 400
+    return np.array([*counts / (size + TYPICAL_WORD * SHORT_WORDS), again, lines_again, marked, word_length, line_words])
 
 
 @dataclass(frozen=True)
