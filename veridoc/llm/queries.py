@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import ann, decontaminate, language, mixing, near_dedup, quality, secrets, tokens, urls
+from veridoc.llm import ann, decontaminate, html, language, mixing, near_dedup, quality, secrets, tokens, urls
 from veridoc.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
@@ -52,7 +56,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mixing, op3_nearest, op4_language, op5_decontamination, op6_urls, op7_token_counts, op8_quality, op9_secrets, op10_near_dedup,
+        op1_mixing, op2_main_text, op3_nearest, op4_language, op5_decontamination, op6_urls, op7_token_counts, op8_quality, op9_secrets, op10_near_dedup,
     )
 }
 
