@@ -5,8 +5,8 @@ coordinate sqrt(m^2 - |x|^2), queries get 0, so the nearest point has the greate
 hashes a point by a few Gaussian projections, each cut into bins of one width. A query visits, per
 table, the buckets in order of their estimated success: the chance that a neighbour falls into a bin is
 a normal interval around the query's own projection, shrunk and spread as fitted on a bounded
-sample. It goes on until the chances visited add up to ``success``. Bucket members are scored
-exactly, and the candidates of all tables are merged.
+sample. It goes on until the chances visited add up to a share that finds enough of the sample's own
+neighbours. Bucket members are scored exactly, and the candidates of all tables are merged.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import bounded_batches, staged
+from veridoc.llm.common import bounded_batches, sorted_groups, staged
 
 NEIGHBOURS = 20
 TABLES = 4
 BUCKET_ROWS = 4096  # rows aimed at per bucket: projections are added as the table grows
 BINS = 4  # bins that hold most of a projection
-SUCCESS = 0.5
+RECALL = 0.96  # share of the sample's neighbours that the visits must find
+SUCCESSES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 1.0)
 SAMPLE_QUERIES, SAMPLE_ROWS = 256, 8192
 CHUNK_BYTES = 8 << 20  # of a bucket scored together; a larger bucket is several chunks
 QUERY_BLOCK = 256
@@ -93,13 +94,13 @@ def _normal_cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + _erf(z / math.sqrt(2)).astype(np.float64))
 
 
-def fit(rows: int, norm: float, sample: np.ndarray, neighbours: int, tables: int = TABLES, success: float = SUCCESS, seed: int = 0) -> Hashing:
-    """Choose the projections' number by the table's size, and fit width, shrink and spread on the sample."""
+def fit(rows: int, norm: float, sample: np.ndarray, neighbours: int, tables: int = TABLES, recall: float = RECALL, seed: int = 0) -> Hashing:
+    """Choose the projections' number by the table's size; fit width, shrink, spread and success on the sample."""
     bins = BINS
     k = max(1, round(math.log(max(rows / BUCKET_ROWS, 1)) / math.log(bins)))
     rng = np.random.default_rng(seed)
     projections = rng.standard_normal((tables, k, sample.shape[1] + 1)) / max(norm, 1e-300)
-    plain = Hashing(projections, np.zeros((tables, k)), 1.0, norm, 1.0, 1.0, bins, success)
+    plain = Hashing(projections, np.zeros((tables, k)), 1.0, norm, 1.0, 1.0, bins, 1.0)
     stored = plain.project(sample, False)
     width = max(float(np.subtract(*np.quantile(stored, [0.9, 0.1]))) / (bins - 1), 1e-9)
     offsets = bins * width / 2 - np.median(stored, axis=1)
@@ -115,7 +116,22 @@ def fit(rows: int, norm: float, sample: np.ndarray, neighbours: int, tables: int
         b = stored[:, best, :].ravel()
         shrink = float(a @ b / max(a @ a, 1e-12))
         spread = max(float(np.std(b - shrink * a)), 1e-6)
-    return Hashing(projections, offsets, width, norm, shrink, spread, bins, success)
+    for success in SUCCESSES:
+        found = Hashing(projections, offsets, width, norm, shrink, spread, bins, success)
+        if len(sample) <= 2 or _coverage(found, queries, sample, best) >= recall:
+            break
+    return found
+
+
+def _coverage(hashing: Hashing, queries: np.ndarray, sample: np.ndarray, best: np.ndarray) -> float:
+    """Share of the known neighbours that lie in a visited bucket of some table."""
+    own = hashing.buckets(sample)
+    met = np.zeros(best.shape, bool)
+    for t, (_, row, bucket) in enumerate(hashing.probes(queries)):
+        visited = np.zeros((len(queries), hashing.bins ** hashing.projections.shape[1]), bool)
+        visited[row, bucket] = True
+        met |= np.take_along_axis(visited, own[t][best], 1)
+    return float(met.mean())
 
 
 def valid(vector: str, dim: int) -> str:
@@ -169,12 +185,33 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
     q, v = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
     score = (queries[q] * vectors[v]).sum(1)  # the same sum for equal vectors, whatever the block
-    return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[v]), pa.array(score)], ["query_id", "vec_id", "score"])
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(q, minlength=len(query_ids)))]), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query_ids), pa.ListArray.from_arrays(ends, pa.array(ids[v])), pa.ListArray.from_arrays(ends, pa.array(score))], ["query_id", "ids", "scores"]
+    )
+
+
+def _merge(neighbours: int):
+    """Merge the candidates of all visits of a query; rows come sorted by query."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, starts in sorted_groups(batches, ["query_id"]):
+            out: list[tuple[int, int, int, float]] = []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cols["query_id"])]):
+                ids, first = np.unique(np.concatenate(cols["ids"][lo:hi]).astype(np.int64), return_index=True)
+                scores = np.concatenate(cols["scores"][lo:hi]).astype(np.float64)[first]
+                top = np.lexsort((ids, -scores))[:neighbours]
+                out += [(int(cols["query_id"][lo]), rank, int(ids[i]), float(scores[i])) for rank, i in enumerate(top, 1)]
+            q, rank, vec, score = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["query_id", "rank", "vec_id", "score"]
+            )
+
+    return run
 
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, neighbours: int = NEIGHBOURS, id_column: str = "vec_id", vector: str = "embedding",
-    tables: int = TABLES, success: float = SUCCESS,
+    tables: int = TABLES, recall: float = RECALL,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``neighbours`` found with the largest inner product, ties by id.
 
@@ -204,7 +241,7 @@ def nearest(
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r[0] for r in index.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE_ROWS).select("v").collect()])
-    hashing = fit(rows, norm, sample, neighbours, tables, success)
+    hashing = fit(rows, norm, sample, neighbours, tables, recall)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,10 +277,8 @@ def nearest(
         visits = visits.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"), "id", "v")
         dealt = members.filter("t = 0") if everything else members
         sorted_ = dealt.unionByName(visits).repartition("t", "bucket", "chunk").sortWithinPartitions("t", "bucket", "chunk", "side")
-        found = sorted_.mapInArrow(_search(neighbours), "query_id long, vec_id long, score double")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+        found = sorted_.mapInArrow(_search(neighbours), "query_id long, ids array<long>, scores array<double>")
+        return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(neighbours), "query_id long, rank int, vec_id long, score double")
 
     first = staged(answers(asked, False))
     full = first.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min(neighbours, rows - 1)).select(F.col("query_id").alias("id"))

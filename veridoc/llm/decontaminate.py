@@ -74,8 +74,8 @@ def block_keys(fp: str, errors: int) -> Column:
     size = 64 // BLOCKS
     masks = ",".join(str(sum(1 << b for b in bits)) for n in range(errors + 1) for bits in combinations(range(size), n))
     return F.expr(
-        f"flatten(transform(sequence(0, {BLOCKS - 1}), b -> transform(array({masks}), m -> "
-        f"struct(b AS block, cast(shiftrightunsigned({fp}, b * {size}) & {(1 << size) - 1}L AS int) ^ m AS value))))"
+        f"flatten(transform(sequence(0, {BLOCKS - 1}), _b -> transform(array({masks}), _m -> "
+        f"struct(_b AS block, cast(shiftrightunsigned({fp}, _b * {size}) & {(1 << size) - 1}L AS int) ^ _m AS value))))"
     )
 
 
