@@ -21,32 +21,65 @@ def rows(df):
 
 # --- chunking --------------------------------------------------------------------------
 
-def unit(text, block, kind="paragraph", group=1):
-    return (text, block, kind, group, None, None)
+BLOCK = "array<struct<block_type:string,text:string,page_number:int,section_title:string,row_start:int,row_end:int,sheet_name:string>>"
 
 
-def texts(units, target, overlap):
-    return [ch.draft(i, c)[1] for i, c in enumerate(ch.pack(units, target, overlap))]
+def chunks_of(spark, blocks, target, overlap):
+    full = [(kind, text, page, section, row, row, sheet) for kind, text, page, section, row, sheet in blocks]
+    df = spark.createDataFrame([(1, full)], f"id int, blocks {BLOCK}")
+    return ch.chunk_documents(df, "id", F.col("blocks"), target, overlap).orderBy("chunk_index").collect()
 
 
-def test_pack_breaks_on_group_and_carries_tail():
-    assert texts([unit("aaaa", 0), unit("bbbb", 0), unit("cccc", 1)], 9, 5) == ["aaaa bbbb", "bbbb\ncccc"]
-    assert texts([unit("aaaa", 0), unit("bbbb", 1, group=2)], 99, 50) == ["aaaa", "bbbb"]
-    # a heading never travels as overlap
-    assert texts([unit("head", 0, "heading"), unit("x" * 6, 1)], 8, 7) == ["head", "x" * 6]
+def para(text, section="s", page=1):
+    return ("paragraph", text, page, section, None, None)
 
 
-def test_rows_bring_their_header_once():
-    got = texts([unit("h | i", 0, "table_header"), unit("h: 1", 1, "table_row"), unit("h: 2", 2, "table_row")], 12, 0)
-    assert got == ["h | i\nh: 1", "h | i\nh: 2"]
+def test_ranges_from_lengths():
+    plain, keys = [ch.PLAIN] * 3, [7] * 3
+    assert ch.pack_ranges([4, 4, 4], plain, keys, 9, 5) == [(0, 1, -1, -1), (1, 2, -1, -1)]
+    assert ch.pack_ranges([4, 4, 4], plain, [7, 8, 8], 99, 50) == [(0, 0, -1, -1), (1, 2, -1, -1)]
+    assert ch.pack_ranges([4, 6, 3], [ch.BARRIER, ch.PLAIN, ch.PLAIN], keys, 8, 7) == [(0, 0, -1, -1), (1, 1, -1, -1), (2, 2, -1, -1)]
+    assert ch.pack_ranges([5, 4, 4], [ch.HEADER, ch.ROW, ch.ROW], keys, 12, 0) == [(0, 1, -1, -1), (2, 2, 0, 2)]
+    assert ch.pack_ranges([50], [ch.PLAIN], [1], 10, 5) == [(0, 0, -1, -1)] and ch.pack_ranges([], [], [], 10, 5) == []
 
 
-def test_cut_keeps_tokens_and_text():
+def test_chunk_texts_and_locators(spark):
+    got = chunks_of(spark, [para("aaaa.bbbb!" * 1), para("cc"), ("heading", "head", 1, "t", None, None), para("x" * 6, "t")], 12, 5)
+    assert [(r.text, r.locator.block_start, r.locator.block_end, r.locator.section_title) for r in got] == [
+        ("aaaa.bbbb!", 0, 0, "s"), ("cc", 1, 1, "s"), ("head\nxxxxxx", 2, 3, "t"),
+    ]
+
+
+def test_rows_bring_their_header_once_and_stay_in_their_sheet(spark):
+    def sheet(name, first):
+        return [("table_header", "h | i", None, None, first, name)] + [("table_row", f"h: {i}", None, None, first + i, name) for i in (1, 2)]
+
+    got = chunks_of(spark, sheet("S1", 1) + sheet("S2", 1), 12, 0)
+    assert [(r.text, r.locator.sheet_name, r.locator.row_start, r.locator.row_end, r.locator.block_start) for r in got] == [
+        ("h | i\nh: 1", "S1", 1, 2, 0), ("h | i\nh: 2", "S1", 1, 3, 0), ("h | i\nh: 1", "S2", 1, 2, 3), ("h | i\nh: 2", "S2", 1, 3, 3),
+    ]
+
+
+def test_documents_without_text_are_named(spark):
+    docs = spark.createDataFrame([(1, [("paragraph", " \n", 1, None, None, None, None)]), (2, []), (3, [("paragraph", "a", 1, None, None, None, None)]), (4, None)], f"id int, blocks {BLOCK}")
+    assert rows(ch.chunk_status(docs, "id", F.col("blocks")).select("doc_id", F.coalesce("failure", F.lit("")))) == [
+        (1, "no_chunkable_text"), (2, "no_chunkable_text"), (3, ""), (4, "no_chunkable_text"),
+    ]
+    assert [r.doc_id for r in ch.chunk_documents(docs, "id", F.col("blocks")).collect()] == [3]
+
+
+def test_cut_keeps_tokens_and_text(spark):
+    table = [
+        ("ab cd", 5, ["ab cd"]), ("one，two three", 8, ["one，", "two", "three"]), ("abcdef，ghij klm", 9, ["abcdef，", "ghij klm"]), ("aaaa bbbb cccc", 6, ["aaaa", "bbbb", "cccc"]),
+        ("字" * 10, 4, ["字" * 4, "字" * 4, "字" * 2]), ("abcdef", 3, ["a", "b", "c", "def"]), ("a，" * 6, 5, ["a，a，", "a，a，", "a，a，"]),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(table)], "i int, t string")
+    for i, (_, limit, want) in enumerate(table):
+        assert got.filter(F.col("i") == i).select(ch.cut_pieces(F.col("t"), limit)).first()[0] == want
     rng = random.Random(3)
-    for _ in range(200):
-        text = "".join(rng.choice("ab1 ，.-字") for _ in range(rng.randint(1, 60))).strip()
-        parts = ch.cut_long(text, 12)
-        assert all(len(p) <= 12 for p in parts) and "".join(parts).replace(" ", "") == text.replace(" ", "")
+    texts = ["".join(rng.choice("ab1 ，.-字") for _ in range(rng.randint(1, 60))).strip() for _ in range(200)]
+    for r in spark.createDataFrame([(t,) for t in texts if t], "t string").select("t", ch.cut_pieces(F.col("t"), 12).alias("p")).collect():
+        assert all(len(p) <= 12 for p in r.p) and "".join(r.p).replace(" ", "") == r.t.replace(" ", "")
 
 
 def test_pages_and_skipped_levels(spark):
@@ -144,16 +177,14 @@ def test_conflicts_match_sequential_rules(spark):
     members = {(k, i) for _g, a, b, k in pairs for i in (a, b)}
     assert {(r.key, r.idx) for r in cf.cross_version_participants(df).collect()} == members
 
-    lines = [(1, "d", f"a{rng.randint(0, 2)}", "b", str(rng.randint(0, 2)), i, i) for i in range(40)]
-    seen, hits = {}, set()
-    for _g, d, a, b, body, idx, _p in lines:
-        bucket = seen.setdefault((d, a, b), {})
-        for other, at in bucket.items():
-            if other != body:
-                hits |= {(a, at), (a, idx)}
-        bucket.setdefault(body, idx)
+    table = [
+        # slot, body by position, positions that take part in a conflict
+        ("one body", ["x", "x"], []), ("two", ["x", "y"], [0, 1]), ("late", ["x", "x", "y"], [0, 2]), ("back", ["x", "y", "x"], [0, 1, 2]),
+        ("three", ["x", "y", "z"], [0, 1, 2]), ("twice", ["x", "y", "y"], [0, 1, 2]), ("x again", ["x", "x", "y", "x"], [0, 2, 3]), ("single", ["x"], []),
+    ]
+    lines = [(1, "d", a, "b", body, i, i) for a, bodies, _ in table for i, body in enumerate(bodies)]
     sl = spark.createDataFrame(lines, "group_id long, doc_id string, a string, b string, body string, idx long, pos long")
-    assert {(r.a, r.idx) for r in cf.slot_hits(sl).collect()} == hits
+    assert {(r.a, r.idx) for r in cf.slot_hits(sl).collect()} == {(a, i) for a, _, hit in table for i in hit}
 
 
 # --- audit ---------------------------------------------------------------------------------
@@ -180,23 +211,15 @@ def test_long_warnings_stay_as_rows(spark):
 
 
 def test_call_state_follows_the_sequence(spark):
-    def state_of(calls, configured):
-        state, ok, failed = ("CONFIGURED_UNVERIFIED" if configured else "UNCONFIGURED"), 0, 0
-        for good in calls:
-            ok, failed = ok + good, failed + (not good)
-            if state == "UNCONFIGURED":
-                state = "CONFIGURED_UNVERIFIED" if good else state
-            elif state == "VERIFICATION_FAILED" or failed:
-                state = "VERIFICATION_FAILED"
-            elif ok:
-                state = "VERIFIED"
-        return state
-
-    rng = random.Random(9)
-    logs = {p: ([rng.random() < 0.7 for _ in range(rng.randint(1, 4))], rng.random() < 0.5) for p in range(60)}
-    data = [(p, s, ok, conf) for p, (calls, conf) in logs.items() for s, ok in enumerate(calls)]
+    table = [
+        # calls in order, configured, state
+        ("", True, None), ("+", True, "VERIFIED"), ("-", True, "VERIFICATION_FAILED"), ("++", True, "VERIFIED"), ("+-", True, "VERIFICATION_FAILED"),
+        ("-+", True, "VERIFICATION_FAILED"), ("-", False, "UNCONFIGURED"), ("--", False, "UNCONFIGURED"), ("+", False, "CONFIGURED_UNVERIFIED"),
+        ("-+", False, "CONFIGURED_UNVERIFIED"), ("++", False, "VERIFIED"), ("-++", False, "VERIFICATION_FAILED"), ("+-", False, "VERIFICATION_FAILED"),
+    ]
+    data = [(p, s, c == "+", conf) for p, (calls, conf, _) in enumerate(table) for s, c in enumerate(calls)]
     got = jobs.call_audit(spark.createDataFrame(data, "provider long, seq long, succeeded boolean, configured boolean"))
-    assert {r.provider: r.state for r in got.collect()} == {p: state_of(*v) for p, v in logs.items()}
+    assert {r.provider: r.state for r in got.collect()} == {p: state for p, (calls, _, state) in enumerate(table) if calls}
 
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -235,15 +258,38 @@ def test_cases_replace_and_report(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "report")).first().value == '{"id":1,"x":0.1235}'
 
 
+INGEST = "doc_id long, source_type string, source_key string, text string"
+
+
 def test_ingest_replay_changes_nothing(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "upload", "k", "# T\nalpha。beta"), (2, "upload", "k", "# T\nalpha。beta"), (3, "demo", "k", "gamma")], "doc_id long, source_type string, source_key string, text string")
+    docs = spark.createDataFrame([(1, "upload", "k", "# T\nalpha。beta"), (2, "upload", "k", "# T\nalpha。beta"), (3, "demo", "k", "gamma")], INGEST)
     root = str(tmp_path / "store")
-    for batch in (0, 0, 1):
-        jobs.ingest_batch(docs, batch, root)
-    reg = spark.read.parquet(f"{root}/registry")
-    assert rows(reg.select("doc_id", "source_type")) == [(1, "upload"), (3, "demo")]
-    chunks = spark.read.parquet(f"{root}/chunks")
+    for batch, run in ((0, "a"), (0, "a"), (1, "a"), (0, "b")):
+        jobs.ingest_batch(docs, batch, root, run)
+    assert rows(jobs.committed(spark, root).select("doc_id", "source_type")) == [(1, "upload"), (3, "demo")]
+    chunks = jobs.stored(spark, root, "chunks")
     assert chunks.count() == chunks.select("chunk_id").distinct().count() == 2
+    assert {r.term for r in jobs.stored(spark, root, "postings").collect()} >= {"alpha", "beta", "gamma"}
+
+
+def test_ingest_redelivery_and_two_texts_inside_a_batch(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "upload", "k", "one")] * 2 + [(1, "upload", "k", "two"), (5, "upload", "k", "one")], INGEST)
+    root = str(tmp_path / "store")
+    jobs.ingest_batch(docs, 0, root, "a")
+    assert jobs.committed(spark, root).count() == 2
+    chunks = jobs.stored(spark, root, "chunks")
+    assert rows(chunks.select("doc_id", "text")) == [(1, "one"), (1, "two")] and chunks.select("chunk_id").distinct().count() == 2
+
+
+def test_a_new_checkpoint_keeps_earlier_documents(spark, tmp_path):
+    from veridoc.session import Tables
+
+    for k, rows_ in enumerate(([(1, "en", "s", "first text")], [(2, "en", "s", "second text")])):
+        spark.createDataFrame(rows_, "doc_id long, lang string, source string, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+        stream = Tables(spark, str(tmp_path)).stream("documents").select("doc_id", F.lit("upload").alias("source_type"), F.col("source").alias("source_key"), "text")
+        jobs.ingest_stream(stream, f"{tmp_path}/store", f"{tmp_path}/check{k}").awaitTermination()
+    assert rows(jobs.committed(spark, f"{tmp_path}/store").select("doc_id")) == [(1,), (2,)]
+    assert rows(jobs.stored(spark, f"{tmp_path}/store", "chunks").select("doc_id")) == [(1,), (2,)]
 
 
 def test_results_do_not_depend_on_partitions(spark):

@@ -490,7 +490,7 @@ p AS (SELECT line_no, CASE WHEN st = 'P' AND m = 1 THEN NULL ELSE id END AS id,
 SELECT line_no, id, CASE WHEN problem IS NULL AND line_no <> min(line_no) FILTER (problem IS NULL) OVER (PARTITION BY id) THEN 'duplicate_id' ELSE problem END AS problem FROM p""",
 )
 def case_lines(t: Tables) -> DataFrame:
-    o = t.wide("orders")
+    o = t.orders
     st, m = F.col("o_orderstatus"), F.month("o_orderdate")
     case_id = F.concat(
         F.lit("case"),
@@ -533,24 +533,39 @@ def fresh_folder(t: Tables, name: str) -> str:
 sha256(text) AS sha FROM documents) GROUP BY source_type, sha""",
 )
 def ingest_stream(t: Tables) -> DataFrame:
-    """Drain the documents once, then again: the second run changes nothing."""
+    """Drain the documents once, then again under a new checkpoint: the second run changes nothing."""
+    root = drained(t)
+    return jobs.committed(t.spark, root).select("doc_id", "source_type", F.col("sha256").alias("sha"))
+
+
+def drained(t: Tables) -> str:
     root = fresh_folder(t, "ingest")
-    schema = t.documents.schema
     for attempt in ("first", "again"):
-        stream = (
-            t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
-            .select(
-                "doc_id", F.when(F.col("lang") == "en", "upload").otherwise("demo").alias("source_type"),
-                F.col("source").alias("source_key"), "text",
-            )
+        stream = t.stream("documents").select(
+            "doc_id", F.when(F.col("lang") == "en", "upload").otherwise("demo").alias("source_type"),
+            F.col("source").alias("source_key"), "text",
         )
-        shift = 0 if attempt == "first" else 1
-        q = (
-            stream.writeStream.foreachBatch(lambda df, i, s=shift: jobs.ingest_batch(df, 2 * i + s, root))
-            .option("checkpointLocation", f"{root}/_{attempt}").trigger(availableNow=True).start()
-        )
-        q.awaitTermination()
-    return t.spark.read.parquet(f"{root}/registry").select("doc_id", "source_type", F.col("sha256").alias("sha"))
+        jobs.ingest_stream(stream, root, f"{root}/_{attempt}").awaitTermination()
+    return root
+
+
+@query(
+    "ingest_chunks", "W1,C4,R4",
+    """WITH d AS (SELECT DISTINCT CASE WHEN lang = 'en' THEN 'upload' ELSE 'demo' END AS source_type, sha256(text) AS sha, length(trim(text)) > 0 AS ok FROM documents)
+SELECT source_type, count(*) FILTER (ok)::BIGINT AS n_chunked, 0::BIGINT AS n_repeated, 0::BIGINT AS n_unindexed FROM d GROUP BY source_type""",
+)
+def ingest_chunks(t: Tables) -> DataFrame:
+    """Per source: contents with chunks, chunk ids stored twice, and chunks with words but no posting."""
+    root = drained(t)
+    chunks = jobs.stored(t.spark, root, "chunks")
+    known = jobs.committed(t.spark, root).select("doc_id", "source_type")
+    indexed = jobs.stored(t.spark, root, "postings").select(F.col("id").alias("chunk_id")).distinct().withColumn("hit", F.lit(1))
+    per_id = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max(F.col("text").rlike("[A-Za-z0-9]")).alias("wordy"))
+    joined = per_id.join(known, "doc_id").join(indexed, "chunk_id", "left")
+    return joined.groupBy("source_type").agg(
+        F.count_distinct("doc_id").alias("n_chunked"), F.count_if(F.col("n") > 1).alias("n_repeated"),
+        F.count_if(F.col("wordy") & F.col("hit").isNull()).alias("n_unindexed"),
+    )
 
 
 CALLS_SQL = """
@@ -585,8 +600,5 @@ def call_audit_by_user(t: Tables) -> DataFrame:
 @query("call_audit_stream", "W2", f"WITH {CALLS_SQL} SELECT provider, calls, ok, failed, state FROM audit")
 def call_audit_stream(t: Tables) -> DataFrame:
     root = fresh_folder(t, "audit")
-    schema = t.events.schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    q = jobs.call_audit_stream(call_log(stream), f"{root}/table", f"{root}/_checkpoint")
-    q.awaitTermination()
-    return t.spark.read.parquet(f"{root}/table").select("provider", "calls", "ok", "failed", "state")
+    jobs.call_audit_stream(call_log(t.stream("events")), f"{root}/table", f"{root}/_checkpoint").awaitTermination()
+    return jobs.latest_audit(t.spark, f"{root}/table").select("provider", "calls", "ok", "failed", "state")

@@ -11,7 +11,7 @@ from veridoc.functions import text as tx
 from veridoc.operators import blocks as bl
 from veridoc.operators import chunking as ch
 from veridoc.plans.registry import query
-from veridoc.session import Tables, spread
+from veridoc.session import Tables
 
 # --- P1-P4 ---------------------------------------------------------------
 _NB = r"""trim(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t\x{{3000}}]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), chr(10) || ' ')"""
@@ -72,7 +72,7 @@ def markdown_docs(t: Tables) -> DataFrame:
             F.col("c_nationkey").cast("string"), F.lit(" | y | extra |"),
         ).alias("text"),
     )
-    return spread(t.documents.select("doc_id", "text").unionByName(sheet))
+    return t.wide("documents").select("doc_id", "text").unionByName(sheet)
 
 
 MARKDOWN_SQL = r"""
@@ -452,6 +452,16 @@ def chunk_coverage(t: Tables) -> DataFrame:
     return covered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("b").alias("last_block"))
 
 
+@query(
+    "chunk_status", "C4",
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'no_chunkable_text' END AS failure FROM documents""",
+)
+def chunk_status(t: Tables) -> DataFrame:
+    """Documents that have nothing to chunk are named; every seventh is blanked."""
+    blanked = t.wide("documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, " \n ").otherwise(F.col("text")).alias("text"))
+    return ch.chunk_status(blanked, "doc_id", bl.block_array(F.col("text"))).select("doc_id", "failure")
+
+
 _CHUNK_ID_SQL = """
 WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no,
                   source, sha256(text) AS sha FROM documents)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ def build_session(app: str = "veridoc", cpus: str | None = None, **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -40,26 +42,27 @@ def build_session(app: str = "veridoc", cpus: str | None = None, **conf: str) ->
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where nothing is set
-    (tests on one machine) a fresh temporary folder is used.
+    ``spark.checkpoint.dir`` names it. Only where nothing is set and all tasks run on this
+    machine (tests) a fresh temporary folder is used; a cluster without one is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table out to all cores when its files give fewer splits than there are cores.
+    """Deal a table that is a single input split out to all cores.
 
-    Text work is bound by CPU, and a small file is one split however many rows it has. A table
-    with enough splits, as any large one has, is returned unchanged.
+    Text work is bound by CPU, and a file of one row group is one split however many rows it has. What is
+    shuffled is at most one split; a table of several splits is returned unchanged on any cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 class Tables:
@@ -77,3 +80,9 @@ class Tables:
     def wide(self, name: str) -> DataFrame:
         """A table for CPU-bound row work."""
         return spread(getattr(self, name))
+
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream of its files, whether it is one file or a folder of many."""
+        schema = getattr(self, name).schema
+        # a glob, because a stream over a plain path wants a folder
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
