@@ -119,8 +119,8 @@ def test_vector_grid_equals_single_block(spark):
     vec = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
     v = spark.createDataFrame(vec, "id long, v array<double>").repartition(5)
     q = spark.createDataFrame([(i, x) for i, x in vec[:40]], "query_id long, v array<double>")
-    a = rows(vectors.vector_top_k(q, v, 5).select("query_id", "id", "rank"))
-    b = rows(vectors.vector_top_k(q, v, 5, block=7).select("query_id", "id", "rank"))
+    a = rows(vectors.vector_top_k(q, v, 8, 5).select("query_id", "id", "rank"))
+    b = rows(vectors.vector_top_k(q, v, 8, 5, block=7, cell_bytes=8 * 8 * 50).select("query_id", "id", "rank"))
     brute = []
     for qi, x in vec[:40]:
         near = sorted((round(sum((s - t) ** 2 for s, t in zip(x, y)), 9), i) for i, y in vec)[:5]
@@ -128,6 +128,17 @@ def test_vector_grid_equals_single_block(spark):
     assert a == b == sorted(brute)
 
 
+def test_ragged_and_infinite_vectors_take_no_part(spark):
+    inf, nan = float("inf"), float("nan")
+    v = spark.createDataFrame([(1, [1.0, 0.0], 7), (2, [1.0, 2.0, 3.0], 7), (3, [5.0], 7), (4, [inf, 0.0], 7), (5, [nan, 0.0], 7), (6, [None, 1.0], 7), (7, None, 7), (8, [0.0, 1.0], 8)], "id long, v array<double>, label int")
+    q = spark.createDataFrame([(1, [1.0, 0.0], 7), (2, [inf, 0.0], 7), (3, [1.0], 7)], "query_id long, v array<double>, label int")
+    assert rows(vectors.filtered_top_k(q, v, "label", 2).select("query_id", "id", "rank")) == [(1, 1, 1)]
+    assert rows(vectors.vector_top_k(q, v, 2).select("query_id", "id", "rank")) == [(1, 1, 1), (1, 8, 2)]
+    assert vectors.vector_top_k(q.limit(0), v, 2).count() == 0
+    reasons = dict(map(tuple, vectors.check_vectors(v, 2, "id", "v").collect()))
+    assert [i for i in sorted(reasons) if reasons[i] is None] == [1, 8]
+
+
 def test_user_scorer_and_embedder(spark):
     df = spark.createDataFrame([(1, "a", "q", "xx", 1), (1, "b", "q", "x", 2)], "query_id long, id string, qt string, t string, fused_rank int")
     got = fusion.score_with(df, "qt", "t", lambda q, ts: [len(t) for t in ts])
@@ -155,9 +166,11 @@ def test_leaks_and_containment_match_brute_force(spark):
     windows = {s.strip()[k : k + 20] for s in secret for k in range(len(s.strip()) - 19)}
     want = sorted((i, len({w for w in windows if w in t.strip()})) for i, t in docs)
     assert rows(mt.leaked_windows(a, p).select("id", "n_windows")) == want
-    n = spark.createDataFrame([(j, s) for j, s in enumerate(secret) if len(s) > 40], "needle_id long, needle string")
-    assert (99, 0) in rows(mt.containing(a, n))
-    assert rows(mt.containing(a, n)) == sorted((i, j) for i, t in docs for j, s in enumerate(secret) if len(s) > 40 and s in t)
+    needles = [*secret[:3], secret[0][5:25], secret[1][3:33], "ab", "abc a", "c", "", "zz", docs[4][1][10:19]]
+    n = spark.createDataFrame([(j, s) for j, s in enumerate(needles)], "needle_id long, needle string")
+    assert (99, 0) in rows(mt.containing(a, n)) and (99, 3) in rows(mt.containing(a, n))
+    assert rows(mt.containing(a, n)) == sorted((i, j) for i, t in docs for j, s in enumerate(needles) if s and s in t)
+    assert mt.containing(a, n.limit(0)).count() == 0
 
 
 # --- conflicts ---------------------------------------------------------------------------
@@ -169,13 +182,14 @@ def test_conflicts_match_sequential_rules(spark):
     first = {}
     for _g, k, v, x, i, p in sorted(obs, key=lambda o: (o[4], o[5])):
         first.setdefault((k, v), (x, i))
-    pairs = {
-        (1, min(i, j), max(i, j), k) for (k, v), (x, i) in first.items() for (k2, v2), (y, j) in first.items()
-        if k == k2 and v < v2 and x != y and i != j
+    members = {
+        (k, v, i) for (k, v), (x, i) in first.items() if any(k == k2 and x != y and i != j for (k2, _), (y, j) in first.items())
     }
-    assert set(rows(cf.cross_version_pairs(df))) == pairs
-    members = {(k, i) for _g, a, b, k in pairs for i in (a, b)}
-    assert {(r.key, r.idx) for r in cf.cross_version_participants(df).collect()} == members
+    assert {(r.key, r.version, r.idx) for r in cf.cross_version_participants(df).collect()} == members
+    fields = {r.key: (r.n_versions, r.lo, r.hi) for r in cf.cross_version_fields(df).collect()}
+    assert fields == {k: (len(i), min(i), max(i)) for k in {m[0] for m in members} for i in [[m[2] for m in members if m[0] == k]]}
+    many = spark.createDataFrame([(1, "k", f"v{i}", str(i), i, 0) for i in range(65)], "group_id long, key string, version string, value string, idx long, pos long")
+    assert rows(cf.cross_version_fields(many)) == [(1, "k", 65, 0, 64)]
 
     table = [
         # slot, body by position, positions that take part in a conflict

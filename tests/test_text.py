@@ -124,3 +124,11 @@ def test_credits(spark):
     got = [tuple(r.c) for r in df.select(au.to_credit(T).alias("c")).collect()]
     assert [e for _v, e in got] == [None, "not_a_number", "negative", "out_of_range", "not_a_number", "not_a_number", "not_finite"]
     assert str(df.limit(1).select(au.quantise(au.to_credit(T)["value"]).alias("q")).first().q) == "4.1"
+
+
+def test_cells_render_like_shortest_digits(spark):
+    from pyspark.sql import types as T
+
+    table = [(123456789.5, "123456789.5"), (0.0001, "0.0001"), (0.00001, "1e-05"), (1.25e-7, "1.25e-07"), (-12345678.25, "-12345678.25"), (3.0, "3"), (1e20, "100000000000000000000"), (0.1, "0.1"), (1e-3 / 3, "0.0003333333333333333"), (-0.5, "-0.5"), (4503599627370495.5, "4503599627370495.5"), (None, "")]
+    got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(table)], "i int, x double").orderBy("i").select(tx.cell_text(F.col("x"), T.DoubleType()).alias("s")).collect()
+    assert [r.s for r in got] == [s for _, s in table]

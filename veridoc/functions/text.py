@@ -140,13 +140,25 @@ def norm_match(c: Column, compose: bool = True) -> Column:
 
 
 def cell_text(c: Column, dtype: T.DataType) -> Column:
-    """Render a typed cell: null -> '', booleans upper case, integral floats without fraction."""
+    """Render a typed cell: null -> '', booleans upper case, floats in their shortest digits.
+
+    Integral floats have no fraction, others from 0.0001 on no exponent, smaller ones a two-digit
+    exponent, as in 1e-05.
+    """
     if isinstance(dtype, T.BooleanType):
         out = F.when(c, F.lit("TRUE")).when(~c, F.lit("FALSE"))
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        out = F.when(
-            (c == F.floor(c)) & (F.abs(c) < F.lit(9e18)), c.cast("bigint").cast("string")
-        ).otherwise(c.cast("string"))
+        plain = c.cast("string")
+        fixed = F.regexp_replace(c.cast("double").try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
+        small = F.regexp_replace(F.regexp_replace(plain, r"\.0E-", "E-"), r"E-(\d)$", "E-0$1")
+        finite = ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+        out = (
+            F.when(finite & (c == F.floor(c)) & (F.abs(c) < F.lit(9e18)), c.cast("bigint").cast("string"))
+            .when(finite & (F.abs(c) >= F.lit(9e18)) & (F.abs(c) < F.lit(1e37)), c.cast("double").try_cast("decimal(38,0)").cast("string"))
+            .when(finite & (F.abs(c) >= F.lit(1e-4)) & (c != F.floor(c)), fixed)
+            .when(finite & (c != 0), F.lower(small))
+            .otherwise(plain)
+        )
     else:
         out = strip_ws(c.cast("string"))
     return F.coalesce(out, F.lit(""))
@@ -199,16 +211,16 @@ def cjk_bigrams(c: Column, compose: bool = True) -> Column:
     return F.array_join(cjk_bigram_list(norm_search(c, compose)), " ")
 
 
-def query_terms(c: Column, compose: bool = True) -> Column:
-    """Separator-split terms of the normalised query: at most 64 terms of at most 64 characters."""
+def query_terms(c: Column, compose: bool = True, max_terms: int | None = None) -> Column:
+    """Separator-split terms of the normalised query, all of them unless ``max_terms`` says otherwise."""
     terms = F.split(norm_search(c, compose), SEPARATORS)
     terms = F.filter(terms, lambda t: t != "")
-    return F.slice(terms, 1, MAX_TERMS)
+    return terms if max_terms is None else F.slice(terms, 1, max_terms)
 
 
-def term_tokens(term: Column) -> Column:
+def term_tokens(term: Column, max_chars: int | None = None) -> Column:
     """Sub-tokens of one term: CJK grams, then the other parts, first occurrence kept."""
-    cut = F.substring(term, 1, MAX_TERM_CHARS)
+    cut = term if max_chars is None else F.substring(term, 1, max_chars)
     other = F.filter(
         F.split(F.regexp_replace(cut, "[" + CJK + "]", " "), SEPARATORS), lambda t: t != ""
     )

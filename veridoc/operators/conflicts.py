@@ -53,7 +53,6 @@ SUPPRESSED_CROSS = "cross_version_not_requested"
 SUPPRESSED_SLOT = "row_slot_not_requested"
 SUPPRESSED_BOTH = "conflict_intent_not_requested"
 # --- end of fixed values ----------------------------------------------------
-MAX_PAIR_VERSIONS = 64  # larger keys report their participants, not their pairs
 
 
 @dataclass(frozen=True)
@@ -140,22 +139,15 @@ def cross_version_participants(observed: DataFrame) -> DataFrame:
     )
 
 
-def cross_version_pairs(observed: DataFrame, max_versions: int = MAX_PAIR_VERSIONS) -> DataFrame:
-    """Distinct (group_id, lo, hi, key) of disagreeing versions.
+def cross_version_fields(observed: DataFrame) -> DataFrame:
+    """(group_id, key, n_versions, lo, hi): the contradicted versions of each field and their first and last index.
 
-    Pairs are built for keys with at most ``max_versions`` versions; a larger key is fully
-    described by ``cross_version_participants``.
+    Linear in the observations however many versions disagree; the versions themselves are the
+    rows of ``cross_version_participants``.
     """
-    f = first_values(observed)
-    small = f.groupBy("group_id", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, max_versions))
-    f = f.join(small.select("group_id", "key"), ["group_id", "key"], "left_semi")
-    right = f.select("group_id", "key", F.col("version").alias("v2"), F.col("value").alias("x2"), F.col("idx").alias("i2"))
-    hit = f.join(right, ["group_id", "key"]).where(
-        (F.col("version") < F.col("v2")) & (F.col("value") != F.col("x2")) & (F.col("idx") != F.col("i2"))
+    return cross_version_participants(observed).groupBy("group_id", "key").agg(
+        F.count(F.lit(1)).alias("n_versions"), F.min("idx").alias("lo"), F.max("idx").alias("hi")
     )
-    return hit.select(
-        "group_id", F.least("idx", "i2").alias("lo"), F.greatest("idx", "i2").alias("hi"), "key"
-    ).distinct()
 
 
 # --- row slots (G7, G8) -------------------------------------------------------------

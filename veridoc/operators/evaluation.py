@@ -252,6 +252,11 @@ def degradation_summary(cases: DataFrame, flag: str, reason: str, id_col: str) -
     return hit.groupBy(reason).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_case"), F.max(id_col).alias("last_case"))
 
 
+def degraded_cases(cases: DataFrame, flag: str, reason: str, id_col: str) -> DataFrame:
+    """(reason, case_id): every flagged case, one row each."""
+    return cases.where(F.col(flag)).select(F.col(reason).alias("reason"), F.col(id_col).alias("case_id"))
+
+
 # --- locators and coverage (E18-E20, E23-E27) ----------------------------------------------
 
 def section_match(expected: Column, actual: Column) -> Column:

@@ -42,10 +42,10 @@ def rrf(dense: DataFrame, keyword: DataFrame, k: int = RRF_K, limit: int | None
     return out if limit is None else out.where(F.col("fused_rank") <= limit)
 
 
-def output_limit(requested: Column | None, configured: int) -> Column:
-    """Explicit limit first, non-positive means nothing, never above the hard cap."""
+def output_limit(requested: Column | None, configured: int, cap: int = RERANK_OUTPUT) -> Column:
+    """Explicit limit first, non-positive means nothing, never above ``cap``."""
     raw = F.lit(configured) if requested is None else F.coalesce(requested, F.lit(configured))
-    return F.when(raw <= 0, F.lit(0)).otherwise(F.least(raw, F.lit(RERANK_OUTPUT)))
+    return F.when(raw <= 0, F.lit(0)).otherwise(F.least(raw, F.lit(cap)))
 
 
 def candidate_text(text: Column, metadata: dict[str, Column]) -> Column:
@@ -59,16 +59,17 @@ def candidate_text(text: Column, metadata: dict[str, Column]) -> Column:
 
 
 def rerank_merge(
-    fused: DataFrame, scores: DataFrame, top_k: int = RERANK_OUTPUT, requested: str | None = None
+    fused: DataFrame, scores: DataFrame, top_k: int = RERANK_OUTPUT, requested: str | None = None,
+    candidates: int = RERANK_INPUT, cap: int = RERANK_OUTPUT,
 ) -> DataFrame:
-    """Order at most 20 candidates by score, fused score, id and keep the output limit.
+    """Order the first ``candidates`` by score, fused score, id and keep the output limit, at most ``cap``.
 
     A query with any missing score is degraded: fused order, null score, a stable reason.
     A score that is present but not finite makes the whole query invalid.
     """
-    cand = fused.where(F.col("fused_rank") <= RERANK_INPUT)
+    cand = fused.where(F.col("fused_rank") <= candidates)
     joined = cand.join(scores.select("query_id", "id", "rerank_score"), ["query_id", "id"], "left")
-    q = Window.partitionBy("query_id")  # at most 20 rows per query
+    q = Window.partitionBy("query_id")  # as many rows as candidates
     finite = ~F.isnan("rerank_score") & (F.abs("rerank_score") < F.lit(float("inf")))
     joined = joined.withColumn(
         "degraded", F.max(F.col("rerank_score").isNull()).over(q)
@@ -115,8 +116,8 @@ def hash_scores(candidates: DataFrame, query_text: str, text: str) -> DataFrame:
     )
 
 
-def score_with(candidates: DataFrame, query_text: str, text: str, scorer) -> DataFrame:
-    """Run a user's scorer ``(query, list[str]) -> list[float]`` per query; at most 20 rows each."""
+def score_with(candidates: DataFrame, query_text: str, text: str, scorer, limit: int = RERANK_INPUT) -> DataFrame:
+    """Run a user's scorer ``(query, list[str]) -> list[float]`` per query on its first ``limit`` candidates."""
 
     def run(pdf):
         values = list(scorer(pdf["q"].iloc[0], pdf["t"].tolist()))
@@ -124,7 +125,7 @@ def score_with(candidates: DataFrame, query_text: str, text: str, scorer) -> Dat
             raise ValueError("score_count_mismatch")
         return pdf[["query_id", "id"]].assign(rerank_score=[float(v) for v in values])
 
-    src = candidates.where(F.col("fused_rank") <= RERANK_INPUT).select(
+    src = candidates.where(F.col("fused_rank") <= limit).select(
         "query_id", "id", F.col(query_text).alias("q"), F.col(text).alias("t")
     )
     types = {f.name: f.dataType.simpleString() for f in src.schema}

@@ -58,21 +58,23 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
 
 
-def match_plan(queries: DataFrame, id_col: str, text_col: str, compose: bool = False) -> DataFrame:
+def match_plan(
+    queries: DataFrame, id_col: str, text_col: str, compose: bool = False, max_terms: int | None = None, max_chars: int | None = None
+) -> DataFrame:
     """Disjunctive form of the AND and the OR expression of every query.
 
     One row per (query_id, mode, conjunct, token) with the conjunct's size. AND binds
     tighter than OR: a loose term splits the AND expression into several conjuncts.
     Queries over 400 characters are rejected and blank ones have no rows here;
-    ``query_status`` names both.
+    ``query_status`` names both, and what explicit ``max_terms`` and ``max_chars`` would cut.
     """
-    terms = tx.query_terms(F.col(text_col), compose)
+    terms = tx.query_terms(F.col(text_col), compose, max_terms)
     q = queries.where(F.length(text_col) <= tx.MAX_QUERY_CHARS).select(
         F.col(id_col).alias("query_id"), F.posexplode(terms).alias("term_no", "term")
     )
     q = q.select(
         "query_id", "term_no",
-        tx.term_tokens(F.col("term")).alias("tokens"),
+        tx.term_tokens(F.col("term"), max_chars).alias("tokens"),
         tx.term_is_loose(F.col("term")).alias("loose"),
     ).where(F.size("tokens") > 0)
     # OR pieces of one term: a loose term gives one piece per token, any other a single piece
@@ -84,7 +86,7 @@ def match_plan(queries: DataFrame, id_col: str, text_col: str, compose: bool = F
             )
         ).alias("piece_no", "piece"),
     )
-    # a query holds at most 64 terms of 64 characters, so this window partition is bounded
+    # a query has at most 400 characters, so this window partition is bounded
     w = Window.partitionBy("query_id").orderBy("term_no", "piece_no")
     pieces = pieces.withColumn(
         "and_conj", F.sum(F.when(F.col("piece_no") > 0, 1).otherwise(0)).over(w)
@@ -105,10 +107,16 @@ def match_plan(queries: DataFrame, id_col: str, text_col: str, compose: bool = F
     return distinct.join(size, ["query_id", "mode", "conj"])
 
 
-def query_status(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    terms = F.size(tx.query_terms(F.col(text_col), compose=False))
+def query_status(
+    queries: DataFrame, id_col: str, text_col: str, max_terms: int = tx.MAX_TERMS, max_chars: int = tx.MAX_TERM_CHARS
+) -> DataFrame:
+    """Per query: status, and the terms beyond ``max_terms`` and over ``max_chars`` that such limits would cut."""
+    listed = tx.query_terms(F.col(text_col), compose=False)
+    terms = F.size(listed)
     return queries.select(
         F.col(id_col).alias("query_id"),
+        F.greatest(terms - max_terms, F.lit(0)).alias("terms_over"),
+        F.size(F.filter(listed, lambda t: F.length(t) > max_chars)).alias("long_terms"),
         F.when(F.length(text_col) > tx.MAX_QUERY_CHARS, F.lit("query_too_long"))
         .when(terms == 0, F.lit("empty"))
         .otherwise(F.lit("searchable"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
 
+SHORT_GRAMS = (16, 8, 4, 2, 1)
+
 
 def pieces(text: Column, size: int) -> Column:
     """Consecutive pieces of ``size`` characters, in one pass over the text."""
@@ -80,17 +82,31 @@ def leaked_windows(answers: DataFrame, protected: DataFrame, width: int = 20) ->
 
 
 def containing(texts: DataFrame, needles: DataFrame, q: int = 24, stride: int = 16) -> DataFrame:
-    """(id, needle_id) where the text contains the whole needle.
+    """(id, needle_id) where the text contains the whole needle; an empty needle is in none.
 
-    Needles must have at least ``q + stride - 1`` characters: every occurrence then covers one
-    sampled gram of the text. Candidates are confirmed on the full texts.
+    A needle of at least ``q + stride - 1`` characters covers one sampled gram of any text it occurs
+    in. Shorter needles are looked up by a gram of 16, 8, 4, 2 or 1 characters, the widest that fits, at
+    every place; only the widths that some needle needs are read. Candidates are confirmed on the texts.
     """
-    grams = needles.select(
-        "needle_id", "needle",
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda k: F.substring(F.col("needle"), k, F.lit(q))))).alias("gram"),
-    )
-    spots = texts.select("id", F.explode(anchors(F.col("text"), stride, q)).alias("a")).select("id", "a.gram").distinct()
-    pairs = spots.join(grams.select("needle_id", "gram"), "gram").select("id", "needle_id").distinct()
+    size = F.length("needle")
+    width = F.when(size >= q + stride - 1, 0)
+    for w in SHORT_GRAMS:
+        width = width.when(size >= w, w)
+    sized = needles.select("needle_id", "needle", width.alias("w")).where("w IS NOT NULL")
+    pairs = None
+    for (w,) in sorted(sized.select("w").distinct().collect()):  # at most six values
+        mine = sized.where(F.col("w") == w)
+        if w:
+            grams = mine.select("needle_id", F.substring("needle", 1, w).alias("gram"))
+            spots = texts.select("id", F.explode(F.array_distinct(windows(F.col("text"), w))).alias("gram"))
+        else:
+            sampled = F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda k: F.substring(F.col("needle"), k, F.lit(q)))
+            grams = mine.select("needle_id", F.explode(F.array_distinct(sampled)).alias("gram"))
+            spots = texts.select("id", F.explode(anchors(F.col("text"), stride, q)).alias("a")).select("id", "a.gram").distinct()
+        found = spots.join(grams, "gram").select("id", "needle_id").distinct()
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return texts.select("id").join(needles.select("needle_id"), F.lit(False))
     return (
         pairs.join(texts, "id").join(needles, "needle_id").where(F.contains("text", F.col("needle"))).select("id", "needle_id")
     )

@@ -4,34 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.operators.keyword import RANK_SCALE
 
 DENSE_TOP_K = 12
-QUERY_BLOCK = 2048        # queries whose vectors travel to every task (2048 x 1024 floats = 16 MB)
-CELL_VECTORS = 200_000    # vectors per grid cell once the query table exceeds one block
+QUERY_BLOCK = 2048     # queries that meet a cell of vectors at once
+CELL_BYTES = 32 << 20  # of vectors in one cell, as doubles
 _OUT = "query_id bigint, id bigint, distance double"
 
 
+def _broken(v: Column) -> Column:
+    """Some component is null or not finite."""
+    return F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+
+
 def check_vectors(df: DataFrame, dim: int, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(id, reason): null reason for a usable vector, else why it is refused."""
     v = F.col(vec_col)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return df.select(
         F.col(id_col).alias("id"),
         F.when(v.isNull(), F.lit("missing"))
         .when(F.size(v) != dim, F.lit("dimension_mismatch"))
-        .when(bad, F.lit("not_numeric"))
+        .when(_broken(v), F.lit("not_numeric"))
         .alias("reason"),
     )
 
 
-def valid_vectors(df: DataFrame, dim: int, id_col: str, vec_col: str) -> DataFrame:
+def usable(df: DataFrame, dim: int, vec_col: str = "v") -> DataFrame:
+    """Rows whose vector ``check_vectors`` accepts, as doubles."""
     v = F.col(vec_col)
-    ok = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
-    return df.where(ok).select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("v"))
+    return df.where(v.isNotNull() & (F.size(v) == dim) & ~_broken(v)).withColumn(vec_col, v.cast("array<double>"))
 
 
 def _local_top(q_ids, q_mat, ids, mat, k):
@@ -81,96 +85,43 @@ def _cell(k: int):
     return run
 
 
-def _one_block(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    q_ids = np.array([r[0] for r in block], dtype=np.int64)
-    q_mat = np.array([r[1] for r in block], dtype=np.float64)
-    shared = spark.sparkContext.broadcast((q_ids, q_mat))
-
-    def scan(batches):
-        ids, mat = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                vec_ids = batch.column("id").to_numpy(zero_copy_only=False)
-                yield _table(*_local_top(ids, mat, vec_ids, _matrix(batch.column("v"), batch.num_rows), k))
-
-    return vectors.mapInArrow(scan, _OUT)
-
-
-def _grid(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, block: int) -> DataFrame:
-    """Queries and vectors meet in bounded cells: every query block sees every vector slice once."""
-    n_blocks = -(-n_queries // block)
-    n_slices = max(1, -(-vectors.count() // CELL_VECTORS))
-    q = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_slices - 1).cast("bigint"))).alias("s"),
-        "query_id", "v",
-    )
-    v = vectors.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("b"),
-        F.pmod(F.xxhash64("id"), F.lit(n_slices)).alias("s"),
-        "id", "v",
-    )
-
-    return q.groupBy("b", "s").cogroup(v.groupBy("b", "s")).applyInArrow(_cell(k), _OUT)
-
-
 def vector_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int = DENSE_TOP_K, block: int = QUERY_BLOCK
+    queries: DataFrame, vectors: DataFrame, dim: int, k: int = DENSE_TOP_K, block: int = QUERY_BLOCK, cell_bytes: int = CELL_BYTES
 ) -> DataFrame:
     """(query_id, id, distance, score, rank) with score = 1 / (1 + distance).
 
-    Both inputs are (id-like, ``v`` array<double>). Each task keeps its own k best, so
-    only ids and distances are shuffled. One block of queries is shipped to the tasks;
-    a larger query table takes the grid path, which is equally exact.
+    Both inputs are (id-like, ``v`` array); vectors and queries that are null, of another length than
+    ``dim`` or not finite take no part. The same plan for any number of queries or vectors.
     """
-    head = queries.select("query_id", "v").limit(block + 1).collect()
-    if not head:
-        spark = vectors.sparkSession
-        local = spark.createDataFrame([], _OUT)
-    elif len(head) <= block:
-        local = _one_block(vectors.select("id", "v"), head, k)
-    else:
-        local = _grid(queries, vectors, k, queries.count(), block)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (
-        local.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("query_id", "id", "distance", (1.0 / (1.0 + F.col("distance"))).alias("score"), "rank")
-    )
+    one = F.lit(0)
+    return filtered_top_k(queries.withColumn("_all", one), vectors.withColumn("_all", one), "_all", dim, k, block, cell_bytes)
 
 
 def filtered_top_k(
-    queries: DataFrame, vectors: DataFrame, key: str, k: int = DENSE_TOP_K
+    queries: DataFrame, vectors: DataFrame, key: str, dim: int, k: int = DENSE_TOP_K, block: int = QUERY_BLOCK, cell_bytes: int = CELL_BYTES
 ) -> DataFrame:
     """Top-k among vectors whose ``key`` equals the query's, filtered before ranking.
 
-    Rows meet on (key, slice): every vector slice of a key is one bounded cell, so a key
-    that holds a third of the table is spread over many tasks. The number of slices per
-    key comes from its count.
+    Rows meet on (key, query block, vector slice): a slice holds at most about ``cell_bytes`` of
+    vectors, so a key of any size is spread over many tasks and each cell is bounded. The
+    numbers of slices and blocks come from counts per key. A cell hands on ids and distances only.
     """
-    sizes = vectors.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(CELL_VECTORS)).cast("bigint").alias("n_slices")
-    )
-    v = vectors.join(sizes, key).select(
-        F.col(key).alias("key"), F.pmod(F.xxhash64("id"), F.col("n_slices")).alias("s"), "id", "v"
-    )
-    q_sizes = queries.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("bigint").alias("n_blocks")
-    )
-    q = (
-        queries.join(q_sizes, key).join(sizes, key)
-        .select(
-            F.col(key).alias("key"),
-            F.pmod(F.xxhash64("query_id"), F.col("n_blocks")).alias("b"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_slices") - 1)).alias("s"),
-            "query_id", "v",
-        )
+    rows = max(1, cell_bytes // (8 * dim))
+
+    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias("key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("bigint").alias(name))
+
+    def upto(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+
+    good_v, good_q = usable(vectors, dim), usable(queries, dim)
+    sizes = parts(good_v, rows, "n_slices").join(parts(good_q, block, "n_blocks"), "key")
+    v = good_v.select(F.col(key).alias("key"), "id", "v").join(sizes, "key").select(
+        "key", upto("n_blocks").alias("b"), F.pmod(F.xxhash64("id"), F.col("n_slices")).alias("s"), "id", "v"
     )
-    v = v.join(q_sizes.withColumnRenamed(key, "key"), "key").select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("b"), "s", "id", "v"
+    q = good_q.select(F.col(key).alias("key"), "query_id", "v").join(sizes, "key").select(
+        "key", F.pmod(F.xxhash64("query_id"), F.col("n_blocks")).alias("b"), upto("n_slices").alias("s"), "query_id", "v"
     )
-
     local = q.groupBy("key", "b", "s").cogroup(v.groupBy("key", "b", "s")).applyInArrow(_cell(k), _OUT)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return (

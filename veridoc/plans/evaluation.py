@@ -481,6 +481,12 @@ def degradation_summary(t: Tables) -> DataFrame:
     return ev.degradation_summary(cases, "degraded", "reason", "case_id")
 
 
+@query("degraded_cases", "E16", """SELECT props AS reason, event_id AS case_id FROM events WHERE event_type = 'error'""")
+def degraded_cases(t: Tables) -> DataFrame:
+    cases = t.events.select((F.col("event_type") == "error").alias("degraded"), F.col("props").alias("reason"), F.col("event_id").alias("case_id"))
+    return ev.degraded_cases(cases, "degraded", "reason", "case_id")
+
+
 # --- leakage and facts ----------------------------------------------------------------------------
 
 _WIN = "list_distinct([substr({t}, i, 20) FOR i IN range(1, length({t}) - 18)])"

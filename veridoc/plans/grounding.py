@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
@@ -42,11 +42,12 @@ def field_pairs(t: Tables) -> DataFrame:
 
 @query(
     "cross_version_conflicts", "G6",
-    f"""WITH {OBS_SQL} SELECT DISTINCT a.group_id, least(a.idx, b.idx) AS lo, greatest(a.idx, b.idx) AS hi, a.key
-FROM fv a JOIN fv b ON a.group_id = b.group_id AND a.key = b.key AND a.version < b.version AND a.value <> b.value AND a.idx <> b.idx""",
+    f"""WITH {OBS_SQL}, x AS (SELECT DISTINCT a.group_id, a.key, a.version, a.idx FROM fv a JOIN fv b
+ ON a.group_id = b.group_id AND a.key = b.key AND a.version <> b.version AND a.value <> b.value AND a.idx <> b.idx)
+SELECT group_id, key, count(*) AS n_versions, min(idx) AS lo, max(idx) AS hi FROM x GROUP BY group_id, key""",
 )
 def cross_version_conflicts(t: Tables) -> DataFrame:
-    return cf.cross_version_pairs(observed(t))
+    return cf.cross_version_fields(observed(t))
 
 
 _PART_SQL = """part_ AS (SELECT DISTINCT a.group_id, a.key, a.version, a.value, a.idx FROM fv a JOIN fv b
@@ -272,19 +273,20 @@ def citation_remap(t: Tables) -> DataFrame:
     return ok.select("query_id", gr.remap_answer(F.col("answer"), F.col("citations")).alias("answer"))
 
 
+def order_evidence(t: Tables) -> DataFrame:
+    """Every line of an order as its evidence, numbered in order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return t.lineitem.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("no"))
+
+
 @query(
     "citation_rows", "G14",
     f"""WITH {_COMP_SQL}, rk AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS no, l_partkey AS chunk_id FROM lineitem)
 SELECT query_id, c.i::INT AS citation_index, c.no::INT AS evidence_no, chunk_id FROM (SELECT query_id, unnest([1, 2]) AS i, unnest([3, 1]) AS no FROM good WHERE kind <> 'refused') c JOIN rk USING (query_id, no)""",
 )
 def citation_rows(t: Tables) -> DataFrame:
-    from veridoc.operators.indexstate import preview
-
     ok = gr.audit_completions(completions(t)).where("problem IS NULL")
-    items = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey")
-    ranked = preview(items, ["l_linenumber", "l_partkey", "l_suppkey"], 10).select(
-        F.col("doc_id").alias("query_id"), F.col("block_index").cast("bigint").alias("evidence_no"), F.col("l_partkey").alias("chunk_id")
-    )
+    ranked = order_evidence(t).select(F.col("l_orderkey").alias("query_id"), F.col("no").cast("bigint").alias("evidence_no"), F.col("l_partkey").alias("chunk_id"))
     return gr.citation_rows(ok, ranked).select(
         "query_id", "citation_index", F.col("evidence_no").cast("int").alias("evidence_no"), "chunk_id"
     )
@@ -364,17 +366,12 @@ def judge_audit(t: Tables) -> DataFrame:
 @query(
     "judge_requests", "E31",
     """WITH e AS (SELECT l_orderkey, '[' || string_agg('{"index":' || no || ',"quote":"' || l_partkey || '"}', ',' ORDER BY no) || ']' AS ev FROM
- (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS no FROM lineitem) WHERE no <= 10 GROUP BY 1)
+ (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS no FROM lineitem) GROUP BY 1)
 SELECT o_orderkey AS case_id, '{"question":"' || o_orderpriority || '","facts":[{"fact_index":1,"fact":"' || o_orderstatus || '"},{"fact_index":2,"fact":"second"}],"answer":"a","evidence":' || coalesce(ev, '[]') || '}' AS request
 FROM orders LEFT JOIN e ON l_orderkey = o_orderkey""",
 )
 def judge_requests(t: Tables) -> DataFrame:
-    from veridoc.operators.indexstate import preview
-
-    items = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey")
-    ev = preview(items, ["l_linenumber", "l_partkey", "l_suppkey"], 10).select(
-        F.col("doc_id").alias("case_id"), F.col("block_index").alias("index"), F.col("l_partkey").cast("string").alias("quote")
-    )
+    ev = order_evidence(t).select(F.col("l_orderkey").alias("case_id"), F.col("no").alias("index"), F.col("l_partkey").cast("string").alias("quote"))
     cases = t.orders.select(
         F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("question"),
         F.array(F.col("o_orderstatus"), F.lit("second")).alias("facts"), F.lit("a").alias("answer"),

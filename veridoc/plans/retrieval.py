@@ -108,8 +108,8 @@ def query_vectors(t: Tables) -> DataFrame:
 
 
 def vector_top(t: Tables) -> DataFrame:
-    vecs = vectors.valid_vectors(t.embeddings, DIM, "vec_id", "embedding")
-    return vectors.vector_top_k(query_vectors(t), vecs)
+    vecs = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.vector_top_k(query_vectors(t), vecs, DIM)
 
 
 def fused(t: Tables, limit: int | None = None) -> DataFrame:
@@ -201,7 +201,8 @@ def keyword_and_or_fallback(t: Tables) -> DataFrame:
     r"""SELECT conv_id * 1000 + turn AS query_id,
 CASE WHEN length(text) > 400 THEN 'query_too_long'
      WHEN len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda t: t <> '')) = 0 THEN 'empty'
-     ELSE 'searchable' END AS status FROM conversations""",
+     ELSE 'searchable' END AS status, greatest(len(ts) - 64, 0)::INT AS terms_over, len(list_filter(ts, lambda t: length(t) > 64))::INT AS long_terms
+FROM (SELECT *, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ts FROM conversations)""",
 )
 def query_status(t: Tables) -> DataFrame:
     q = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
@@ -258,9 +259,9 @@ SELECT query_id, id, round(distance, 6) AS distance, rank::INT AS rank FROM rank
 def vector_topk_filtered(t: Tables) -> DataFrame:
     q = query_vectors(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     vecs = t.embeddings.select(
-        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label"
+        F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"
     )
-    return vectors.filtered_top_k(q, vecs, "label").select(
+    return vectors.filtered_top_k(q, vecs, "label", DIM).select(
         "query_id", "id", F.round("distance", 6).alias("distance"), "rank"
     )
 
