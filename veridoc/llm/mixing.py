@@ -121,7 +121,7 @@ def mix(
     schedule = schedule or (lambda place, _: CURRICULUM[place % len(CURRICULUM)])
     key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
     sized = docs.withColumns({
-        "_size": word_count(F.col(text)), "_key": key, "_source": F.col(source).cast("string"),
+        "_size": word_count(F.col(text)), "_digest": F.xxhash64(text), "_key": key, "_source": F.col(source).cast("string"),
         "_cell": F.concat_ws(":", F.substring(key, 1, CELL_DIGITS), F.col(source).isNull().cast("string"), F.col(source).cast("string")),
     })
     cells = staged(sized.groupBy("_source", "_cell").agg(F.sum("_size").alias("_n")))
@@ -129,7 +129,7 @@ def mix(
     plan = docs.sparkSession.createDataFrame(_plan(totals, schedule, share, limit), _PLAN)
     before = W.Window.partitionBy("_source").orderBy("_cell").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = cells.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = W.Window.partitionBy("_cell").orderBy("_key", F.col(id_column), "_size", F.xxhash64(text)).rowsBetween(W.Window.unboundedPreceding, -1)
+    within = W.Window.partitionBy("_cell").orderBy("_key", F.col(id_column), "_size", "_digest").rowsBetween(W.Window.unboundedPreceding, -1)
     streamed = sized.join(offsets, "_cell").withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
     named = plan.withColumnRenamed("_source", "_plan_source")
     placed = streamed.join(named, F.col("_source").eqNullSafe(F.col("_plan_source")))
@@ -140,7 +140,7 @@ def mix(
     due_at = due(F.col("_start") / F.col("_demand"), F.col("_t"), F.col("_w"), F.col("_run"))
     return placed.withColumns({"_taken": taken, "_copies": F.when(F.col("_size") > 0, passes).otherwise(0) + (part > 0).cast("long")}).withColumn(
         "_position", F.when(F.col("_taken") > 0, due_at)
-    ).drop("_key", "_cell", "_source", "_offset", "_start", "_plan_source", "_demand", "_t", "_w", "_run")
+    ).drop("_key", "_digest", "_cell", "_source", "_offset", "_start", "_plan_source", "_demand", "_t", "_w", "_run")
 
 
 def in_training_order(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
