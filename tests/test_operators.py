@@ -101,10 +101,25 @@ def test_match_plan_and_binds_tighter_than_or(spark):
 
 def test_and_falls_back_to_or(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red"), (3, "blue")], "id long, text string")
-    tokens = keyword.tokenised(docs, "id", ["text"])
+    tokens = keyword.build_index(keyword.tokenised(docs, "id", ["text"]))
     q = spark.createDataFrame([(7, "red fox"), (8, "red blue"), (9, "  ")], "id long, t string")
     hits = keyword.keyword_matches(tokens, keyword.match_plan(q, "id", "t"))
     assert rows(hits.select("query_id", "id", "mode")) == [(7, 1, "and"), (8, 1, "or"), (8, 2, "or"), (8, 3, "or")]
+    # restricted ids: the AND hit of query 7 may not be returned, its score statistics stay
+    allowed = spark.createDataFrame([(2,), (3,)], "id long")
+    part = keyword.keyword_matches(tokens, keyword.match_plan(q, "id", "t"), allowed)
+    assert rows(part.select("query_id", "id", "mode")) == [(7, 2, "or"), (8, 2, "or"), (8, 3, "or")]
+    whole = {(r.query_id, r.id): r.score for r in hits.collect()}
+    assert all(r.score == whole[r.query_id, r.id] for r in part.collect() if (r.query_id, r.id) in whole)
+
+
+def test_saved_index_equals_the_built_one(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "red"), (3, "blue 狐狸 fox")], "id long, text string")
+    tokens = keyword.tokenised(docs, "id", ["text"])
+    built, saved = keyword.build_index(tokens), keyword.save_index(tokens, str(tmp_path / "index"))
+    for name in ("postings", "terms", "totals"):
+        a, b = getattr(built, name), getattr(saved, name)
+        assert rows(a) == rows(b.select(*a.columns))
 
 
 def test_rrf_order(spark):

@@ -1,14 +1,17 @@
 """Keyword index and BM25 retrieval for whole batches of queries.
 
-Plan shape: tokens are counted per (term, id) behind a map-side partial count,
-document frequencies come from the same shuffled postings, and the per-query
-top-k is cut inside every map task before the final exchange, so a query that
-matches a third of the corpus never sends more than k rows per task.
+The corpus is tokenised once and stored as postings clustered by term with their document
+frequencies and two totals. A batch of queries reads the postings of its terms, restricted to the
+ids it may return while the statistics stay those of the whole index. The per-query top-k is cut
+inside every map task before the final exchange, so a query that matches a third of the corpus
+never sends more than k rows per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
@@ -58,6 +61,43 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings (term, id, tf, dl), terms (term, df) and one row of totals (n, avgdl) over all indexed rows."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+def build_index(tokens: DataFrame) -> Index:
+    postings = build_postings(tokens)
+    return Index(postings, term_stats(postings), index_stats(tokens))
+
+
+def save_index(tokens: DataFrame, path: str) -> Index:
+    """Tokenise once and store the index, postings clustered by term; counts are taken from what is stored."""
+    spark = tokens.sparkSession
+    tokens.select("id", "dl").write.parquet(f"{path}/lengths")
+    build_postings(tokens).repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    term_stats(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
+    index_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/totals")
+    return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+
+
+def _wanted(index: Index, terms: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, Column, Column]:
+    """Postings of the wanted terms and allowed ids with df, and the totals of the whole index as scalars."""
+    totals = index.totals.select(F.struct("n", "avgdl").alias("s")).scalar()
+    found = index.postings.join(index.terms.join(terms, "term", "left_semi"), "term")
+    if allowed is not None:
+        found = found.join(allowed.select("id").distinct(), "id", "left_semi")
+    return found, totals["n"], totals["avgdl"]
+
+
 def match_plan(
     queries: DataFrame, id_col: str, text_col: str, compose: bool = False, max_terms: int | None = None, max_chars: int | None = None
 ) -> DataFrame:
@@ -130,18 +170,14 @@ def _weight(n, avgdl):
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def keyword_matches(tokens: DataFrame, plan: DataFrame) -> DataFrame:
-    """All matching (query_id, id, score, mode): AND hits where the query has any, else OR hits."""
-    stats = index_stats(tokens).select(F.struct("n", "avgdl").alias("s")).scalar()
-    n, avgdl = stats["n"], stats["avgdl"]
-    wanted = plan.select(F.col("token").alias("term")).distinct()
-    postings = (
-        tokens.select("id", "dl", F.explode("tokens").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term", "id")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
-    weighted = postings.join(term_stats(postings), "term").withColumn("w", _weight(n, avgdl))
+def keyword_matches(index: Index, plan: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """All matching (query_id, id, score, mode): AND hits where the query has any, else OR hits.
+
+    ``allowed`` (id) restricts what may be returned; weights keep the statistics of the whole index,
+    and whether a query has AND hits is decided among the allowed rows.
+    """
+    postings, n, avgdl = _wanted(index, plan.select(F.col("token").alias("term")).distinct(), allowed)
+    weighted = postings.withColumn("w", _weight(n, avgdl))
     hits = plan.withColumnRenamed("token", "term").join(weighted, "term")
     per_conj = hits.groupBy("query_id", "id", "mode", "conj", "conj_size").agg(
         F.count(F.lit(1)).alias("found"), F.sum(F.col("w") * F.col("mult")).alias("s")
@@ -164,26 +200,17 @@ def keyword_matches(tokens: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
-    """(query_id, id, score) for any shared token; ``query_tokens`` is (query_id, token), repeats count."""
-    stats = index_stats(tokens).select(F.struct("n", "avgdl").alias("s")).scalar()
-    n, avgdl = stats["n"], stats["avgdl"]
-    q = query_tokens.groupBy("query_id", F.col("token").alias("term")).agg(
-        F.count(F.lit(1)).alias("mult")
-    )
-    wanted = q.select("term").distinct()
-    postings = (
-        tokens.select("id", "dl", F.explode("tokens").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term", "id")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
-    idf_side = q.join(term_stats(postings), "term")
+def bm25_scores(index: Index, query_tokens: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score) for any shared token; ``query_tokens`` is (query_id, token), repeats count.
+
+    ``allowed`` (id) restricts what may be returned; the statistics stay those of the whole index.
+    """
+    q = query_tokens.groupBy("query_id", F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("mult"))
+    postings, n, avgdl = _wanted(index, q.select("term").distinct(), allowed)
     return (
-        postings.join(idf_side, "term")
-        .withColumn("w", _weight(n, avgdl) * F.col("mult"))
+        postings.withColumn("_w", _weight(n, avgdl)).join(q, "term")
         .groupBy("query_id", "id")
-        .agg(F.round(F.sum("w"), RANK_SCALE).alias("score"))
+        .agg(F.round(F.sum(F.col("_w") * F.col("mult")), RANK_SCALE).alias("score"))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from veridoc.functions import digest as dg
 from veridoc.functions import text as tx
 from veridoc.operators import fusion, keyword, vectors
 from veridoc.plans.registry import query
-from veridoc.session import Tables
+from veridoc.session import Tables, checkpoint_root
 
 DIM = 64
 INDEXED = ["text", "lang", "source"]
@@ -94,21 +96,36 @@ def doc_tokens(t: Tables) -> DataFrame:
     return keyword.tokenised(t.wide("documents"), "doc_id", INDEXED)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(t: Tables) -> keyword.Index:
+    """The keyword index of the documents, stored once per application and data folder in the shared folder."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _STORED:
+        path = f"{checkpoint_root(t.spark)}/keyword-{uuid.uuid4().hex}"
+        keyword.save_index(doc_tokens(t), path)
+        _STORED[key] = path
+    return keyword.load_index(t.spark, _STORED[key])
+
+
 def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
-def keyword_top(t: Tables) -> DataFrame:
+def keyword_top(t: Tables, allowed: DataFrame | None = None) -> DataFrame:
     q = questions(t).select("query_id", F.explode(tx.index_tokens(F.col("text"))).alias("token"))
-    return keyword.top_k(keyword.bm25_scores(doc_tokens(t), q))
+    return keyword.top_k(keyword.bm25_scores(stored_index(t), q, allowed))
 
 
 def query_vectors(t: Tables) -> DataFrame:
     return questions(t).select("query_id", dg.hash_vector(F.col("text"), DIM).alias("v"))
 
 
-def vector_top(t: Tables) -> DataFrame:
+def vector_top(t: Tables, allowed: DataFrame | None = None) -> DataFrame:
     vecs = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    if allowed is not None:
+        vecs = vecs.join(allowed, "id", "left_semi")
     return vectors.vector_top_k(query_vectors(t), vecs, DIM)
 
 
@@ -190,7 +207,7 @@ def keyword_and_or_fallback(t: Tables) -> DataFrame:
         )
     )
     plan = keyword.match_plan(qs, "query_id", "text")
-    hits = keyword.keyword_matches(doc_tokens(t), plan)
+    hits = keyword.keyword_matches(stored_index(t), plan)
     return keyword.top_k(hits, extra=("mode",)).select(
         "query_id", "id", F.round("score", 6).alias("score"), "rank", "mode"
     )
@@ -215,8 +232,7 @@ def query_status(t: Tables) -> DataFrame:
 FROM tf JOIN df USING (term) GROUP BY term, df""",
 )
 def index_terms(t: Tables) -> DataFrame:
-    postings = keyword.build_postings(doc_tokens(t))
-    return postings.groupBy("term").agg(
+    return stored_index(t).postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")
     )
 
@@ -227,10 +243,9 @@ def index_terms(t: Tables) -> DataFrame:
 (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM tf) AS n_postings FROM stats""",
 )
 def index_statistics(t: Tables) -> DataFrame:
-    tokens = doc_tokens(t)
-    terms = keyword.term_stats(keyword.build_postings(tokens))
-    sums = terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
-    return keyword.index_stats(tokens).select(
+    index = stored_index(t)
+    sums = index.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
+    return index.totals.select(
         F.col("n").alias("n_rows"), F.round("avgdl", 6).alias("avg_length"),
         sums.select("n_terms").scalar().alias("n_terms"),
         sums.select("n_postings").scalar().alias("n_postings"),
