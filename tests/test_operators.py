@@ -236,7 +236,9 @@ def test_narrowest_cover_matches_brute_force(spark):
 
 def test_long_warnings_stay_as_rows(spark):
     items = spark.createDataFrame([(1, "r", 2, "C", str(i)) for i in range(5)] + [(2, "r", 2, "C", "x")], "set_id long, rule_set_id string, ordinal int, code string, item string")
-    assert rows(au.warnings(items, inline=3).select("set_id", "n_items", "items")) == [(1, 5, None), (2, 1, "x")]
+    assert rows(au.warnings(items).select("set_id", "n_items", "first_item", "last_item")) == [(1, 5, "0", "4"), (2, 1, "x", "x")]
+    many = spark.range(1001).select(F.lit(1).cast("long").alias("set_id"), F.lit("r").alias("rule_set_id"), F.lit(2).alias("ordinal"), F.lit("C").alias("code"), F.format_string("%04d", "id").alias("item"))
+    assert rows(au.warnings(many).select("n_items", "first_item", "last_item")) == [(1001, "0000", "1000")]
 
 
 def test_call_state_follows_the_sequence(spark):

@@ -43,12 +43,10 @@ WARNINGS = (
     "DEGREE_PLAN_VERSION_CONFLICT", "COURSE_TIME_CONFLICT", "COURSE_CATEGORY_MISMATCH",
     "COURSE_RECORD_CONTRADICTION", "COURSE_NOT_IN_RULE_CATALOG", "REQUIRED_COURSE_UNKNOWN",
 )
-ITEM_JOINER = "、"
 COURSE_CODE = r"^[A-Za-z]{2,5}-[A-Za-z]{2,5}\d{2,5}$"
 # --- end of fixed values ----------------------------------------------------
 KEY = ["set_id", "rule_set_id"]
 CREDIT = "decimal(10,4)"
-INLINE_ITEMS = 1000  # a warning with more items keeps them as rows only
 
 
 # --- values (A1, A2) -----------------------------------------------------------
@@ -474,17 +472,14 @@ def warning_items(
     return out.unionByName(rows(missing.where("unknown").distinct(), WARNINGS[5], F.col("course_code"))).distinct()
 
 
-def warnings(items: DataFrame, inline: int = INLINE_ITEMS) -> DataFrame:
-    """One row per warning with its item count and, up to ``inline`` items, their joined text.
+def warnings(items: DataFrame) -> DataFrame:
+    """One row per warning with its number of items and the first and last of them, at any size.
 
-    Longer warnings keep a null text: their items stay available as rows, so no warning is
-    ever gathered whole.
+    The items themselves stay rows of ``items``: no warning is gathered whole.
     """
-    key = [*KEY, "ordinal", "code"]
-    counts = items.groupBy(*key).agg(F.count(F.lit(1)).alias("n_items"))
-    short = items.join(counts.where(F.col("n_items") <= inline), key, "left_semi")
-    texts = short.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("item")), ITEM_JOINER).alias("items"))
-    return counts.join(texts, key, "left")
+    return items.groupBy(*KEY, "ordinal", "code").agg(
+        F.count(F.lit(1)).alias("n_items"), F.min("item").alias("first_item"), F.max("item").alias("last_item")
+    )
 
 
 def warning_evidence(warning_rows: DataFrame, record_chunks: DataFrame, rule_chunks: DataFrame) -> DataFrame:

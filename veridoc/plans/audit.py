@@ -173,12 +173,17 @@ def plan_contradictions(t: Tables) -> DataFrame:
 
 @query(
     "plan_warnings", "A17,A24",
-    f"""WITH {AUDIT_SQL} SELECT set_id, rule_set_id, ordinal, code, count(*) AS n_items, string_agg(item, '、' ORDER BY item) AS items FROM wi GROUP BY ALL""",
+    f"""WITH {AUDIT_SQL} SELECT set_id, rule_set_id, ordinal, code, count(*) AS n_items, min(item) AS first_item, max(item) AS last_item FROM wi GROUP BY ALL""",
 )
 def plan_warnings(t: Tables) -> DataFrame:
     return au.warnings(Inputs(t).items())
 
 
+@query("plan_warning_rows", "A24", f"WITH {AUDIT_SQL} SELECT set_id, rule_set_id, ordinal, code, item FROM wi")
+def plan_warning_rows(t: Tables) -> DataFrame:
+    return Inputs(t).items().select("set_id", "rule_set_id", "ordinal", "code", "item")
+
+
 @query(
     "plan_warning_items", "A24",
     f"WITH {AUDIT_SQL} SELECT rule_set_id, code, item, count(*) AS n_sets FROM wi GROUP BY ALL",
