@@ -273,13 +273,13 @@ def nearest_miss(t: Tables) -> DataFrame:
     "staged_misses", "E27",
     f"""WITH {LOC_SQL}, a AS (SELECT case_id, no AS expected_no, min(rank) FILTER (len(failed) = 0) AS fused_best_rank, {_MISS} AS fused_failed_fields FROM pr GROUP BY ALL),
 b AS (SELECT case_id, no AS expected_no, min(rank) FILTER (len(failed) = 0) AS final_best_rank, {_MISS} AS final_failed_fields FROM
-  (SELECT case_id, no, CASE WHEN rank <= 3 THEN rank END AS rank, CASE WHEN rank <= 3 THEN failed END AS failed FROM pr) GROUP BY ALL)
+  (SELECT case_id, no, CASE WHEN rank % 2 = 1 THEN rank END AS rank, CASE WHEN rank % 2 = 1 THEN failed END AS failed FROM pr) GROUP BY ALL)
 SELECT case_id, expected_no, fused_best_rank IS NOT NULL AS fused_recalled, fused_best_rank, fused_failed_fields, final_best_rank IS NOT NULL AS final_recalled, final_best_rank, final_failed_fields
 FROM a JOIN b USING (case_id, expected_no)""",
 )
 def staged_misses(t: Tables) -> DataFrame:
     cited = cited_locators(t)
-    return ev.staged_misses(expected_locators(t), {"fused": cited, "final": cited.where("rank <= 3")})
+    return ev.staged_misses(expected_locators(t), {"fused": cited, "final": cited.where("rank % 2 = 1")})
 
 
 @query(
@@ -328,14 +328,14 @@ def composition_duplicates(t: Tables) -> DataFrame:
 @query(
     "source_coverage", "E25",
     f"""WITH {LOC_SQL}, x AS (SELECT DISTINCT case_id, es || '.pdf' AS name FROM e), r AS (SELECT case_id, s || '.pdf' AS name, min(rank) AS best_rank FROM c GROUP BY ALL),
-ci AS (SELECT case_id, s || '.pdf' AS name, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS positions FROM c WHERE rank <= 3 GROUP BY ALL)
+ci AS (SELECT case_id, s || '.pdf' AS name, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS positions FROM c WHERE rank % 2 = 1 GROUP BY ALL)
 SELECT case_id, substr(sha256('source:' || name), 1, 12) AS source_digest, best_rank IS NOT NULL AS recalled, best_rank, positions IS NOT NULL AS cited, positions
 FROM x LEFT JOIN r USING (case_id, name) LEFT JOIN ci USING (case_id, name)""",
 )
 def source_coverage(t: Tables) -> DataFrame:
     flat = cited_locators(t).select("case_id", "rank", F.col("locator.path").alias("path"))
     expected = expected_locators(t).select("case_id", F.col("locator.path").alias("path"))
-    return ev.source_coverage(expected, flat, flat.where("rank <= 3"))
+    return ev.source_coverage(expected, flat, flat.where("rank % 2 = 1"))
 
 
 # --- verdicts and gates ------------------------------------------------------------------------
