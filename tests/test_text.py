@@ -126,6 +126,11 @@ def test_credits(spark):
     assert str(df.limit(1).select(au.quantise(au.to_credit(T)["value"]).alias("q")).first().q) == "4.1"
 
 
+def test_only_listed_reasons_pass(spark):
+    got = spark.createDataFrame([(" not_json ",), ("NOT_JSON",), ("key=abc",), ("",), (None,)], "s string").select(tx.listed_label(F.col("s")).alias("l")).collect()
+    assert [r.l for r in got] == ["not_json", "unknown", "unknown", None, None]
+
+
 def test_cells_render_like_shortest_digits(spark):
     from pyspark.sql import types as T
 

@@ -53,3 +53,13 @@ def is_object(v: Column) -> Column:
 
 def keys(v: Column) -> Column:
     return F.json_object_keys(F.to_json(v))
+
+
+def elements(v: Column) -> Column:
+    """Elements of a JSON list; null for any other type."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def has(v: Column, name: str) -> Column:
+    """The object has the member, be it null."""
+    return F.coalesce(F.array_contains(keys(v), name), F.lit(False))

@@ -39,6 +39,11 @@ LABEL_RULES = {
     "digest": (r"^[0-9a-f]{64}$", None, None),
     "outcome": (r"^(?:answered|refused|conflict)$", None, None),
 }
+GROUNDING_REASONS = (
+    "not_json", "not_object", "bad_outcome", "bad_reason_code", "conflict_without_server_evidence", "reason_code_outcome_mismatch",
+    "empty_answer", "answer_too_long", "bad_citation_list", "citation_out_of_range", "duplicate_citation", "refused_with_citations",
+    "missing_citation", "missing_required_citation", "citation_marker_mismatch",
+)
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -375,7 +380,12 @@ def base_name(c: Column) -> Column:
     return strip_ws(F.regexp_extract(c, r"([^/]*)$", 1))
 
 
-# label kind -> (pattern, label for text that does not fit)
+def listed_label(c: Column, allowed: tuple[str, ...] = GROUNDING_REASONS) -> Column:
+    """Keep a listed label, map other text to unknown and blanks to null: no free text passes."""
+    text = strip_ws(c.cast("string"))
+    return F.when(text.isin(*allowed), text).when(F.coalesce(text, F.lit("")) != "", F.lit("unknown"))
+
+
 def norm_label(c: Column, kind: str) -> Column:
     """Keep a well-formed label, map other text to the fallback and blanks to the blank value."""
     pattern, fallback, blank = LABEL_RULES[kind]

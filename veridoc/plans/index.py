@@ -483,10 +483,12 @@ def manifest_entries(t: Tables) -> DataFrame:
 
 @query(
     "case_lines", "S6,E1",
-    """WITH c AS (SELECT o_orderkey AS line_no, o_orderpriority AS category, o_orderstatus AS st, month(o_orderdate) AS m,
+    """WITH c AS (SELECT o_orderkey AS line_no, o_orderpriority AS category, o_orderstatus AS st, month(o_orderdate) AS m, o_orderkey % 8 AS k,
    'case' || CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey ELSE o_orderkey + 100000000 END AS id FROM orders),
 p AS (SELECT line_no, CASE WHEN st = 'P' AND m = 1 THEN NULL ELSE id END AS id, CASE WHEN st = 'P' AND m = 1 THEN 'not_json' WHEN st = 'O' AND m = 2 THEN 'bad_question'
-  WHEN st = 'F' AND m = 3 THEN 'bad_should_refuse' WHEN st = 'F' AND m = 4 THEN 'bad_expected_source_paths' END AS problem FROM c)
+  WHEN st = 'F' AND m = 4 THEN 'bad_expected_source_paths'
+  WHEN st = 'O' AND m = 5 AND k < 4 THEN 'bad_required_evidence_groups' WHEN st = 'O' AND m = 6 THEN 'bad_supporting_answer_facts' WHEN st = 'O' AND m = 7 THEN 'bad_supporting_locators'
+  WHEN st = 'F' AND m = 3 THEN 'bad_should_refuse' WHEN st = 'O' AND m = 8 THEN 'bad_conflict_expected' END AS problem FROM c)
 SELECT line_no, id, CASE WHEN problem IS NULL AND line_no <> min(line_no) FILTER (problem IS NULL) OVER (PARTITION BY id) THEN 'duplicate_id' ELSE problem END AS problem FROM p""",
 )
 def case_lines(t: Tables) -> DataFrame:
@@ -499,9 +501,16 @@ def case_lines(t: Tables) -> DataFrame:
     paths = F.when((st == "F") & (m == 4), F.lit('"one"')).otherwise(F.lit('["a.pdf","b.pdf"]'))
     refuse = F.when((st == "F") & (m == 3), F.lit('"yes"')).otherwise(F.lit("false"))
     question = F.when((st == "O") & (m == 2), F.lit(" ")).otherwise(F.lit("why?"))
+    k, late = F.col("o_orderkey") % 8, st == "O"
+    broken = F.when(k == 0, F.lit("[[]]")).when(k == 1, F.lit('"all"')).when(k == 2, F.lit("[[1]]")).otherwise(F.lit('[[{"path":"a"}],{"path":"b"}]'))
+    groups = F.when(late & (m == 5) & (k < 4), broken).otherwise(F.lit('[[{"path":"a.pdf"},{"path":"b.pdf"}],[{"path":"c.pdf"}]]'))
+    facts = F.when(late & (m == 6), F.lit('["fact"," "]')).otherwise(F.lit('["fact"]'))
+    locators = F.when(late & (m == 7), F.lit('[{"path":"a"},"b"]')).otherwise(F.lit("[]"))
+    conflict = F.when(late & (m == 8), F.lit('"no"')).otherwise(F.lit("true"))
     line = F.concat(
         F.lit('{"id":"'), case_id, F.lit('","category":"'), F.col("o_orderpriority"), F.lit('","question":"'), question,
-        F.lit('","expected_source_paths":'), paths, F.lit(',"should_refuse":'), refuse,
+        F.lit('","expected_source_paths":'), paths, F.lit(',"required_evidence_groups":'), groups, F.lit(',"supporting_answer_facts":'), facts,
+        F.lit(',"supporting_source_paths":[],"supporting_locators":'), locators, F.lit(',"conflict_expected":'), conflict, F.lit(',"should_refuse":'), refuse,
         F.when((st == "P") & (m == 1), F.lit("")).otherwise(F.lit("}")),
     )
     lines = o.select(F.col("o_orderkey").alias("line_no"), line.alias("value"))
@@ -597,6 +606,18 @@ def call_audit_by_user(t: Tables) -> DataFrame:
     return jobs.call_audit(log)
 
 
+@query(
+    "call_failures", "E32",
+    """SELECT user_id % 4 AS provider, CASE event_id % 3 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'reranker_unavailable' ELSE 'unknown' END AS reason, count(*) AS n
+FROM events WHERE event_type = 'error' GROUP BY ALL""",
+)
+def call_failures(t: Tables) -> DataFrame:
+    kind = F.col("event_id") % 3
+    raw = F.when(kind == 0, "TimeoutError").when(kind == 1, " reranker_unavailable ").when(F.col("event_id") % 2 == 0, F.col("props"))
+    log = t.events.select((F.col("user_id") % 4).alias("provider"), (F.col("event_type") != "error").alias("succeeded"), raw.alias("reason"))
+    return jobs.call_failures(log)
+
+
 @query("call_audit_stream", "W2", f"WITH {CALLS_SQL} SELECT provider, calls, ok, failed, state FROM audit")
 def call_audit_stream(t: Tables) -> DataFrame:
     root = fresh_folder(t, "audit")

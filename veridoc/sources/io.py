@@ -119,6 +119,24 @@ def validate_manifest(manifest: DataFrame, files: DataFrame, expected_version: s
     )
 
 
+def _every(v: Column, check) -> Column:
+    """A JSON list whose elements all pass; anything else does not."""
+    return jx.is_list(v) & F.coalesce(F.forall(jx.elements(v), check), F.lit(False))
+
+
+def _objects(v: Column) -> Column:
+    return _every(v, jx.is_object)
+
+
+def _texts(v: Column) -> Column:
+    return _every(v, lambda x: (jx.kind(x) == "STRING") & (F.trim(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))) != ""))
+
+
+def _groups(v: Column) -> Column:
+    """Groups of evidence: a list, possibly empty, of non-empty lists of objects."""
+    return _every(v, lambda g: _objects(g) & (F.size(jx.elements(g)) > 0))
+
+
 def parse_cases(lines: DataFrame, value: str = "value") -> DataFrame:
     """One JSON object per line -> fields plus the first validation problem.
 
@@ -139,7 +157,10 @@ def parse_cases(lines: DataFrame, value: str = "value") -> DataFrame:
         return F.struct(
             v.isNull().alias("unreadable"), jx.is_object(v).alias("is_object"),
             jx.kind(jx.member(v, "$.id")).alias("id"), jx.is_list(jx.member(v, "$.expected_source_paths")).alias("paths"),
-            jx.kind(jx.member(v, "$.should_refuse")).alias("refuse"),
+            jx.kind(jx.member(v, "$.should_refuse")).alias("refuse"), _groups(jx.member(v, "$.required_evidence_groups")).alias("groups"),
+            _texts(jx.member(v, "$.supporting_answer_facts")).alias("facts"), _texts(jx.member(v, "$.supporting_source_paths")).alias("sources"),
+            _objects(jx.member(v, "$.supporting_locators")).alias("locators"),
+            jx.kind(jx.member(v, "$.conflict_expected")).alias("conflict"), jx.has(v, "conflict_expected").alias("has_conflict"),
         )
 
     parsed = parsed.withColumn("_s", tx.let(jx.strict_json(raw), shapes))
@@ -155,7 +176,12 @@ def parse_cases(lines: DataFrame, value: str = "value") -> DataFrame:
             | F.coalesce(F.exists(paths, lambda p: F.coalesce(F.trim(p), F.lit("")) == ""), F.lit(False)),
             "bad_expected_source_paths",
         )
+        .when(~F.col("_s.groups"), "bad_required_evidence_groups")
+        .when(~F.col("_s.facts"), "bad_supporting_answer_facts")
+        .when(~F.col("_s.sources"), "bad_supporting_source_paths")
+        .when(~F.col("_s.locators"), "bad_supporting_locators")
         .when(F.col("_s.refuse") != "BOOLEAN", "bad_should_refuse")
+        .when(F.col("_s.has_conflict") & (F.col("_s.conflict") != "BOOLEAN"), "bad_conflict_expected")
     )
     checked = parsed.select("line_no", "c.*", problem.alias("problem")).drop("_corrupt")
     copies = checked.where("problem IS NULL").groupBy(F.trim("id").alias("_id")).agg(F.min("line_no").alias("_first"))
@@ -175,6 +201,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return parse_cases(lines)
 
 
+def empty_case_set(cases: DataFrame) -> DataFrame:
+    """One row with whether a case file holds no case at all."""
+    return cases.agg((F.count(F.lit(1)) == 0).alias("empty"))
+
+
 def write_replace(current_path: str, new: DataFrame, target_path: str, key: str) -> DataFrame:
     """Write the next snapshot: documents of ``new`` replace their old rows. The old folder stays.
 
