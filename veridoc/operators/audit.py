@@ -634,8 +634,9 @@ def timetable_conflicts(timetable: DataFrame, in_progress: DataFrame) -> DataFra
     slot = ["doc_id", "term", "weekday", "period"]
     codes = timetable.select(*slot, "course_code").distinct()
     crowded = codes.groupBy(*slot).agg(F.count(F.lit(1)).alias("n_codes")).where("n_codes >= 2")
-    touched = codes.join(in_progress.select("set_id", "term", "course_code").distinct(), ["term", "course_code"])
-    return touched.join(crowded, slot).select("set_id", *slot, "n_codes").distinct()
+    taken = in_progress.select("set_id", "term", "course_code").distinct()
+    # crowded slots first: only their courses meet the sets that take them
+    return codes.join(crowded, slot).join(taken, ["term", "course_code"]).select("set_id", *slot, "n_codes").distinct()
 
 
 def narrowest_cover(targets: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -156,7 +156,8 @@ def audit_completions(df: DataFrame, max_answer: int = 4000) -> DataFrame:
         )
 
     audited = tx.let(jx.strict_json(strip_fence(F.col("raw"))), lambda v: tx.let(read(v), judge))
-    return df.select(*df.columns, audited.alias("_a")).select(*df.columns, "_a.*")
+    # a generator, so that a filter on the verdict doesn't take the audit along and run it twice
+    return df.select(*df.columns, F.explode(F.array(audited)).alias("_a")).select(*df.columns, "_a.*")
 
 
 def remap_answer(answer: Column, citations: Column) -> Column:
@@ -265,7 +266,8 @@ def audit_judge(df: DataFrame) -> DataFrame:
         return tx.let(reason, lambda r: F.struct(r.alias("reason"), F.when(r.isNull(), derived).alias("verdict")))
 
     audited = tx.let(jx.strict_json(strip_fence(F.col("raw"))), lambda v: tx.let(read(v), judge))
-    return df.select(*df.columns, audited.alias("_a")).select(*df.columns, "_a.*")
+    # a generator, so that a filter on the verdict doesn't take the audit along and run it twice
+    return df.select(*df.columns, F.explode(F.array(audited)).alias("_a")).select(*df.columns, "_a.*")
 
 
 def judge_request(cases: DataFrame, evidence: DataFrame, key: str = "case_id") -> DataFrame:
