@@ -244,6 +244,11 @@ _OTHER = {
     "comments": ['<section class="comments">', '<div id="comments">', '<ul class="comment-list">', '<div class="comment">', '<div class="discussion">', '<div class="replies">', '<section id="reader-comments">', '<div class="user-comments">', '<ol class="commentlist">'],
     "footer": ["<footer>", '<div class="footer">', '<div id="footer">', '<div class="copyright">', '<footer class="site-footer">'],
 }
+_SHAPES = ["<p>{}</p>"] * 8 + [
+    "<p><b>{}<br></p>", "<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}<li>{}</ul>",
+    "<ol><li>{}</li><li>{}</li></ol>", "<pre>{}</pre>", "<dl><dt>{}<dd>{}</dl>", "<figure><img src=x><figcaption>{}</figcaption></figure>",
+    "<table><tr><th>{}</th><th>{}</th></tr><tr><td>{}</td><td>{}</td></tr></table>", "<table><tbody><tr><td>{}<td>{}</table>",
+]
 _STOCK = (
     "Home|About us|Contact|Sign in|Register|Search|Privacy policy|Terms of use|Subscribe to our newsletter|Share this|Read more|Related articles|"
     "We use cookies to improve your experience|Accept all|Leave a reply|3 comments|Posted by|Advertisement|Sponsored|All rights reserved|© 2020|Follow us|Tags|Log in|Next|Previous"
@@ -280,8 +285,9 @@ def compose(rng: np.random.Generator, paragraphs: list[str]) -> str:
     content, around = pick(_CONTENT), pick(_AROUND)
     inner = [f"<h1>\x01{words(3, 12)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(int(rng.integers(1, 12))):
-        shape = pick(["<p>\x01{}</p>"] * 6 + ["<p><b>\x01{}<br></p>", "<h2>\x01{}</h2>", "<blockquote>\x01{}</blockquote>", "<ul><li>\x01{}</ul>", "<div>\x01{}</div>", "<p>\x01{}"])
-        inner.append(shape.format(words(2, 20 if "h2" in shape else 200)))
+        shape = pick(_SHAPES)
+        longest = 200 if "<p>" in shape or "<div>" in shape else 20
+        inner.append(re.sub(r"\{\}", lambda _: "\x01" + words(2 if longest > 20 else 1, longest), shape))
     if rng.random() < 0.35:
         inner.insert(int(rng.integers(1, len(inner) + 1)), other(pick(["advert", "side", "notice", "form", "comments"])))
     before = [other(k) for k in ("notice", "header", "menu", "menu", "advert") if rng.random() < 0.5]
