@@ -472,6 +472,11 @@ def warning_items(
     return out.unionByName(rows(missing.where("unknown").distinct(), WARNINGS[5], F.col("course_code"))).distinct()
 
 
+def time_items(conflicts: DataFrame) -> DataFrame:
+    """Course pairs of ``schedule_conflicts`` as (set_id, item) of the time warning."""
+    return conflicts.select("set_id", F.concat_ws("|", "left_code", "right_code").alias("item"))
+
+
 def warnings(items: DataFrame) -> DataFrame:
     """One row per warning with its number of items and the first and last of them, at any size.
 

@@ -123,8 +123,8 @@ class Inputs:
     def missing(self) -> DataFrame:
         return au.missing_required(self.pairs, self.resolved, self.required, self.catalog)
 
-    def items(self) -> DataFrame:
-        return au.warning_items(self.pairs, self.credited, self.missing(), self.rule_sets)
+    def items(self, time_items: DataFrame | None = None) -> DataFrame:
+        return au.warning_items(self.pairs, self.credited, self.missing(), self.rule_sets, time_items)
 
 
 @query("plan_status", "A11,A16", f"WITH {AUDIT_SQL} SELECT set_id, code AS course_code, state, rcat AS record_category, rcred AS record_credits, contradictory FROM res")
@@ -533,6 +533,23 @@ def schedule_overlap_clock(t: Tables) -> DataFrame:
     return au.schedule_conflicts(au.schedule_slots(slot_records(t, "clock")))
 
 
+CLOCK_SQL = """sl AS (SELECT user_id, event_type AS code, isodow(ts) AS d, hour(ts) * 60 + minute(ts) AS a, least(hour(ts) * 60 + minute(ts) + 1 + floor(value)::BIGINT % 120, 1439) AS b FROM events),
+tc AS (SELECT DISTINCT l.user_id AS set_id, l.code || '|' || r.code AS item FROM sl l JOIN sl r ON l.user_id = r.user_id AND l.d = r.d AND l.code < r.code AND l.a < r.b AND r.a < l.b
+ WHERE l.a <= l.b AND r.a <= r.b)"""
+
+
+@query(
+    "plan_time_warnings", "A20,A24,A26",
+    f"""WITH {AUDIT_SQL}, {CLOCK_SQL}, both_ AS (SELECT set_id, rule_set_id, ordinal, code, item FROM wi
+ UNION ALL SELECT tot.set_id, tot.rule_set_id, 1, '{au.WARNINGS[1]}', item FROM tc JOIN tot ON tot.set_id = tc.set_id)
+SELECT set_id, rule_set_id, ordinal::INT AS ordinal, code, count(*) AS n_items, min(item) AS first_item, max(item) AS last_item FROM both_ GROUP BY ALL""",
+)
+def plan_time_warnings(t: Tables) -> DataFrame:
+    """Warnings of a plan with the time conflicts of its set's schedule among them."""
+    conflicts = au.schedule_conflicts(au.schedule_slots(slot_records(t, "clock")))
+    return au.warnings(Inputs(t).items(au.time_items(conflicts)))
+
+
 @query(
     "schedule_overlap_period", "A18,A19,A20",
     """WITH s AS (SELECT user_id, event_type AS code, isodow(ts) AS d, hour(ts) + 1 AS a, hour(ts) + 1 + floor(value)::BIGINT % 3 AS b FROM events)
