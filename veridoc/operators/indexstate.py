@@ -312,6 +312,15 @@ def activate(documents: DataFrame, target: str, allowed: Column, manifest_keys:
     ).drop("_listed")
 
 
+def active_pointer(pointer: DataFrame, target: DataFrame, allowed: Column) -> DataFrame:
+    """Next pointer table: only the target's row (dataset_version, manifest_sha256, pipeline_fp) where the
+    activation is allowed (a scalar), else the pointer as it was.
+    """
+    cols = ["dataset_version", "manifest_sha256", "pipeline_fp"]
+    yes = F.coalesce(allowed, F.lit(False))
+    return target.select(*cols).where(yes).unionByName(pointer.select(*cols).where(~yes))
+
+
 # --- listings and summaries (I9-I12) --------------------------------------------
 
 def list_documents(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:

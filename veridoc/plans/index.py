@@ -205,6 +205,22 @@ def stage_fingerprints(t: Tables) -> DataFrame:
     )
 
 
+_PARTS = {
+    name: "{" + ",".join(f'"{k}":' + (f'"{v}"' if isinstance(v, str) else str(v)) for k, v in sorted(part.items())) + "}" for name, part in CONFIG.items()
+}
+_PIPELINE = "{" + ",".join(f'"{name}":{_PARTS[name]}' for name in sorted(_PARTS)) + "}"
+
+
+@query(
+    "pipeline_fingerprints", "I1",
+    "SELECT DISTINCT source, " + ", ".join(f"sha256('{text}') AS {name}" for name, text in _PARTS.items()) + f", sha256('{_PIPELINE}') AS pipeline FROM documents",
+)
+def pipeline_fingerprints(t: Tables) -> DataFrame:
+    """All six configured parts and the pipeline over them, for every source that is prepared with them."""
+    digests = ix.fingerprint_columns(CONFIG)
+    return t.documents.select("source").distinct().select("source", *[c.alias(name) for name, c in digests.items()])
+
+
 _RANK = "list_position(['none','validated','stored','parsed','chunked','vector_indexed','keyword_indexed','completed'], {}) - 1"
 _NAME = "(['none','validated','stored','parsed','chunked','vector_indexed','keyword_indexed','completed'])[{} + 1]"
 
@@ -361,6 +377,32 @@ def activation_switch(t: Tables) -> DataFrame:
     return ix.activate(m, target.scalar(), allowed, keys).select("doc_id", "status", "activation_state", "retrievable")
 
 
+def activation_pointers(t: Tables) -> DataFrame:
+    """Per candidate version the pointer that activating it leaves; a version without a ready document is refused."""
+    m = meta(t)
+    ready = m.groupBy("dataset_version").agg(F.max(F.col("status") == "ready").alias("ok"))
+    old = t.documents.agg(F.min("source").alias("dataset_version")).withColumns({"manifest_sha256": F.lit("old"), "pipeline_fp": F.lit("fp-0")})
+    out = None
+    for aim in ("min", "max"):
+        target = m.agg(getattr(F, aim)("dataset_version").alias("dataset_version"))
+        allowed = ready.join(target, "dataset_version").agg(F.max("ok")).scalar() & (F.lit(aim) == "max")
+        row = target.select("dataset_version", sha256(F.col("dataset_version")).alias("manifest_sha256"), F.lit(FP).alias("pipeline_fp"))
+        after = ix.active_pointer(old, row, allowed).withColumn("aim", F.lit(aim))
+        out = after if out is None else out.unionByName(after)
+    return out
+
+
+@query(
+    "activation_pointer", "I8",
+    f"""WITH {META_SQL}, v AS (SELECT min(source) AS lo, max(source) AS hi FROM documents),
+ok AS (SELECT coalesce(bool_or(status = 'ready'), false) AS allowed FROM meta, v WHERE dataset_version = hi)
+SELECT 'min' AS aim, lo AS dataset_version, 'old' AS manifest_sha256, 'fp-0' AS pipeline_fp FROM v
+UNION ALL SELECT 'max', CASE WHEN allowed THEN hi ELSE lo END, CASE WHEN allowed THEN sha256(hi) ELSE 'old' END, CASE WHEN allowed THEN '{FP}' ELSE 'fp-0' END FROM v, ok""",
+)
+def activation_pointer(t: Tables) -> DataFrame:
+    return activation_pointers(t)
+
+
 # --- listings ----------------------------------------------------------------------
 
 @query(
