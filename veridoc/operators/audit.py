@@ -325,6 +325,12 @@ def upsert_actions(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     ).drop("old_fp")
 
 
+def sync_activation(sets: DataFrame, version: Column) -> DataFrame:
+    """Demo sets of the active version are active, all other demo sets inactive; uploads stay as they are."""
+    wanted = F.when(F.col("dataset_version") == version, F.lit("active")).otherwise(F.lit("inactive"))
+    return sets.withColumn("activation_state", F.when(F.col("source_type") == "demo", wanted).otherwise(F.col("activation_state")))
+
+
 def selectable_sets(sets: DataFrame, documents: DataFrame, pointer: DataFrame) -> DataFrame:
     """Ready sets of live documents: uploads or the active dataset, one row per set."""
     version = pointer.agg(F.min("dataset_version")).scalar()

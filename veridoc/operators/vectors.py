@@ -93,8 +93,11 @@ def vector_top_k(
     Both inputs are (id-like, ``v`` array); vectors and queries that are null, of another length than
     ``dim`` or not finite take no part. The same plan for any number of queries or vectors.
     """
-    one = F.lit(0)
-    return filtered_top_k(queries.withColumn("_all", one), vectors.withColumn("_all", one), "_all", dim, k, block, cell_bytes)
+    def one_key(df: DataFrame, id_col: str) -> DataFrame:
+        # 0 in every row, but not a literal, which would turn the joins on it into products
+        return df.withColumn("_all", F.pmod(F.xxhash64(id_col), F.lit(1)))
+
+    return filtered_top_k(one_key(queries, "query_id"), one_key(vectors, "id"), "_all", dim, k, block, cell_bytes)
 
 
 def filtered_top_k(

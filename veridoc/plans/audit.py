@@ -475,6 +475,22 @@ def projection_upsert(t: Tables) -> DataFrame:
     return au.upsert_actions(c.drop("c_acctbal", "c_nationkey"), old)
 
 
+@query(
+    "activation_sync", "A9",
+    """WITH v AS (SELECT min(o_orderstatus) AS v FROM orders)
+SELECT o_orderkey AS set_id, CASE WHEN month(o_orderdate) <= 6 THEN CASE WHEN o_orderpriority = '5-LOW' THEN 'active' END
+ WHEN o_orderstatus = v THEN 'active' ELSE 'inactive' END AS activation_state FROM orders, v""",
+)
+def activation_sync(t: Tables) -> DataFrame:
+    sets = t.orders.select(
+        F.col("o_orderkey").alias("set_id"), F.col("o_orderstatus").alias("dataset_version"),
+        F.when(F.month("o_orderdate") <= 6, "upload").otherwise("demo").alias("source_type"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "active").alias("activation_state"),
+    )
+    version = t.orders.agg(F.min("o_orderstatus")).scalar()
+    return au.sync_activation(sets, version).select("set_id", "activation_state")
+
+
 @query(
     "selectable_sets", "A10",
     """WITH v AS (SELECT min(o_orderstatus) AS v FROM orders)
