@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import bounded_batches
+from veridoc.llm.common import bounded_batches, bounded_sample
 
 SAMPLE_PAGES = 150
 PATH_SLOTS, WORD_SLOTS, MEASURES = 192, 64, 6
@@ -365,8 +365,9 @@ def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_column: str =
     shuffled; repeated ids give a row each, an empty table none, other columns are not looked at.
     """
     bounded_batches(pages.sparkSession)
-    picked = pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("_h"), F.xxhash64(F.col(id_column).cast("string"), F.lit(5)).alias("_k"))
-    weights = train([r[0] for r in picked.orderBy("_k", F.xxhash64("_h")).limit(sample_pages).select("_h").collect()])
+    shown = pages.filter(F.col(html).isNotNull()).select(F.col(id_column).cast("string").alias("_i"), F.col(html).cast("string").alias("_h"))
+    picked = bounded_sample(shown, F.xxhash64("_i", "_h", F.lit(5)), sample_pages)
+    weights = train([r[0] for r in picked.select("_h").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
