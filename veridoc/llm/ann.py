@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import bounded_batches, sorted_groups, staged
+from veridoc.llm.common import bounded_batches, bounded_sample, sorted_groups, staged
 
 NEIGHBOURS = 20
 TABLES = 4
@@ -240,7 +240,7 @@ def nearest(
     rows, norm = int(facts[0]), math.sqrt(facts[1] or 0.0)
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r[0] for r in index.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE_ROWS).select("v").collect()])
+    sample = np.array([r[0] for r in bounded_sample(index, F.xxhash64("id", F.lit(7)), SAMPLE_ROWS).select("v").collect()])
     hashing = fit(rows, norm, sample, neighbours, tables, recall)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import bounded_batches, fold, text_bytes
+from veridoc.llm.common import bounded_batches, bounded_sample, fold, text_bytes
 
 FOLDS, HELD_OUT = 5, 0
 HIDDEN = 8
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
     cuts = F.array(*[
         F.substring("_t", (F.floor(room * k / max(WINDOWS_A_TEXT - 1, 1)) + 1).cast("int"), F.lit(TRAIN_WINDOW)) for k in range(WINDOWS_A_TEXT)
     ])
-    picked = taught.select("_id", "_y", cuts.alias("_w")).orderBy(F.xxhash64("_id", F.lit(3)), "_id", "_y", F.xxhash64("_w")).limit(sample_rows)
+    picked = bounded_sample(taught, F.xxhash64("_id", "_y", "_t", F.lit(3)), sample_rows).select("_y", cuts.alias("_w"))
     rows = [(w.encode(), r["_y"]) for r in picked.collect() for w in r["_w"]]
     return train([w for w, _ in rows], [y for _, y in rows])
 
