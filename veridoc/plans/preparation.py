@@ -215,9 +215,9 @@ def order_cells(t: Tables) -> DataFrame:
 
 @query(
     "grid_header", "P7,P8",
-    """SELECT o_orderkey AS sheet, 1 AS row_start, 'caption' AS block_type, o_orderpriority AS text FROM orders
-UNION ALL SELECT o_orderkey, 2, 'table_header', 'part | flag | 第3列' FROM orders
-UNION ALL SELECT l_orderkey, l_linenumber + 2, 'table_row', 'part: ' || min(l_partkey)
+    """SELECT o_orderkey AS sheet, 1 AS row_start, 1 AS row_end, 'caption' AS block_type, o_orderpriority AS text FROM orders
+UNION ALL SELECT o_orderkey, 2, 2, 'table_header', 'part | flag | 第3列' FROM orders
+UNION ALL SELECT l_orderkey, l_linenumber + 2, l_linenumber + 2, 'table_row', 'part: ' || min(l_partkey)
  || CASE WHEN min(l_returnflag) <> 'A' THEN '；flag: ' || min(l_returnflag) ELSE '' END || '；第3列: ' || min(l_linestatus)
 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey, l_linenumber""",
 )
