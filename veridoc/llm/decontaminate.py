@@ -27,6 +27,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 RADIUS = 23  # at a similarity of 0.8 fingerprints differ in 10 bits of 64 on average, with deviation 3
 BLOCKS = 8
+BROADCAST_ROWS = 300_000  # of 40 bytes: an index of so many keys is sent to all tasks, a larger one is shuffled
 LANES = 3  # counters of 21 bits in a long: windows of up to two million words
 LANE_BITS = 21
 _GROUPS = -(-64 // LANES)
@@ -120,7 +121,7 @@ def leaks(
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("item")).distinct()
     items = items.withColumn("n", F.size("item")).filter("n > 0").withColumn("width", F.least(F.lit(WIDTH), "n"))
-    items = items.withColumn("hashes", F.transform(shingles(F.col("item"), F.col("width")), lambda s: s["hash"]))
+    items = items.withColumn("item_key", F.xxhash64("item_id", "item")).withColumn("hashes", F.transform(shingles(F.col("item"), F.col("width")), lambda s: s["hash"]))
     items = staged(staged(items).withColumn("item_fp", simhash("hashes")))
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most five values
     step = _stride(items, threshold)
@@ -154,10 +155,14 @@ def leaks(
     hashed = windows.withColumn("hashes", F.transform(shingles(F.col("window"), F.least("width", F.size("window"))), lambda s: s["hash"]))
     printed = hashed.select("doc_id", "digest", "start", "n", "width", "window", F.explode(F.array(simhash("hashes"))).alias("fp"))
     probes = printed.select("*", F.explode(block_keys("fp", 0)).alias("b")).select("*", "b.*").drop("b")
-    index = items.select("item_id", "item", "n", "item_fp", F.explode(block_keys("item_fp", radius // BLOCKS)).alias("b")).select("*", "b.*").drop("b")
+    keyed = items.select("item_key", "n", "item_fp", F.explode(block_keys("item_fp", radius // BLOCKS)).alias("b"))
+    index = staged(keyed.select("item_key", "n", "item_fp", "b.*"))
+    if index.count() <= BROADCAST_ROWS:
+        index = F.broadcast(index)
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = probes.join(index, ["n", "block", "value"]).filter(differ <= radius)
-    pairs = near.groupBy("doc_id", "digest", "start", "item_id", "item").agg(F.first("window").alias("window"), F.first("width").alias("width"))
+    met = near.groupBy("doc_id", "digest", "start", "item_key").agg(F.first("window").alias("window"), F.first("width").alias("width"))
+    pairs = met.join(items.select("item_key", "item_id", "item"), "item_key")
     a, b = _texts(F.col("item"), F.col("width")), _texts(F.col("window"), F.least("width", F.size("window")))
     common = let(a, lambda x: let(b, lambda y: F.struct((F.size(x) + F.size(y)).alias("sizes"), shared(x, y).alias("common"))))
     judged = pairs.select("doc_id", "digest", "item_id", "start", F.explode(F.array(common)).alias("j"))
