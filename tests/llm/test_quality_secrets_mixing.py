@@ -95,6 +95,25 @@ def test_novel_strings_by_marginal_bytes():
     assert secrets.spans(repeated) == []  # the surroundings already hold it
 
 
+def test_long_and_narrow_strings_are_held_against_chance():
+    import base64
+    import json
+
+    rng = random.Random(8)
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "upper hex": "0123456789ABCDEF", "small": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    for letters in alphabets.values():
+        for n in (64, 100, 400, 600, 2000):
+            keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(20)]
+            found = [[(k, t[a:b]) for a, b, k in secrets.spans(t)] == [("novel", key)] for key in keys for t in [f"Authorization: Bearer {key}\nreturn client"]]
+            assert sum(found) >= 19
+    claims = {"sub": "1234567890", "name": "A Person", "roles": ["reader", "writer"] * 8, "iat": 1516239022, "jti": rng.randbytes(16).hex()}
+    jwt = ".".join([part(b'{"alg":"RS256","typ":"JWT"}'), part(json.dumps(claims).encode()), part(rng.randbytes(256))])
+    assert len(jwt) > 600 and secrets.redact(f"Authorization: Bearer {jwt} x", secrets.spans(f"Authorization: Bearer {jwt} x")) == "Authorization: Bearer [secret] x"
+    for plain in ("Z" * 600, "xyz123" * 200, "Ab1/" * 300):
+        assert secrets.spans(f"bearer {plain}") == []
+
+
 def test_redaction_merges_overlaps():
     text = "x token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" y"
     assert secrets.redact(text, secrets.spans(text)) == "x [secret]\" y"

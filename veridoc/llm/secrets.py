@@ -2,14 +2,17 @@
 
 The added kind, ``novel``, looks at every string of token characters that follows a sensitive word. A
 zstandard compressor primed with a dictionary of identifiers and code words compresses the code
-around the candidate without it and with it; the difference in bytes is what the string adds.
-Identifiers, repeated words and prose cost few bytes, random keys about as many as they carry.
+around the candidate without it and with it; the difference in bytes is what the string adds. It is
+held against what random strings of the same length and alphabet add at the same place, so that the
+bar follows the entropy of base64, hex or digits. Long candidates are judged by windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +37,9 @@ SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "
 CONTEXT = 96  # code points kept on each side
 REACH = 48  # how far before the candidate a sensitive word may stand, on the same line
 CANDIDATE_LEAST = 16
-BYTES_PER_CHARACTER = 0.85
+MARGIN = 1.0  # a candidate of n characters adds 1 - MARGIN / sqrt(n) of what a random string adds, whose deviation falls likewise
+DRAWS = 3  # random strings that a candidate is held against
+WINDOW = 64  # longer candidates are judged by windows of this length, half overlapping
 PLACEHOLDER = "[secret]"
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % CANDIDATE_LEAST)
 
@@ -55,11 +60,41 @@ def _compressor(dictionary: str) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty(candidate: str, before: str, after: str, dictionary: str = IDENTIFIERS) -> int:
-    """Bytes that the candidate adds to its compressed surroundings."""
+def alphabet(s: str) -> str:
+    """The least of digits, hex digits or whole classes of letters and digits that holds the string, with its other characters."""
+    used = set(s)
+    for whole in (string.digits, "0123456789abcdef", "0123456789ABCDEF"):
+        if used <= set(whole):
+            return whole
+    classes = [c for c in (string.ascii_lowercase, string.ascii_uppercase, string.digits) if used & set(c)]
+    return "".join([*classes, *sorted(used - set(string.ascii_letters + string.digits))])
+
+
+@lru_cache(maxsize=1 << 12)
+def _random_strings(letters: str, size: int) -> tuple[bytes, ...]:
+    rng = random.Random(f"{size} {letters}")
+    return tuple("".join(rng.choices(letters, k=size)).encode() for _ in range(DRAWS))
+
+
+def novelty(candidate: str, before: str, after: str, dictionary: str = IDENTIFIERS) -> float:
+    """Bytes that the candidate adds to its compressed surroundings, as a share of what a random string adds.
+
+    Capitals alone say no more than small letters: they are lowered with the surroundings.
+    """
+    if candidate.isupper():
+        candidate, before, after = candidate.lower(), before.lower(), after.lower()
     compress = _compressor(dictionary).compress
     around = (before + "\n" + after).encode()
-    return len(compress(around + b"\n" + candidate.encode())) - len(compress(around))
+    alone = len(compress(around))
+    chance = sum(len(compress(around + b"\n" + r)) - alone for r in _random_strings(alphabet(candidate), len(candidate))) / DRAWS
+    return (len(compress(around + b"\n" + candidate.encode())) - alone) / chance
+
+
+def _novel(text: str, a: int, b: int, margin: float, dictionary: str) -> bool:
+    """Whether text[a:b], or any window of it, is as new as chance; what surrounds a window is never it."""
+    at = sorted({*range(a, max(b - WINDOW, a) + 1, WINDOW // 2), max(b - WINDOW, a)})
+    ends = [min(b, i + WINDOW) for i in at]
+    return any(novelty(text[i:j], text[max(0, i - CONTEXT):i], text[j:j + CONTEXT], dictionary) >= 1 - margin / (j - i) ** 0.5 for i, j in zip(at, ends))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -74,7 +109,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], threshold: float = BYTES_PER_CHARACTER, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, taken: list[tuple[int, int, str]], margin: float = MARGIN, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
     """Incompressible strings after a sensitive word that no span of ``taken`` overlaps."""
     low = text.lower()
     at: set[int] = set()
@@ -96,7 +131,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], threshold: float =
         a, done = _CANDIDATE.match(text, first.start()).span()
         s = text[a:done]
         if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not _overlaps(taken, a, done):
-            if novelty(s, text[max(0, a - CONTEXT):a], text[done:done + CONTEXT], dictionary) >= threshold * len(s):
+            if _novel(text, a, done, margin, dictionary):
                 found.append((a, done, "novel"))
     return found
 
@@ -107,10 +142,10 @@ def _overlaps(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
     return any(end > a for _, end, _ in taken[max(0, i - len(KINDS)):i])
 
 
-def spans(text: str, threshold: float = BYTES_PER_CHARACTER, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
+def spans(text: str, margin: float = MARGIN, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
     """All spans by start, then kind as listed in ``KINDS``."""
     base = sorted(base_spans(text))
-    found = base + novel_spans(text, base, threshold, dictionary)
+    found = base + novel_spans(text, base, margin, dictionary)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -129,7 +164,7 @@ def _joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in found)
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = BYTES_PER_CHARACTER) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel) for every row.
 
     A null text counts as empty. Positions are code points, ends exclusive. Repeated ids give a row
@@ -142,7 +177,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thresho
             counts = {k: [] for k in KINDS}
             digests, all_spans = [], []
             for t in batch.column(1).to_pylist():
-                found = spans(t or "", threshold)
+                found = spans(t or "", margin)
                 for k in KINDS:
                     counts[k].append(sum(x[2] == k for x in found))
                 digests.append(hashlib.sha256(_joined([x for x in found if x[2] != "novel"]).encode()).hexdigest())
@@ -157,12 +192,12 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thresho
     return plain.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
 
 
-def without_secrets(docs: DataFrame, text: str = "text", threshold: float = BYTES_PER_CHARACTER) -> DataFrame:
+def without_secrets(docs: DataFrame, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by a placeholder; null texts stay null."""
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([t and redact(t, spans(t, threshold)) for t in texts.to_pylist()], pa.string())
+        return pa.array([t and redact(t, spans(t, margin)) for t in texts.to_pylist()], pa.string())
 
     return docs.withColumn(text, clean(F.col(text).cast("string")))
