@@ -13,7 +13,7 @@ import hashlib
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,9 +90,10 @@ def novelty(candidate: str, before: str, after: str, dictionary: str = IDENTIFIE
     return (len(compress(around + b"\n" + candidate.encode())) - alone) / chance
 
 
-def _novel(text: str, a: int, b: int, margin: float, dictionary: str) -> bool:
-    """Whether text[a:b], or any window of it, is as new as chance; what surrounds a window is never it."""
-    at = sorted({*range(a, max(b - WINDOW, a) + 1, WINDOW // 2), max(b - WINDOW, a)})
+def _novel(text: str, froms: list[int], b: int, margin: float, dictionary: str) -> bool:
+    """Whether the string up to b, from any of the sorted starts, or any window of it is as new as chance."""
+    last = max(b - WINDOW, froms[0])
+    at = sorted({*range(froms[0], last + 1, WINDOW // 2), last, *froms})
     ends = [min(b, i + WINDOW) for i in at]
     return any(novelty(text[i:j], text[max(0, i - CONTEXT):i], text[j:j + CONTEXT], dictionary) >= 1 - margin / (j - i) ** 0.5 for i, j in zip(at, ends))
 
@@ -110,7 +111,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], margin: float = MARGIN, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
-    """Incompressible strings after a sensitive word that no span of ``taken`` overlaps."""
+    """Incompressible strings that start within reach of a sensitive word, or go on after it, outside the spans of ``taken``."""
     low = text.lower()
     at: set[int] = set()
     for word in SENSITIVE if len(low) == len(text) else ():
@@ -120,26 +121,36 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], margin: float = MA
             i = low.find(word, i + 1)
     if len(low) != len(text):  # lower-casing moved positions: look for the words in place
         at = {m.end() for m in re.finditer("|".join(map(re.escape, SENSITIVE)), text, re.ASCII | re.IGNORECASE)}
-    found, done = [], 0
+    free = _free(text, taken) if at else []
+    starts = [a for a, _ in free]
+    judged: dict[int, list[int]] = {}
     for end in sorted(at):
-        if end < done:  # inside a string that has been judged
-            continue
-        stop = text.find("\n", end, end + REACH + 1)
-        first = _CANDIDATE.search(text, end, (stop if stop >= 0 else end + REACH) + CANDIDATE_LEAST)
-        if not first or 0 <= stop < first.start():
-            continue
-        a, done = _CANDIDATE.match(text, first.start()).span()
-        s = text[a:done]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not _overlaps(taken, a, done):
-            if _novel(text, a, done, margin, dictionary):
-                found.append((a, done, "novel"))
-    return found
-
-
-def _overlaps(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
-    """Whether a sorted span overlaps a..b; spans of one kind don't overlap, so the last few by start decide."""
-    i = bisect_left(taken, (b,))
-    return any(end > a for _, end, _ in taken[max(0, i - len(KINDS)):i])
+        i = bisect_right(starts, end) - 1
+        if i >= 0 and free[i][1] - end >= CANDIDATE_LEAST:  # a string goes on after the word
+            judged.setdefault(i, []).append(end)
+        line = text.find("\n", end, end + REACH + 1)
+        stop = line if line >= 0 else end + REACH
+        for k in range(bisect_right(starts, end), bisect_right(starts, stop)):
+            judged.setdefault(k, []).append(starts[k])
+    return [
+        (froms[0], b, "novel") for froms, b in ((sorted(set(judged[k])), free[k][1]) for k in sorted(judged))
+        if _novel(text, froms, b, margin, dictionary)
+    ]
+
+
+def _free(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The strings of token characters, less the sorted spans, that are long enough to be candidates."""
+    out, k = [], 0
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            out.append((a, taken[k][0]))
+            a = max(a, taken[k][1])
+            if taken[k][1] > b:  # goes on into the next string
+                break
+            k += 1
+        out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= CANDIDATE_LEAST]
 
 
 def spans(text: str, margin: float = MARGIN, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
