@@ -161,6 +161,48 @@ def test_model_counts_all_and_separates(spark):
     assert (counts[:, 1:].sum(2) == counts[:, :1, 0]).all()
 
 
+def plain_score(url, models):
+    """Both models by dictionaries of the n-grams' text."""
+    x = b"\x02" * urls.ORDERS + bytes(48 if 48 <= c <= 57 else c for c in (url or "").encode())
+    logs = []
+    for c in models:
+        at = []
+        for end in range(urls.ORDERS + 1, len(x) + 1):
+            p = 1 / 256
+            for n in range(1, urls.ORDERS + 1):
+                context = c[x[end - n:end - 1]] if n > 1 else c[b""]
+                p = (min(c[x[end - n:end]], context) + urls.BACKOFF * p) / (context + urls.BACKOFF)
+            at.append(np.log(p))
+        logs.append(sum(at))
+    return float(logs[1] - logs[0]) / max(1, len(x) - urls.ORDERS)
+
+
+def test_scores_are_exact_with_many_n_grams(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    many = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_.~éü"
+    made = [f"http://{rng.choice('abc')}.{rng.choice(['x.com', 'y.net', 'z.org'])}/es/{''.join(rng.choice(many) for _ in range(60))}{rng.randint(1, 99)}" for _ in range(3000)]
+    made += [None, "", "a", "\x02\x02a", made[0], made[1], made[1]]
+    rows = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    taught = {r.page_id for r in rows.filter(F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS)) != 0).collect()}
+    models = (Counter(), Counter())
+    for i, u in enumerate(made):
+        verdict = plain_rule(u)[3]
+        if verdict and i in taught:
+            x = b"\x02" * urls.ORDERS + bytes(48 if 48 <= c <= 57 else c for c in u.encode())
+            for end in range(urls.ORDERS + 1, len(x) + 1):
+                models[verdict == "allow"].update(x[end - n:end] for n in range(urls.ORDERS + 1))
+    assert len({g for c in models for g in c if len(g) == 5}) > 1 << 16
+    out = {r.page_id: r.score for r in urls.judge(rows).collect()}
+    assert len(out) == len(made)
+    for i, u in enumerate(made[:300] + made[3000:]):
+        k = i if i < 300 else i + 2700
+        assert out[k] == pytest.approx(plain_score(u, models), abs=1e-8)
+
+
 def test_calibration():
     assert urls.calibrate([(0, 10, 5), (1, 2000, 5)]) == pytest.approx((10 + 1 + 2000) / 2 * 2 * urls.RANGE / urls.BINS - urls.RANGE, abs=0.02)
     assert urls.calibrate([(1, 5, 5)]) == 0.0

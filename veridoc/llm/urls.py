@@ -3,27 +3,28 @@
 Two variable-order Markov models, of accepted and of rejected URLs, give each character a probability that
 mixes orders 1 to 5, every order falling back on the shorter one. A URL's score is the difference of
 its two log-likelihoods over its length; the cut is calibrated on URLs that the counts have not seen.
-N-gram counts cover every URL that a rule labels. They live in tables of fixed size by hash, so what is
-sent to the tasks has a proven bound whatever the input.
+N-gram counts cover every URL that a rule labels, exactly, in tables that grow with the input. What a
+character adds to the score follows from the five characters that end with it, so the models are joined to
+the distinct windows of five, and these to the distinct URLs; nothing is sent to the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import bounded_batches, text_bytes
+from veridoc.llm.common import bounded_batches, staged, text_bytes
 
 ORDERS = 5
-SLOTS = 1 << 16
 BACKOFF = 3.0
 BINS, RANGE = 2048, 8.0  # calibration histogram: scores are clipped to -RANGE..RANGE
 FOLDS = 5
+SCALE = 1 << 32  # scores are summed as integers, so that they don't depend on the order
+WINDOW_ROWS = 1 << 17
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -56,82 +57,109 @@ def rule_of(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]])
     return out
 
 
-def _grams(url: bytes) -> np.ndarray:
-    """Slots of the n-grams that end at each character, one row per order from 0; digits count as one character."""
-    x = np.frombuffer(b"\x02" * ORDERS + url, np.uint8).astype(np.uint64)
-    x[(x >= 48) & (x <= 57)] = 48
-    rows = np.zeros((ORDERS + 1, len(x) - ORDERS), np.int64)
-    for n in range(1, ORDERS + 1):
-        rows[n] = (_rolling(x, n)[ORDERS + 1 - n:] >> np.uint64(48)).astype(np.int64)
-    return rows
+def shape(url: Column) -> Column:
+    """The text that the models read: digits count as one character, null as empty."""
+    return F.translate(F.coalesce(url, F.lit("")), "123456789", "000000000")
+
+
+def _windows(url: bytes) -> np.ndarray:
+    """The five bytes that end at each byte, as numbers; bytes before the start are 2."""
+    x = np.frombuffer(b"\x02" * (ORDERS - 1) + url, np.uint8).astype(np.int64)
+    out = np.zeros(len(url), np.int64)
+    for i in range(ORDERS):
+        out = out << 8 | x[i:i + len(url)]
+    return out
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, rejected, accepted) to (key, window, times in the text, rejected, accepted), in batches of bounded size."""
+    def out(parts: list[tuple]) -> pa.RecordBatch:
+        keys = pa.array([k for k, w, *_ in parts for _ in range(len(w))], pa.binary())
+        whole = [np.concatenate([p[i] for p in parts]) for i in (1, 2)]
+        labels = [np.repeat([p[i] for p in parts], [len(p[1]) for p in parts]) for i in (3, 4)]
+        return pa.RecordBatch.from_arrays([keys, *map(pa.array, whole), *map(pa.array, labels)], ["key", "w", "times", "n0", "n1"])
+
+    parts, held = [], 0
+    for batch in batches:
+        for key, url, n0, n1 in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            windows, times = np.unique(_windows(url), return_counts=True)
+            parts.append((key, windows, times, n0, n1))
+            held += len(windows)
+            if held >= WINDOW_ROWS:
+                yield out(parts)
+                parts, held = [], 0
+    if parts:
+        yield out(parts)
+
 
+def windows_of(texts: DataFrame) -> DataFrame:
+    """(key, w, times, n0, n1) for every different window of the (key, text, n0, n1) rows."""
+    return texts.filter("text <> ''").mapInArrow(_window_rows, "key binary, w long, times long, n0 long, n1 long")
 
-def _rolling(x: np.ndarray, n: int) -> np.ndarray:
-    """Mixed hash of the last n characters at each place from n - 1 on."""
-    h = np.full(len(x) - n + 1, 0x9E3779B97F4A7C15 * n & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(n):
-        h = (h ^ x[i:len(x) - n + 1 + i]) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(29)
-    return h * np.uint64(0x9E3779B97F4A7C15)
 
+def window_counts(windows: DataFrame) -> DataFrame:
+    """(w, n0, n1): how often the rejected and the accepted URLs hold each window; 0 where only others hold it."""
+    return windows.groupBy("w").agg(F.sum(F.col("times") * F.col("n0")).alias("n0"), F.sum(F.col("times") * F.col("n1")).alias("n1"))
 
-@dataclass(frozen=True)
-class Models:
-    """counts[label, order, slot] with label 0 rejected, 1 accepted; order 0 holds the total in slot 0."""
 
-    counts: np.ndarray
+def gram_counts(counts: DataFrame, order: int) -> DataFrame:
+    """(w, n0, n1) of the n-grams of an order that ends at most at the windows' own: their last ``order`` bytes."""
+    return counts.groupBy(_last(F.col("w"), order).alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
-    def score(self, url: bytes) -> float:
-        """Log-likelihood of accepted less rejected, over the length; 0 for an empty URL."""
-        if not url:
-            return 0.0
-        slots = _grams(url)
-        before = np.zeros_like(slots)  # the n-gram of order n - 1 that ends one character earlier
-        start = _grams_at_start()
-        before[:, 1:], before[:, 0] = slots[:, :-1], start
-        logs = []
-        for c in self.counts:
-            p = np.full(slots.shape[1], 1 / 256)
-            for n in range(1, ORDERS + 1):
-                context = c[n - 1, before[n - 1]] if n > 1 else np.full(slots.shape[1], c[0, 0])
-                p = (np.minimum(c[n, slots[n]], context) + BACKOFF * p) / (context + BACKOFF)
-            logs.append(np.log(p).sum())
-        return float(logs[1] - logs[0]) / slots.shape[1]
 
+def _last(gram: Column, n: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << 8 * n) - 1))
 
-def _grams_at_start() -> np.ndarray:
-    pad = np.full(ORDERS, 2, np.uint64)
-    return np.array([0] + [int(_rolling(pad, n)[-1] >> np.uint64(48)) for n in range(1, ORDERS + 1)])
+
+def weights(counts: DataFrame) -> DataFrame:
+    """(w, v): what each window adds to the score, in units of 1 / ``SCALE``.
+
+    Every order is joined to the shorter one by the last and by the first characters, so that no key has more
+    than 256 rows. An n-gram of nothing but the filling before the start has no count as a context.
+    """
+    grams = {ORDERS: counts}
+    for n in range(ORDERS - 1, 0, -1):
+        grams[n] = staged(gram_counts(grams[n + 1], n))
+    total = grams[1].agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1"))).first()
+    known = None
+    for n in range(1, ORDERS + 1):
+        if n == 1:
+            joined = grams[1].select("*", *(F.lit(float(total[i])).alias(f"c{i}") for i in (0, 1)), *(F.lit(1 / 256).alias(f"q{i}") for i in (0, 1)))
+        else:
+            shorter = known.select(F.col("w").alias("_end"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+            context = grams[n - 1].select(F.col("w").alias("_start"), F.col("n0").alias("c0"), F.col("n1").alias("c1"))
+            ended = grams[n].withColumns({"_end": _last(F.col("w"), n - 1), "_start": F.shiftright("w", 8)})
+            joined = ended.join(shorter, "_end").join(context, "_start", "left").select(
+                "w", "n0", "n1", "q0", "q1", *(F.coalesce(f"c{i}", F.lit(0)).alias(f"c{i}") for i in (0, 1)))
+        known = joined.select("w", *(((F.least(f"n{i}", f"c{i}") + BACKOFF * F.col(f"q{i}")) / (F.col(f"c{i}") + BACKOFF)).alias(f"p{i}") for i in (0, 1)))
+    return known.select("w", F.round((F.log("p1") - F.log("p0")) * SCALE).cast("long").alias("v"))
+
+
+def scores(texts: DataFrame) -> DataFrame:
+    """(key, score) of (key, text, n0, n1) rows with different keys: log-likelihood of accepted less rejected, over the length.
+
+    ``n0`` and ``n1`` say how often a text counts as rejected and as accepted. An empty text has no row.
+    """
+    windows = windows_of(texts)
+    counts = staged(window_counts(windows))
+    parts = windows.select("key", "w", "times").join(weights(counts), "w")
+    return parts.groupBy("key").agg((F.sum(F.col("v") * F.col("times")) / SCALE / F.sum("times")).alias("score"))
 
 
 def count_grams(labelled: DataFrame) -> np.ndarray:
-    """Count the n-grams of (url, accepted) rows by slot; summed per partition, then by slot."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, ORDERS + 1, SLOTS), np.int64)
-        for batch in batches:
-            for url, ok in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                if url:
-                    slots = _grams(url)
-                    counts[ok, 0, 0] += slots.shape[1]
-                    for n in range(1, ORDERS + 1):
-                        np.add.at(counts[ok, n], slots[n], 1)
-        label, order, slot = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(label), pa.array(order), pa.array(slot), pa.array(counts[label, order, slot])], ["label", "ord", "slot", "n"]
-        )
-
-    found = labelled.mapInArrow(run, "label long, ord long, slot long, n long").groupBy("label", "ord", "slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((2, ORDERS + 1, SLOTS))
-    counts[found["label"], found["ord"], found["slot"]] = found["n"]
-    return counts
-
-
-def score(models: Models, url: Column) -> Column:
-    @F.arrow_udf("double")
-    def run(urls: pa.Array) -> pa.Array:
-        return pa.array([models.score(u) for u in text_bytes(urls)], pa.float64())
-
-    return run(url)
+    """The exact counts of a small table of (url, accepted) rows: [label, order, place of the gram in its order]; order 0 has the totals.
+
+    For looking at a model; scoring never gathers it.
+    """
+    url, ok = (F.col(c) for c in labelled.columns[:2])
+    one = labelled.select(shape(url).alias("text"), (1 - ok).cast("long").alias("n0"), ok.cast("long").alias("n1"))
+    counts = window_counts(windows_of(one.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text", "n0", "n1")))
+    found = [gram_counts(counts, n).orderBy("w").toPandas() for n in range(1, ORDERS + 1)]
+    out = np.zeros((2, ORDERS + 1, max(1, *map(len, found))), np.int64)
+    for n, f in enumerate(found, 1):
+        out[:, n, :len(f)] = f[["n0", "n1"]].to_numpy().T
+    out[:, 0, 0] = out[:, 1].sum(1)
+    return out
 
 
 def calibrate(histogram: list[tuple[int, int, int]]) -> float:
@@ -160,12 +188,19 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     plain = pages.select(F.col(id_column).alias("page_id"), F.col(url).cast("string").alias("_url"))
     parted = plain.withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
     ruled = parted.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "_url", "host", "path", "_r.*")
-    labelled = ruled.filter("rule IS NOT NULL").select("_url", F.col("verdict").eqNullSafe("allow").cast("int").alias("ok"))
+    text = shape(F.col("_url"))
     held = F.pmod(F.xxhash64("_url"), F.lit(FOLDS)) == 0
-    models = Models(count_grams(labelled.filter(~held)))
-    bins = F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor((F.col("s") + RANGE) / (2 * RANGE) * BINS))).cast("int")
-    scored = labelled.filter(held).select("ok", score(models, F.col("_url")).alias("s"))
-    cut = calibrate([tuple(r) for r in scored.groupBy("ok", bins.alias("b")).count().collect()])
-    judged = ruled.withColumn("score", score(models, F.col("_url")))
+    ruled = ruled.select(
+        "page_id", "host", "path", "rule", "verdict", text.alias("_text"), F.unhex(F.md5(text.cast("binary"))).alias("_key"),
+        F.when(F.col("rule").isNotNull(), F.col("verdict").eqNullSafe("allow").cast("int")).alias("_ok"), held.alias("_held"),
+    )
+    taught = [F.count_if((F.col("_ok") == i) & ~F.col("_held")).alias(f"n{i}") for i in (0, 1)]
+    tried = [F.count_if((F.col("_ok") == i) & F.col("_held")).alias(f"h{i}") for i in (0, 1)]
+    texts = staged(ruled.groupBy(F.col("_key").alias("key"), F.col("_text").alias("text")).agg(*taught, *tried))
+    scored = staged(scores(texts.select("key", "text", "n0", "n1")))
+    bins = F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor((F.coalesce("score", F.lit(0.0)) + RANGE) / (2 * RANGE) * BINS))).cast("int")
+    binned = texts.filter("h0 + h1 > 0").join(scored, "key", "left").groupBy(bins.alias("b")).agg(F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).collect()
+    cut = calibrate([(label, r["b"], r[f"h{label}"]) for r in binned for label in (0, 1)])
+    judged = ruled.join(scored.withColumnRenamed("key", "_key"), "_key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_model = F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), "score")
