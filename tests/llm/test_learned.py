@@ -26,6 +26,27 @@ def test_blocks_are_split_and_decoded():
     assert html.blocks("a < b")[0].text == "a < b"
 
 
+def test_only_closed_named_elements_are_skipped():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    for name in ("svg", "object", "iframe", "canvas", "select", "button", "title", "textarea", "template", "noscript", "math", "script", "style"):
+        for tag in (f"<{name}/>", f"<{name} />", f"<{name} a='x>y' b/>", f'<{name.upper()} a="/"/>'):
+            assert texts(f"<p>a</p>{tag}<p>rest</p>") == ["a", "rest"]
+        if name not in ("script", "style"):
+            assert texts(f"<p>a</p><{name} x=1><p>rest</p>") == ["a", "rest"]
+        else:
+            assert texts(f"<p>a</p><{name} x=1><p>rest</p>") == ["a"]
+        if name not in ("math", "object"):
+            assert texts(f"<p>a</p><{name} x='>'>no</{name} ><p>rest</p>") == ["a", "rest"]
+    for name in ("svg-icon", "title-bar", "object-view", "script-box", "styled", "button-row", "selection"):
+        assert texts(f'<p>a</p><{name} n="x">in</{name}><p>rest</p>') == ["a", "in", "rest"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p><object data=u>told</object><p>rest</p>") == ["a x=1 b", "told", "rest"]
+    assert texts("<p>a</p><button>go <p>kept</p><button>no</button><p>rest</p>") == ["a", "go", "kept", "rest"]
+    assert texts("<p>a</p><svg><svg>no</svg><text>no</text></svg><p>rest</p>") == ["a", "rest"]
+    assert texts("<title>a <!-- b <script> c</title><p>rest</p>") == ["rest"]
+    assert texts("<title>a<p>b</p><title>no</title><p>rest</p>") == ["a", "b", "rest"]
+    assert texts("<p>a</p><iframe src=http://x.y/>no</iframe><p>rest</p>") == ["a", "rest"]
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     p, x = html.start(1), rng.normal(size=(5, 3, html.INPUT))

@@ -34,22 +34,48 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script|style|template|noscript|iframe|svg|math|object|canvas|textarea|title|select|button"
+# Skipped elements: without a closing tag the first run to the end of the page, of the others only the tag goes.
+TO_THE_END, RAW, NESTED = "script|style", "noscript|iframe|textarea|title", frozenset("template svg canvas select button".split())
+EMPTY_IF_CLOSED = NESTED | {*TO_THE_END.split("|"), *RAW.split("|"), "math", "object"}
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+# Up to the tag's end, unless a slash that belongs to no unquoted value closes it.
+_ATTRIBUTES = r"(?=[\s/>]|\Z)(?:=\s*[^\s\"'>][^\s>]*|\"[^\"]*\"|'[^']*'|[^>\"'/]|/(?!>|\Z))*+"
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({TO_THE_END}){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW}){_ATTRIBUTES}>(?:(?!<\2[\s/>]).)*?</\2\s*>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_OPEN = re.compile(_ATTRIBUTES)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 _DIGITS = re.compile(r"[0-9]")
 _CLASS_WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]{2,}")
 
 
+def _skipped(parts: list[re.Match]) -> dict[int, int]:
+    """Place in ``parts`` of each element of ``NESTED`` that is closed, with the end of its closing tag."""
+    open_: dict[str, list[int]] = {t: [] for t in NESTED}
+    ends = {}
+    for k, m in enumerate(parts):
+        tag = (m[4] or m[7] or "").lower()
+        if tag in NESTED:
+            if not (m[3] or m[6]):
+                if not _closed(m):
+                    open_[tag].append(k)
+            elif open_[tag]:
+                ends[open_[tag].pop()] = m.end()
+    return ends
+
+
+def _closed(m: re.Match) -> bool:
+    attributes = m[5] or m[8] or ""
+    return attributes.endswith("/") and not _OPEN.fullmatch(attributes)
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]
@@ -91,13 +117,17 @@ def blocks(page: str) -> list[Block]:
             linked[0] += len(raw)
 
     at = 0
-    for m in _PART.finditer(page):
+    parts = list(_PART.finditer(page))
+    skipped = _skipped(parts)
+    for k, m in enumerate(parts):
+        if m.start() < at:  # inside a skipped element
+            continue
         say(page[at:m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
+        at = skipped.get(k, m.end())
+        tag = (m[4] or m[7] or "").lower()
+        if not tag or k in skipped or (_closed(m) and tag in EMPTY_IF_CLOSED):
             continue
-        closing = bool(m[2] or m[5])
+        closing = bool(m[3] or m[6])
         if tag in BLOCK_TAGS:
             flush()
         elif tag == "br":
@@ -107,13 +137,14 @@ def blocks(page: str) -> list[Block]:
                 while stack.pop()[0] != tag:
                     pass
         elif tag not in VOID_TAGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES_ITSELF.get(tag, ()):
+            closes = CLOSES_ITSELF.get(tag)
+            for i in range(len(stack) - 1 if closes else -1, -1, -1):
+                if stack[i][0] in closes:
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCK_TAGS:
                     break
-            stack.append((tag, _names(tag, m[4] or m[7] or "")))
+            stack.append((tag, _names(tag, m[5] or m[8] or "")))
     say(page[at:])
     flush()
     return found
