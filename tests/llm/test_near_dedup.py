@@ -103,3 +103,11 @@ def test_one_of_each_keeps_columns_and_one_row(documents, prose):
     assert kept.columns == docs.columns
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", a), ("9", b), ("None", "only here")])
     assert nd.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_components_of_the_same_id_each_keep_a_row(documents, prose):
+    a, b, c = prose(80), prose(80), prose(80)
+    rows = [(3, a, "en", "x"), (3, a, "en", "s"), (3, b, "en", "s"), (4, b, "en", "s"), (None, c, "en", "s"), (None, c, "fr", "s")]
+    kept = [sorted((str(r.doc_id), r.text, r.lang, r.source) for r in nd.one_of_each(documents(x)).collect()) for x in (rows, rows[::-1])]
+    assert sorted((i, t) for i, t, _, _ in kept[0]) == sorted([("3", a), ("3", b), ("None", c)])
+    assert kept[0] == kept[1]

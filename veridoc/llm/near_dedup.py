@@ -206,26 +206,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     one. Rows that share an id each get a row. An empty table gives an empty result. Other columns of
     ``docs`` are not looked at.
     """
+    return _named(docs, id_column, text, radius).drop("component")
+
+
+def _named(docs: DataFrame, id_column: str, text: str, radius: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with their component's least fingerprint, which names it also where ids repeat."""
     prints = staged(fingerprints(docs, id_column, text))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     grouped = staged(components(links(classes, radius)))
     linked = grouped.join(classes.withColumnRenamed("fp", "node"), "node")
     named = linked.groupBy("component").agg(F.min("least").alias("reach"))
-    reach = grouped.join(named, "component").select(F.col("node").alias("fp"), "reach")
-    ids = classes.join(reach, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "digest", "fp", "component_id")
+    reach = grouped.join(named, "component").select(F.col("node").alias("fp"), "component", "reach")
+    ids = classes.join(reach, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("reach", "least").alias("component_id"))
+    return prints.join(ids, "fp").select("doc_id", "digest", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that carry their component's id, one row for each such id.
+    """One row of ``docs`` for each component: the least id, null last, then the least digest of the text.
 
-    Rows without an id stay only where their component has no id at all, once for each text.
+    Of rows equal in both, the one with the least hash of its columns (maps left out) is kept.
     """
-    found = near_duplicates(docs, id_column, text, radius)
-    keep = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    )
+    found = _named(docs, id_column, text, radius)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    keep = found.groupBy("component").agg(F.min(first).alias("_m")).select(F.col("_m.doc_id").alias("_kept_id"), F.col("_m.digest").alias("_kept_digest"))
     same = F.col(id_column).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_digest"))
-    kept = docs.join(keep, same, "left_semi").withColumn("_no_id", F.when(F.col(id_column).isNull(), F.xxhash64(text)))
-    return kept.dropDuplicates([id_column, "_no_id"]).drop("_no_id")
+    kept = docs.join(keep, same, "left_semi")
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    alone = kept.groupBy(F.col(id_column).cast("long").alias("_i"), F.xxhash64(text).alias("_d")).agg(F.min_by(row, order).alias("_row"))
+    return alone.select("_row.*")
