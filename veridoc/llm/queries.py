@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import ann, decontaminate, html, language, mixing, near_dedup, quality, secrets, tokens, urls
+from veridoc.llm import ann, decontaminate, html, language, mixing, near_dedup, periodic, quality, secrets, tokens, urls
 from veridoc.llm.common import table
 
 
@@ -54,9 +54,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_main_text, op3_nearest, op4_language, op5_decontamination, op6_urls, op7_token_counts, op8_quality, op9_secrets, op10_near_dedup,
+        op11_periodic_runs,
     )
 }
 
