@@ -85,14 +85,14 @@ def rotations(levels: list[np.ndarray], at: np.ndarray, period: np.ndarray, begi
 
 
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value to the left; values[0] is the smallest of all.
+    """Index of the nearest smaller value to the left of every positive value; values[0] is the smallest of all.
 
     All indices hop over what their candidate has hopped over. The few that need many hops are
     finished from left to right, where every earlier answer is final.
     """
     left = np.maximum(np.arange(len(values)) - 1, 0)
     todo = np.flatnonzero(values[left] >= values)
-    todo = todo[todo > 0]
+    todo = todo[values[todo] > 0]  # zeros part the intervals and need no answer
     for _ in range(HOPS):
         if not len(todo):
             return left
