@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import ann, decontaminate, html, language, licenses, mixing, near_dedup, periodic, quality, secrets, tokens, urls
+from veridoc.llm import ann, collocations, decontaminate, html, language, licenses, mixing, near_dedup, periodic, quality, secrets, tokens, urls
 from veridoc.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -65,11 +69,12 @@ def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_main_text, op3_nearest, op4_language, op5_decontamination, op6_urls, op7_token_counts, op8_quality, op9_secrets, op10_near_dedup,
-        op11_periodic_runs, op13_licenses,
+        op11_periodic_runs, op12_collocations, op13_licenses,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.MIX_SQL.replace("{docs}", "documents"),
+    "op12_collocations": collocations.COLLOCATIONS_SQL.replace("{docs}", "documents"),
     "op13_licenses": licenses.SCAN_SQL.replace("{docs}", "documents"),
 }
