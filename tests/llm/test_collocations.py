@@ -96,7 +96,7 @@ def test_full_dictionaries_are_begun_anew(monkeypatch):
     monkeypatch.setattr(C, "SLICE_WORDS", 10)
     rows = [(i, " ".join(f"w{j % 70}" for j in range(i, i + 9)), "en", "s") for i in range(200)]
     counts, _ = plain_counts(rows)
-    monkeypatch.setattr(C, "_ID", (1 << C.ID_BITS) - 1)
+    monkeypatch.setattr(C, "WORDS_MOST", 60)
     done, _ = local_counts(rows, 2, 2)
     assert {r["phrase"]: r["count"] for r in done if r["phrase"] is not None} == {" ".join(w): c for (_, w), c in counts.items() if c >= 2}
 

@@ -43,7 +43,7 @@ PARTS_MOST = 1 << 14
 MERGE_ROWS = 4_000_000  # phrases of a partition held at once
 FINER = 64  # parts that an overfull one is dealt into
 
-_ID = (1 << ID_BITS) - 1
+_ID = WORDS_MOST = (1 << ID_BITS) - 1
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _PREPARE = bytes.maketrans(bytes(range(65, 91)) + _SEPARATORS, bytes(range(97, 123)) + b"\n" * len(_SEPARATORS))
 
@@ -212,7 +212,7 @@ def _counted(parts: int):
                 tries[lang].add(numbers)
             waiting.clear()
             yield from shrink(tries, TRIE_ENTRIES)
-            for lang in [name for name, t in tries.items() if len(t.numbers) + 2 * SLICE_WORDS > _ID]:
+            for lang in [name for name, t in tries.items() if len(t.numbers) + 2 * SLICE_WORDS > WORDS_MOST]:
                 yield from shrink({lang: tries[lang]}, 0)
                 del tries[lang]
 
