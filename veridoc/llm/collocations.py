@@ -3,18 +3,17 @@
 Every task counts windows of ``LONGEST`` words in one trie per language. The trie is shallow: the first word leads to a hash
 container of the words after it, and a container that grows too large bursts into one container for each
 second word. When the tries of a task hold too many entries, whole subtrees, the largest first, are taken out and
-written as sorted runs: every prefix of their windows with its count, dealt by the prefix. The runs of a prefix
-partition are merged by sorting, equal phrases add up, and those seen often enough stay. A partition that turns out too
-large for one task is dealt again into finer ones. A frequent prefix is one entry of a run, whatever it leads to, so no
-key is hot.
+written as sorted runs: the windows with their counts, dealt by their first three words, and the totals of shorter
+prefixes, dealt by these. The runs of a prefix partition are merged by sorting, equal phrases add up, and those seen often
+enough stay. A frequent prefix of one or two words is one entry of a run, whatever it leads to. A partition that
+turns out too large for one task is dealt again into finer ones, with the totals of all prefixes, so no key is hot.
 """
 
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,33 +33,35 @@ CONTAINED = 80  # per cent of its occurrences inside a longer candidate that dro
 NO_LANGUAGE = "und"
 
 # The method's own values: bounds of memory.
-SLICE_WORDS = 100_000  # words added between two looks at the size of the tries
-BURST = 4096  # entries of a container
-TRIE_ENTRIES = 1_000_000  # entries of a task
+SLICE_WORDS = 200_000  # words added between two looks at the size of the tries
+BURST = 1 << 16  # entries of a container
+TRIE_ENTRIES = 1_200_000  # entries of a task
 ID_BITS = 21  # word numbers in a container's key; a dictionary that fills them is spilled and begun anew
-PART_BYTES = 4 << 20  # text per merge partition
+PART_BYTES = 8 << 20  # text per merge partition
 PARTS_MOST = 1 << 14
 MERGE_ROWS = 4_000_000  # phrases of a partition held at once
 FINER = 64  # parts that an overfull one is dealt into
 
 _ID = WORDS_MOST = (1 << ID_BITS) - 1
+SHORT = 3  # prefixes shorter than this are totals of their own; longer ones follow from the windows of a part
+END = b"."  # stands for every separator, after lower-casing
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-_PREPARE = bytes.maketrans(bytes(range(65, 91)) + _SEPARATORS, bytes(range(97, 123)) + b"\n" * len(_SEPARATORS))
+_PREPARE = bytes.maketrans(bytes(range(65, 91)) + _SEPARATORS, bytes(range(97, 123)) + END * len(_SEPARATORS))
 
 
 class _Numbers(dict):
-    """Words numbered from 1 in the order they come."""
+    """Words numbered from 1 in the order they come; the end of a piece is 0."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self) + 1
+        self[word] = number = len(self)
         return number
 
 
 class _Node(dict):
     """A burst container: second word -> container."""
 
-    def __missing__(self, second: int) -> Counter:
-        self[second] = container = Counter()
+    def __missing__(self, second: int) -> dict[int, int]:
+        self[second] = container = {}
         return container
 
 
@@ -68,12 +69,12 @@ class HatTrie:
     """Counts of the windows of one language: first word -> container of the packed words after it."""
 
     def __init__(self) -> None:
-        self.numbers = _Numbers()
-        self.tops: list[Counter | _Node] = [Counter()]
+        self.numbers = _Numbers({END: 0})
+        self.tops: list[dict] = [{}]
 
     def add(self, numbers: list[int]) -> None:
         """Count the windows at every word; a 0 stands after every piece."""
-        self.tops += [Counter() for _ in range(len(self.numbers) + 1 - len(self.tops))]
+        self.tops += [{} for _ in range(len(self.numbers) - len(self.tops))]
         at = np.array([*numbers, 0, 0, 0], np.int64)
         key, on = np.zeros(len(numbers), np.int64), np.ones(len(numbers), bool)
         for k in range(1, LONGEST):
@@ -86,10 +87,9 @@ class HatTrie:
             container = tops[first]
             if container.__class__ is _Node:
                 container = container[rest >> shift]
-            container[rest] += 1
-        for first in set(numbers):
-            container = tops[first]
-            if container.__class__ is Counter and len(container) > BURST:
+            container[rest] = container.get(rest, 0) + 1
+        for first, container in enumerate(tops):
+            if len(container) > BURST and container.__class__ is dict:
                 tops[first] = node = _Node()
                 for rest, count in container.items():
                     node[rest >> shift][rest] = count
@@ -99,69 +99,96 @@ class HatTrie:
 
     def take(self, firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Remove whole subtrees: (windows of word numbers, counts)."""
-        parts, counts, owner = [], [], []
+        containers: list[dict[int, int]] = []
+        owner: list[int] = []
         for first in firsts:
-            top, self.tops[first] = self.tops[first], Counter()
-            for container in top.values() if top.__class__ is _Node else (top,):
-                parts.append(np.fromiter(container.keys(), np.int64, len(container)))
-                counts.append(np.fromiter(container.values(), np.int64, len(container)))
-                owner.append(np.full(len(container), first, np.int64))
-        key = np.concatenate(parts)
+            top, self.tops[first] = self.tops[first], {}
+            found = list(top.values()) if top.__class__ is _Node else [top]
+            containers += found
+            owner += [first] * len(found)
+        sizes = np.fromiter(map(len, containers), np.int64, len(containers))
+        key = np.fromiter(chain.from_iterable(containers), np.int64, int(sizes.sum()))
+        counts = np.fromiter(chain.from_iterable(map(dict.values, containers)), np.int64, len(key))
         rest = [key >> ID_BITS * k & _ID for k in reversed(range(LONGEST - 1))]
-        return np.stack([np.concatenate(owner), *rest], 1), np.concatenate(counts)
+        return np.stack([np.repeat(np.array(owner, np.int64), sizes), *rest], 1), counts
+
 
+def _packed(phrases: np.ndarray) -> np.ndarray:
+    """Each phrase as one or two numbers in the same order."""
+    bits = max(1, int(phrases.max(initial=0)).bit_length())
+    per = LONGEST if bits * LONGEST <= 63 else LONGEST // 2
+    columns = [phrases[:, k].astype(np.int64) for k in range(LONGEST)]
+    packed = []
+    for at in range(0, LONGEST, per):
+        number = columns[at]
+        for column in columns[at + 1:at + per]:
+            number = number << bits | column
+        packed.append(number)
+    return np.stack(packed)
 
-def _in_order(windows: np.ndarray) -> np.ndarray:
-    return np.lexsort(windows.T[::-1])
 
+def _in_order(packed: np.ndarray) -> np.ndarray:
+    return np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
 
-def prefixes(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every prefix of sorted windows, filled up with 0, with its count."""
+
+def prefixes(windows: np.ndarray, counts: np.ndarray, depths: tuple[int, ...] = tuple(range(1, LONGEST + 1))) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes, of the given lengths, of sorted windows, filled up with 0, with their counts."""
     rows, sums = [], []
     new = np.zeros(len(windows), bool)
     new[:1] = True
     for depth in range(1, LONGEST + 1):
         new[1:] |= windows[1:, depth - 1] != windows[:-1, depth - 1]
+        if depth not in depths:
+            continue
         start = np.flatnonzero(new)
-        total = np.add.reduceat(counts, start)
+        total = np.add.reduceat(counts, start) if len(start) else counts
         whole = windows[start, depth - 1] > 0
-        row = np.zeros((int(whole.sum()), LONGEST), np.int64)
+        row = np.zeros((int(whole.sum()), LONGEST), windows.dtype)
         row[:, :depth] = windows[start[whole], :depth]
         rows.append(row)
         sums.append(total[whole])
     return np.concatenate(rows), np.concatenate(sums)
 
 
-def encode(words: list[bytes], phrases: np.ndarray, counts: np.ndarray) -> bytes:
+def encode(words: np.ndarray, phrases: np.ndarray, counts: np.ndarray) -> bytes:
     """A run: its own sorted dictionary, the phrases as word numbers, column by column, and their counts."""
-    used, local = np.unique(phrases, return_inverse=True)
-    dictionary = b"\n".join(words[i - 1] for i in used.tolist() if i)
-    local = local.reshape(phrases.shape) + (0 if len(used) and used[0] == 0 else 1)
-    body = struct.pack("<qq", len(dictionary), len(counts)) + dictionary + local.astype(np.int32).T.tobytes() + counts.astype(np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(body)
+    present = np.zeros(len(words) + 1, bool)
+    present[phrases] = True
+    present[0] = False
+    used = np.flatnonzero(present)
+    local = np.cumsum(present)[phrases] * (phrases > 0)
+    dictionary = b"\n".join(words[used - 1].tolist())
+    wide, long = len(used) > 0xFFFF, int(counts.max()) > 0xFF
+    body = [
+        struct.pack("<qq??", len(dictionary), len(counts), wide, long), dictionary,
+        local.T.astype(np.int32 if wide else np.uint16).tobytes(), counts.astype(np.int64 if long else np.uint8).tobytes(),
+    ]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
 def decode(run: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(run)
-    size, rows = struct.unpack_from("<qq", body)
-    words = body[16:16 + size].split(b"\n")
-    phrases = np.frombuffer(body, np.int32, LONGEST * rows, 16 + size).reshape(LONGEST, rows).T
-    return words, phrases, np.frombuffer(body, np.int64, rows, 16 + size + 4 * LONGEST * rows)
+    size, rows, wide, long = struct.unpack_from("<qq??", body)
+    at = struct.calcsize("<qq??")
+    words = body[at:at + size].split(b"\n")
+    columns = np.frombuffer(body, np.int32 if wide else np.uint16, LONGEST * rows, at + size)
+    counts = np.frombuffer(body, np.int64 if long else np.uint8, rows, at + size + columns.nbytes)
+    return words, columns.reshape(LONGEST, rows).T, counts.astype(np.int64)
 
 
-def part_of(words: list[bytes], phrases: np.ndarray, parts: int, seed: int) -> np.ndarray:
-    """The part of each phrase, by its words alone."""
-    hashes = np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)
+def part_of(words: np.ndarray, phrases: np.ndarray, depth: int, parts: int, seed: int) -> np.ndarray:
+    """The part of each phrase, by its first ``depth`` words alone."""
+    hashes = np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words.tolist())], np.uint64)
     mixed = np.zeros(len(phrases), np.uint64)
-    for column in phrases.T:
+    for column in phrases.T[:depth]:
         mixed = (mixed ^ hashes[column]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     return (mixed % np.uint64(parts)).astype(np.int64)
 
 
-def _runs(words: list[bytes], phrases: np.ndarray, counts: np.ndarray, parts: int, seed: int) -> Iterator[tuple[int, bytes]]:
+def _runs(words: np.ndarray, phrases: np.ndarray, counts: np.ndarray, depth: int, parts: int, seed: int) -> Iterator[tuple[int, bytes]]:
     """(part, run) of sorted phrases, which stay sorted in every part."""
-    part = part_of(words, phrases, parts, seed)
+    part = part_of(words, phrases, depth, parts, seed)
     order = np.argsort(part, kind="stable")
     bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -169,18 +196,27 @@ def _runs(words: list[bytes], phrases: np.ndarray, counts: np.ndarray, parts: in
         yield int(part[rows[0]]), encode(words, phrases[rows], counts[rows])
 
 
+def _objects(words: list[bytes]) -> np.ndarray:
+    out = np.empty(len(words), object)
+    out[:] = words
+    return out
+
+
 def _spill(trie: HatTrie, firsts: list[int], parts: int) -> Iterator[tuple[int, bytes]]:
     windows, counts = trie.take(firsts)
-    used = np.unique(windows)
-    used = used[used > 0]
-    names = list(trie.numbers)
-    order = sorted(used.tolist(), key=lambda i: names[i - 1])
-    rank = np.zeros(len(names) + 1, np.int64)
-    rank[order] = np.arange(1, len(order) + 1)
+    present = np.zeros(len(trie.numbers), bool)
+    present[windows] = True
+    used = np.flatnonzero(present[1:]) + 1
+    names = _objects(list(trie.numbers))[used]
+    order = np.argsort(names, kind="stable")
+    rank = np.zeros(len(trie.numbers), np.int32)
+    rank[used[order]] = np.arange(1, len(used) + 1)
     windows = rank[windows]
-    sort = _in_order(windows)
-    phrases, sums = prefixes(windows[sort], counts[sort])
-    yield from _runs([names[i - 1] for i in order], phrases, sums, parts, 0)
+    sort = _in_order(_packed(windows))
+    windows, counts = windows[sort], counts[sort]
+    short, sums = prefixes(windows, counts, tuple(range(1, SHORT)))
+    long = windows[:, SHORT - 1] > 0
+    yield from _runs(names[order], np.concatenate([windows[long], short]), np.concatenate([counts[long], sums]), SHORT, parts, 0)
 
 
 def _counted(parts: int):
@@ -196,7 +232,7 @@ def _counted(parts: int):
         if held <= room:
             return
         every = np.sort(np.concatenate(list(sizes.values())))[::-1]
-        least = every[min(int(np.searchsorted(np.cumsum(every), held - room // 2)), len(every) - 1)]
+        least = every[min(int(np.searchsorted(np.cumsum(every), held - room // 4)), len(every) - 1)]
         for lang, s in sizes.items():
             firsts = np.flatnonzero((s >= max(least, 1))).tolist()
             if firsts:
@@ -219,16 +255,14 @@ def _counted(parts: int):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 trie = tries.setdefault(lang, HatTrie())
-                for piece in text.translate(_PREPARE).split(b"\n"):
-                    numbers = list(map(trie.numbers.__getitem__, piece.split()))
-                    if not numbers:
-                        continue
-                    waiting.setdefault(lang, []).extend([*numbers, 0])
-                    size += len(numbers)
-                    if size >= SLICE_WORDS:
-                        size = 0
-                        yield from flush()
-                        trie = tries.setdefault(lang, HatTrie())
+                held = waiting.setdefault(lang, [])
+                before = len(held)
+                held.extend(map(trie.numbers.__getitem__, text.translate(_PREPARE).replace(END, b" . ").split()))
+                held.append(0)
+                size += len(held) - before
+                if size >= SLICE_WORDS:
+                    size = 0
+                    yield from flush()
         yield from flush()
         yield from shrink(tries, 0)
 
@@ -237,16 +271,26 @@ def _counted(parts: int):
 
 def merge(runs: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """One run of several: equal phrases add up."""
-    words = sorted({w for part, _, _ in runs for w in part})
-    number = {w: i for i, w in enumerate(words, 1)}
-    phrases = np.concatenate([np.array([0, *(number[w] for w in part)], np.int64)[rows] for part, rows, _ in runs])
+    words = sorted(set().union(*(part for part, _, _ in runs)))
+    number = dict(zip(words, range(1, len(words) + 1)))
+    phrases = np.concatenate([np.array([0, *map(number.__getitem__, part)], np.int32)[rows] for part, rows, _ in runs])
     counts = np.concatenate([c for _, _, c in runs])
-    order = _in_order(phrases)
-    phrases, counts = phrases[order], counts[order]
+    packed = _packed(phrases)
+    order = _in_order(packed)
+    packed = packed[:, order]
     new = np.ones(len(phrases), bool)
-    new[1:] = (phrases[1:] != phrases[:-1]).any(1)
+    new[1:] = (packed[:, 1:] != packed[:, :-1]).any(0)
     start = np.flatnonzero(new)
-    return words, phrases[start], np.add.reduceat(counts, start) if len(start) else counts
+    return words, phrases[order[start]], np.add.reduceat(counts[order], start) if len(start) else counts
+
+
+def all_prefixes(phrases: np.ndarray, counts: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merged phrases of a part with the totals of every prefix; those of finer parts hold them already."""
+    if level > 1:
+        return phrases, counts
+    short = phrases[:, SHORT - 1] == 0
+    long, sums = prefixes(phrases[~short], counts[~short], tuple(range(SHORT, LONGEST + 1)))
+    return np.concatenate([phrases[short], long]), np.concatenate([counts[short], sums])
 
 
 def _merged(least: int, level: int):
@@ -257,7 +301,8 @@ def _merged(least: int, level: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, shape)], [n for n, _ in shape])
 
     def finer(part: int, lang: str, run: tuple[list[bytes], np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for sub, data in _runs(*run, FINER, level):
+        words, phrases, counts = run
+        for sub, data in _runs(_objects(words), *all_prefixes(phrases, counts, level), LONGEST, FINER, level):
             yield rows([[part * FINER + sub], [lang], [None], [None], [None], [data]])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, bytes]]:
@@ -284,6 +329,7 @@ def _merged(least: int, level: int):
                     yield from finer(part, lang, merge(held))
                 continue
             words, phrases, counts = merge(held)
+            phrases, counts = all_prefixes(phrases, counts, level)
             total = int(counts[phrases[:, 1] == 0].sum())
             often = np.flatnonzero(counts >= least)
             sizes = (phrases[often] > 0).sum(1).tolist()
