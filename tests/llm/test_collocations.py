@@ -93,15 +93,14 @@ def test_bursts_spills_and_finer_parts_keep_all_counts(monkeypatch):
 
 
 def test_full_dictionaries_are_begun_anew(monkeypatch):
-    monkeypatch.setattr(C, "_ID", 40)
     monkeypatch.setattr(C, "SLICE_WORDS", 10)
-    rows = [(i, " ".join(f"w{j % 70}" for j in range(i, i + 9)), "en", "s") for i in range(200)]
+    rows = [(i, " ".join(f"w{j % 170}" for j in range(i, i + 9)), "en", "s") for i in range(200)]
     begun = []
     monkeypatch.setattr(C.HatTrie, "__init__", lambda self, plain=C.HatTrie.__init__: (begun.append(1), plain(self))[1])
     counts, _ = plain_counts(rows)
     monkeypatch.setattr(C, "WORDS_MOST", 60)
     done, _ = local_counts(rows, 2, 2)
-    assert sum(begun) > 2
+    assert sum(begun) > 1
     assert {r["phrase"]: r["count"] for r in done if r["phrase"] is not None} == {" ".join(w): c for (_, w), c in counts.items() if c >= 2}
 
 

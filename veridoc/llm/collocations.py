@@ -88,7 +88,9 @@ class HatTrie:
             if container.__class__ is _Node:
                 container = container[rest >> shift]
             container[rest] = container.get(rest, 0) + 1
-        for first, container in enumerate(tops):
+        # a container that gained next to nothing is looked at when it gains more
+        for first in np.flatnonzero(np.bincount(at[:len(numbers)][words]) > BURST >> 10).tolist():
+            container = tops[first]
             if len(container) > BURST and container.__class__ is dict:
                 tops[first] = node = _Node()
                 for rest, count in container.items():
@@ -241,20 +243,26 @@ def _counted(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
         waiting: dict[str, list[int]] = {}
-        size = 0
+        size = entries = 0  # entries: at most so many are held
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal entries
             for lang, numbers in waiting.items():
                 tries[lang].add(numbers)
+                entries += len(numbers)
             waiting.clear()
-            yield from shrink(tries, TRIE_ENTRIES)
+            if entries > TRIE_ENTRIES:
+                yield from shrink(tries, TRIE_ENTRIES)
+                entries = sum(int(t.sizes().sum()) for t in tries.values())
             for lang in [name for name, t in tries.items() if len(t.numbers) + 2 * SLICE_WORDS > WORDS_MOST]:
                 yield from shrink({lang: tries[lang]}, 0)
                 del tries[lang]
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                trie = tries.setdefault(lang, HatTrie())
+                if lang not in tries:
+                    tries[lang] = HatTrie()
+                trie = tries[lang]
                 held = waiting.setdefault(lang, [])
                 before = len(held)
                 held.extend(map(trie.numbers.__getitem__, text.translate(_PREPARE).replace(END, b" . ").split()))
@@ -271,7 +279,7 @@ def _counted(parts: int):
 
 def merge(runs: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """One run of several: equal phrases add up."""
-    words = sorted(set().union(*(part for part, _, _ in runs)))
+    words = list(dict.fromkeys(chain.from_iterable(part for part, _, _ in runs)))
     number = dict(zip(words, range(1, len(words) + 1)))
     phrases = np.concatenate([np.array([0, *map(number.__getitem__, part)], np.int32)[rows] for part, rows, _ in runs])
     counts = np.concatenate([c for _, _, c in runs])
