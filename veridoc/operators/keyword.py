@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
+from veridoc.sources.buckets import Change, create_store, current_state, read_keys, read_table, replace_documents
 
 # --- fixed values -----------------------------------------------------------
 K1 = 1.2
@@ -89,6 +90,40 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
 
 
+def create_live_index(tokens: DataFrame, store: str, buckets: int) -> Index:
+    """An index that follows its documents: postings and lengths lie in buckets by document, counts in buckets by term."""
+    spark = tokens.sparkSession
+    postings = build_postings(tokens)
+    tables = {"postings": (postings, "id"), "lengths": (tokens.select("id", "dl"), "id"), "terms": (term_stats(postings), "term")}
+    create_store(spark, store, tables, buckets)
+    return load_live_index(spark, store)
+
+
+def load_live_index(spark: SparkSession, store: str) -> Index:
+    postings, terms, lengths = (read_table(spark, store, name) for name in ("postings", "terms", "lengths"))
+    return Index(postings, terms, index_stats(lengths))
+
+
+def update_live_index(store: str, tokens: DataFrame, gone: DataFrame) -> dict[str, list[int]]:
+    """Replace the documents of ``tokens`` and remove those of ``gone`` (id), as one new state; returns the rewritten buckets.
+
+    Document frequencies move by what the old postings of these documents take away and the new ones bring; terms
+    that nobody holds any more leave the index.
+    """
+    spark = tokens.sparkSession
+    since = current_state(spark, store)[0]
+    ids = tokens.select("id").unionByName(gone.select("id")).distinct()
+    postings = build_postings(tokens)
+    old = read_keys(spark, store, "postings", ids)
+    steps = old.select("term", F.lit(-1).alias("step")).unionByName(postings.select("term", F.lit(1).alias("step")))
+    moved = steps.groupBy("term").agg(F.sum("step").alias("step")).filter("step <> 0")
+    known = read_keys(spark, store, "terms", moved)
+    counts = moved.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("step")).alias("df"))
+    return replace_documents(spark, store, [
+        Change("postings", postings, ids), Change("lengths", tokens.select("id", "dl"), ids), Change("terms", counts.filter("df > 0"), moved.select("term")),
+    ], since)
+
+
 def _wanted(index: Index, terms: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, Column, Column]:
     """Postings of the wanted terms and allowed ids with df, and the totals of the whole index as scalars."""
     totals = index.totals.select(F.struct("n", "avgdl").alias("s")).scalar()

@@ -12,7 +12,7 @@ from veridoc.operators import eligibility as el
 from veridoc.operators import indexstate as ix
 from veridoc.plans.registry import query
 from veridoc.session import Tables, checkpoint_root
-from veridoc.sources import io
+from veridoc.sources import buckets, io
 from veridoc.streaming import jobs
 
 FP = "fp-1"
@@ -165,7 +165,10 @@ def replace_by_document(t: Tables) -> DataFrame:
     new = t.documents.join(t.labels, "doc_id", "left_semi").select(
         "doc_id", F.lit(0).cast("bigint").alias("block_index"), F.lit("whole").alias("kind")
     )
-    return ix.replace_rows(cur, new, "doc_id")
+    store = fresh_folder(t, "blocks")
+    buckets.create_store(t.spark, store, {"blocks": (cur, "doc_id")}, 16)
+    buckets.replace_documents(t.spark, store, [buckets.Change("blocks", new)])
+    return buckets.read_table(t.spark, store, "blocks")
 
 
 @query(

@@ -178,6 +178,28 @@ def keyword_bm25_topk(t: Tables) -> DataFrame:
     return keyword_top(t).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+_EDITED = """edited AS (
+  SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN source || ' ' || text || ' ' || lang ELSE text END AS text, lang, source
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+@query(
+    "keyword_upkeep", "R4,R5,R7,S4,S5",
+    f"WITH {_EDITED}, {KEYWORD_SQL.replace('FROM documents', 'FROM edited')} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM kwtop",
+)
+def keyword_upkeep(t: Tables) -> DataFrame:
+    """Search after toxic documents left the stored index and good ones were replaced by longer texts."""
+    store = f"{checkpoint_root(t.spark)}/live-{uuid.uuid4().hex}"
+    keyword.create_live_index(doc_tokens(t), store, 16)
+    gone = t.labels.where("toxic = 1").select(F.col("doc_id").alias("id"))
+    good = t.labels.where("quality = 1").select("doc_id").join(gone, F.col("doc_id") == F.col("id"), "left_anti")
+    longer = t.documents.join(good, "doc_id", "left_semi").withColumn("text", F.concat_ws(" ", "source", "text", "lang"))
+    keyword.update_live_index(store, keyword.tokenised(longer, "doc_id", INDEXED), gone)
+    q = questions(t).select("query_id", F.explode(tx.index_tokens(F.col("text"))).alias("token"))
+    found = keyword.top_k(keyword.bm25_scores(keyword.load_live_index(t.spark, store), q))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 _TERMS = r"list_slice(list_filter(regexp_split_to_array(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[^\p{L}\p{N}]+'), lambda t: t <> ''), 1, 64)"
 
 
