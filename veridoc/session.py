@@ -7,6 +7,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -56,13 +57,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+SPLITS_ENOUGH = 4  # splits per core above which a table counts as dealt out
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that is a single input split out to all cores.
+    """Deal a table whose rows lie in fewer input splits than there are cores out to all of them.
 
-    Text work is bound by CPU, and a file of one row group is one split however many rows it has. What is
-    shuffled is at most one split; a table of several splits is returned unchanged on any cluster.
+    Text work is bound by CPU. A row group is read by one task however many splits its file is cut into, so the
+    splits that do hold rows are counted, without reading a column. What is shuffled is at most one split per core; a
+    table of many splits is returned unchanged on any cluster.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= SPLITS_ENOUGH * cores:
+        return df
+    filled = df.select(F.input_file_name(), F.input_file_block_start()).distinct().count()
+    return df if filled >= cores else df.repartition(cores)
 
 
 class Tables:
