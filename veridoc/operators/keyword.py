@@ -120,7 +120,8 @@ def update_live_index(store: str, tokens: DataFrame, gone: DataFrame) -> dict[st
     known = read_keys(spark, store, "terms", moved)
     counts = moved.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("step")).alias("df"))
     return replace_documents(spark, store, [
-        Change("postings", postings, ids), Change("lengths", tokens.select("id", "dl"), ids), Change("terms", counts.filter("df > 0"), moved.select("term")),
+        Change("postings", postings, ids, True), Change("lengths", tokens.select("id", "dl"), ids, True),
+        Change("terms", counts.filter("df > 0"), moved.select("term"), True),
     ], since)
 
 

@@ -13,7 +13,7 @@ from veridoc.operators import indexstate as ix
 from veridoc.plans.registry import query
 from veridoc.session import Tables, checkpoint_root
 from veridoc.sources import buckets, io
-from veridoc.streaming import jobs
+from veridoc.streaming import jobs, stages
 
 FP = "fp-1"
 CONFIG = {
@@ -622,6 +622,26 @@ def ingest_chunks(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "ingest_stages", "W1,I2,I5",
+    """WITH d AS (SELECT doc_id, lang, text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS edited FROM documents)
+SELECT doc_id, CASE WHEN lang = 'en' THEN 'chunked' WHEN edited THEN 'none' ELSE 'vector_indexed' END AS start_stage,
+  CASE WHEN lang = 'en' THEN 'embedding_changed' WHEN edited THEN 'content_changed' ELSE 'keyword_schema_changed' END AS reason,
+  sha256(CASE WHEN edited THEN text || ' edited' ELSE text END) AS sha256 FROM d""",
+)
+def ingest_stages(t: Tables) -> DataFrame:
+    """Three deliveries: all documents; some texts edited and a new keyword schema; English ones under a new embedding."""
+    store = fresh_folder(t, "stages")
+    docs = t.stream("documents").select("doc_id", "lang", F.lit("upload").alias("source_type"), F.col("doc_id").cast("string").alias("source_key"), "text")
+    good = t.labels.where("quality = 1").select("doc_id").distinct().withColumn("edited", F.lit(True))
+    second = docs.join(good, "doc_id", "left").withColumn("text", F.when(F.col("edited"), F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    words = CONFIG | {"keyword_schema": {"version": "2", "tokenizer": "unicode"}}
+    vectors = words | {"embedding": {"provider": "hash", "dimension": 65}}
+    for number, (rows, config) in enumerate(((docs, CONFIG), (second, words), (second.where("lang = 'en'"), vectors))):
+        stages.ingest_staged(rows.select("source_type", "source_key", "text"), store, f"{store}/_checkpoint{number}", config, 16).awaitTermination()
+    return buckets.read_table(t.spark, store, "state").select(F.col("source_key").cast("bigint").alias("doc_id"), "start_stage", "reason", "sha256")
+
+
 CALLS_SQL = """
 calls AS (SELECT user_id % 4 AS provider, event_id AS seq, event_type <> 'error' AS ok, user_id % 4 <> 3 AS configured FROM events),
 cc AS (SELECT provider, count(*) AS calls, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, min(seq) FILTER (ok) AS first_ok, max(seq) AS last_seq, bool_or(configured) AS configured FROM calls GROUP BY provider),
