@@ -136,6 +136,39 @@ def test_every_candidate_in_reach_is_judged():
         assert all(x[1] <= y[0] for x, y in zip(mine, mine[1:]))
 
 
+def _reported(strings):
+    """Share of the strings that are reported after a sensitive word on a line of code."""
+    lines = [(x, f"    self.signature = check({x}, mode)\n") for x in strings]
+    return sum(any(x in line[a:b] for a, b, _ in secrets.spans(line)) for x, line in lines) / len(lines)
+
+
+def test_names_are_told_from_noise():
+    import string
+    import sysconfig
+    from pathlib import Path
+
+    rng = random.Random(11)
+    source = "\n".join(p.read_text(errors="ignore") for p in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py")))
+    names = sorted({x for x in re.findall(r"(?<!\w)[A-Za-z_]\w{15,40}(?!\w)", source, re.ASCII) if len(set(x)) > 3})
+    rng.shuffle(names)
+    words = [w.lower() for n in names for w in re.findall(r"[A-Z]?[a-z]{3,}", n)]
+
+    def joined(sep):
+        out = rng.choice(words)
+        while len(out) < 16:
+            out += sep + rng.choice(words)
+        return out
+
+    assert _reported(names[:600]) <= 0.05
+    for sep in "-/_":
+        assert _reported([joined(sep) for _ in range(400)]) <= 0.05
+    assert _reported([joined("_").upper() for _ in range(400)]) <= 0.05
+    assert secrets.spans("credential store-and-forward-mechanisms") == []
+    letters = string.ascii_letters
+    for xs in (letters, letters + string.digits, letters + string.digits + "+/", letters + string.digits + "-_", string.ascii_lowercase + string.digits, "0123456789ABCDEF", "0123456789abcdef"):
+        assert _reported(["".join(rng.choices(xs, k=rng.randint(20, 64))) for _ in range(300)]) >= 0.95
+
+
 def test_redaction_merges_overlaps():
     text = "x token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" y"
     assert secrets.redact(text, secrets.spans(text)) == "x [secret]\" y"

@@ -4,7 +4,10 @@ The added kind, ``novel``, looks at every string of token characters that follow
 zstandard compressor primed with a dictionary of identifiers and code words compresses the code
 around the candidate without it and with it; the difference in bytes is what the string adds. It is
 held against what random strings of the same length and alphabet add at the same place, so that the
-bar follows the entropy of base64, hex or digits. Long candidates are judged by windows.
+bar follows the entropy of base64, hex or digits. A second compressor, primed with words that
+identifiers are made of, tells names from noise: it sees the candidate cut into its words, and the
+bar lies between what composed identifiers and random strings of that length add. Long candidates
+are judged by windows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,9 @@ MARGIN = 1.0  # a candidate of n characters adds 1 - MARGIN / sqrt(n) of what a
 DRAWS = 3  # random strings that a candidate is held against
 WINDOW = 64  # longer candidates are judged by windows of this length, half overlapping
 PLACEHOLDER = "[secret]"
+CALIBRATION = 64  # composed identifiers and random strings that set each bar between names and noise
+LENGTH_STEP = 4  # bars are set for lengths rounded to this
+NAMES_PASS = 1.7  # deviations above the mean of composed identifiers below which nothing is reported
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % CANDIDATE_LEAST)
 
 IDENTIFIERS = (
@@ -53,6 +59,26 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxx XXXXXXXX 00000000 ........ -------- ________ "
 )
 
+# Words that names are made of: the first prime the compressor, the last (UNSEEN) compose the identifiers that set the bar.
+VOCABULARY = (
+    "access account action active add address after all allow app array async attribute auth available back base before block body "
+    "bool buffer build byte cache call change channel char check child class clear client close code column command common compare "
+    "complete config connect content context control convert copy count create current custom data date default delete depend "
+    "description detail dir display document domain edit element encode end entry error event exception execute expire export extract "
+    "field file filter find first flag format forward from function generate group handle hash head hidden home host image import index "
+    "info init input insert install instance integer internal item iterate join key label language last length level limit line link list "
+    "load local lock log login main make manage map match max member message method mode module name network next node number object "
+    "option order output package page param parse path pattern point policy port prefix print process profile property provider proxy"
+).split()
+UNSEEN = (
+    "query queue range record refresh register release remote remove render request reset resolve response result retry role route rule "
+    "sample schema scope search secure segment select sequence service session signature socket source status storage stream string "
+    "submit support system target template thread timeout token track transform unit update upload valid verify version worker"
+).split()
+ENDINGS = ("", "", "", "", "s", "ed", "ing", "er", "ion", "able", "ment")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_JOINT = re.compile(r"[+/_=.~ -]+")
+
 
 @lru_cache(maxsize=8)
 def _compressor(dictionary: str) -> zstandard.ZstdCompressor:
@@ -90,12 +116,79 @@ def novelty(candidate: str, before: str, after: str, dictionary: str = IDENTIFIE
     return (len(compress(around + b"\n" + candidate.encode())) - alone) / chance
 
 
+def _words(count: int, vocabulary: list[str] | tuple[str, ...], seed: str) -> str:
+    rng = random.Random(seed)
+    return " ".join(rng.choice(vocabulary) + rng.choice(ENDINGS) for _ in range(count))
+
+
+@lru_cache(maxsize=1)
+def _names() -> tuple[zstandard.ZstdCompressor, str, int]:
+    """The compressor of names, the words that stand before each candidate, and their compressed size."""
+    primer = (_words(4 * len(VOCABULARY), VOCABULARY, "primer") + " " + " ".join(VOCABULARY)).encode()
+    shape = zstandard.ZstdCompressionParameters.from_level(
+        19, source_size=2048, dict_size=len(primer), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    compressor = zstandard.ZstdCompressor(compression_params=shape, dict_data=zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    before = _words(150, VOCABULARY, "before")
+    return compressor, before, len(compressor.compress(before.encode()))
+
+
+def name_bytes(candidate: str) -> float:
+    """Bytes per character that the candidate, cut into words at humps, joints and digits, adds to a text of words."""
+    compressor, before, alone = _names()
+    cut = _JOINT.sub(" ", _HUMP.sub(" ", candidate)).lower()
+    return (len(compressor.compress(f"{before} {cut}".encode())) - alone) / len(candidate)
+
+
+def _spread(strings: list[str]) -> tuple[float, float]:
+    found = [name_bytes(s) for s in strings]
+    mean = sum(found) / len(found)
+    return mean, (sum((x - mean) ** 2 for x in found) / len(found)) ** 0.5
+
+
+@lru_cache(maxsize=1 << 10)
+def _composed(size: int) -> tuple[float, float]:
+    """Mean and deviation of ``name_bytes`` over identifiers of ``size`` characters, half their words not in the primer."""
+    out = []
+    for i in range(CALIBRATION):
+        words = _words(size, UNSEEN if i % 2 else VOCABULARY, f"{size} {i}").split()
+        style = i // 2 % 4
+        name = "".join(w.capitalize() for w in words) if style == 0 else "_-/"[style - 1].join(words)
+        out.append(name[:size - 1] + "2" if i % 8 == 7 else name[:size])
+    return _spread(out)
+
+
+@lru_cache(maxsize=1 << 12)
+def name_bar(letters: str, size: int) -> float:
+    """The value of ``name_bytes`` from which a string of this alphabet and length is noise.
+
+    It lies as many deviations above composed identifiers as below random strings, and never so low that composed
+    identifiers pass. Random small letters alone cost little more than names: of them only the longer ones pass.
+    """
+    rng = random.Random(f"bar {size} {letters}")
+    noise, noise_spread = _spread(["".join(rng.choices(letters, k=size)) for _ in range(CALIBRATION)])
+    names, names_spread = _composed(size)
+    between = (names * noise_spread + noise * names_spread) / max(names_spread + noise_spread, 1e-9)
+    return max(between, names + NAMES_PASS * names_spread)
+
+
+def is_name(candidate: str) -> bool:
+    """Whether the candidate reads as words rather than noise. Digits alone are no name."""
+    letters = "".join(c for c in alphabet(candidate) if c.isalnum())
+    if not set(letters) - set(string.digits):
+        return False
+    return name_bytes(candidate) < name_bar(letters, max(LENGTH_STEP, len(candidate) // LENGTH_STEP * LENGTH_STEP))
+
+
 def _novel(text: str, froms: list[int], b: int, margin: float, dictionary: str) -> bool:
     """Whether the string up to b, from any of the sorted starts, or any window of it is as new as chance."""
     last = max(b - WINDOW, froms[0])
     at = sorted({*range(froms[0], last + 1, WINDOW // 2), last, *froms})
     ends = [min(b, i + WINDOW) for i in at]
-    return any(novelty(text[i:j], text[max(0, i - CONTEXT):i], text[j:j + CONTEXT], dictionary) >= 1 - margin / (j - i) ** 0.5 for i, j in zip(at, ends))
+    return any(
+        novelty(text[i:j], text[max(0, i - CONTEXT):i], text[j:j + CONTEXT], dictionary) >= 1 - margin / (j - i) ** 0.5 and not is_name(text[i:j])
+        for i, j in zip(at, ends)
+    )
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
