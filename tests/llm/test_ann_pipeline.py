@@ -57,6 +57,35 @@ def test_probes_are_ordered_and_merge_tables():
     assert own.min() >= 0 and own.max() < hashing.bins**3
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e150])
+def test_lengths_far_apart(spark, scale):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 8)) * scale
+    x[1] = [1e200, 0, 0, 0, 0, 0, 0, 0]
+    x[2] = [1e200, -1e200, 0, 0, 0, 0, 0, 1]
+    x[3] = [1e200, 1e200, 0, 0, 0, 0, 0, 0]
+    x[4] = np.full(8, 1e-200)
+    x[5] = np.full(8, 1.7e308)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [1, 2, 3, 4, 5, 6, 20, 40, 60]
+    got = {}
+    for r in ann.nearest(vectors, vectors.filter(vectors.vec_id.isin(asked))).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(asked)
+    hit = 0
+    for q in asked:
+        score = ann.products(np.tile(x[q], (len(x), 1)), x)
+        want = sorted((-score[i], i) for i in range(len(x)) if i != q)[:20]
+        assert len(got[q]) == 20 and all(s == score[v] for v, s in got[q])
+        assert [(-s, v) for v, s in got[q]] == sorted((-s, v) for v, s in got[q])
+        outliers = {i for _, i in want} & ({1, 2, 3, 5} - {q})
+        assert outliers <= {v for v, _ in got[q]} or scale > 1
+        hit += len({v for v, _ in got[q]} & {i for _, i in want})
+    assert hit / (20 * len(asked)) >= 0.9
+    assert ann.products(x[2:3], x[3:4])[0] == 0.0 and ann.products(x[1:2], x[3:4])[0] == np.inf
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [-1.0, 0.0]), (9, [])]

@@ -30,8 +30,25 @@ BINS = 4  # bins that hold most of a projection
 RECALL = 0.96  # share of the sample's neighbours that the visits must find
 SUCCESSES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 1.0)
 SAMPLE_QUERIES, SAMPLE_ROWS = 256, 8192
+LONG = 4.0  # vectors longer than this times the sample's 99th percentile are scored against every query
 CHUNK_BYTES = 8 << 20  # of a bucket scored together; a larger bucket is several chunks
 QUERY_BLOCK = 256
+ROUNDING = 1e-12  # error of a product, as a share of the lengths; candidates this near the cut are scored exactly
+EVERYWHERE = -1  # bucket of the long vectors, visited by every query
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of the vectors, at most the largest finite number."""
+    most = np.abs(x).max(1, initial=0)
+    scaled = x / np.where(most > 0, most, 1)[:, None]
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.sqrt(np.einsum("ij,ij->i", scaled, scaled)), np.finfo(np.float64).max)
 
 
 @dataclass(frozen=True)
@@ -48,11 +65,11 @@ class Hashing:
     success: float
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
-        square = np.einsum("ij,ij->i", x, x)
+        """Points of the unit sphere; lengths are counted in norms, so that no square overflows."""
         if query:
-            length = np.sqrt(square)[:, None]
-            return np.hstack([x / length * self.norm, np.zeros((len(x), 1))])
-        return np.hstack([x, np.sqrt(np.maximum(self.norm**2 - square, 0))[:, None]])
+            return np.hstack([directions(x), np.zeros((len(x), 1))])
+        x = x / self.norm
+        return np.hstack([x, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0))[:, None]])
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
         return np.einsum("nd,tkd->tnk", self.lift(x, query), self.projections)
@@ -66,6 +83,9 @@ class Hashing:
         power = self.bins ** np.arange(self.projections.shape[1])
         return np.stack([self.cell(v, t) @ power for t, v in enumerate(self.project(x, False))])
 
+    def long(self, x: np.ndarray) -> np.ndarray:
+        return lengths(x) > self.norm
+
     def probes(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(table, query row, bucket) of the visits, best first, until their chances reach ``success``."""
         k = self.projections.shape[1]
@@ -99,13 +119,14 @@ def fit(rows: int, norm: float, sample: np.ndarray, neighbours: int, tables: int
     bins = BINS
     k = max(1, round(math.log(max(rows / BUCKET_ROWS, 1)) / math.log(bins)))
     rng = np.random.default_rng(seed)
-    projections = rng.standard_normal((tables, k, sample.shape[1] + 1)) / max(norm, 1e-300)
+    projections = rng.standard_normal((tables, k, sample.shape[1] + 1))
+    sample = sample[lengths(sample) <= norm]
     plain = Hashing(projections, np.zeros((tables, k)), 1.0, norm, 1.0, 1.0, bins, 1.0)
     stored = plain.project(sample, False)
     width = max(float(np.subtract(*np.quantile(stored, [0.9, 0.1]))) / (bins - 1), 1e-9)
     offsets = bins * width / 2 - np.median(stored, axis=1)
     queries = sample[: min(SAMPLE_QUERIES, len(sample))]
-    scores = queries @ sample.T
+    scores = directions(queries) @ (sample / norm).T  # neighbours don't depend on the query's length
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     shrink, spread = 1.0, width
     near = max(1, min(len(sample) - 1, round(neighbours * len(sample) / max(rows, 1))))
@@ -175,16 +196,32 @@ def _search(neighbours: int):
     return run
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, the same sum for equal vectors whatever the block; never NaN.
+
+    Where the sum overflows on the way, it is taken over scaled components: finite if it is, else infinite.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (a * b).sum(1)
+        bad = np.flatnonzero(~np.isfinite(out))
+        if len(bad):
+            a, b = a[bad], b[bad]
+            most_a, most_b = np.abs(a).max(1), np.abs(b).max(1)
+            out[bad] = ((a / most_a[:, None]) * (b / most_b[:, None])).sum(1) * np.maximum(most_a, most_b) * np.minimum(most_a, most_b)
+    return out
+
+
 def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, neighbours: int) -> pa.RecordBatch:
-    rough = queries @ vectors.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > neighbours:
-        least = np.partition(rough, -neighbours, axis=1)[:, -neighbours]
-    else:
+    other = query_ids[:, None] != ids[None, :]
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = queries @ vectors.T
+        slack = ROUNDING * lengths(queries)[:, None] * lengths(vectors)[None, :]
+        sure = other & np.isfinite(rough) & np.isfinite(slack)
         least = np.full(len(query_ids), -np.inf)
-    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-    q, v = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
-    score = (queries[q] * vectors[v]).sum(1)  # the same sum for equal vectors, whatever the block
+        if len(ids) > neighbours:
+            least = np.partition(np.where(sure, rough - slack, -np.inf), -neighbours, axis=1)[:, -neighbours]
+        q, v = np.nonzero(other & (~sure | (rough + slack >= least[:, None])))
+    score = products(queries[q], vectors[v])
     ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(q, minlength=len(query_ids)))]), pa.int32())
     return pa.RecordBatch.from_arrays(
         [pa.array(query_ids), pa.ListArray.from_arrays(ends, pa.array(ids[v])), pa.ListArray.from_arrays(ends, pa.array(score))], ["query_id", "ids", "scores"]
@@ -216,7 +253,9 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``neighbours`` found with the largest inner product, ties by id.
 
     A row's own id is no candidate. Rows whose id is null, or whose vector is null, zero, of another
-    length than most, or with a null or non-finite component, take no part. Equal vectors beyond the
+    length than most, or with a null or non-finite component, take no part. Finite components may have any
+    size: vectors much longer than the others are hashed nowhere and scored against every query; a product
+    beyond double precision is infinite. Equal vectors beyond the
     ``neighbours`` + 1 least ids can be in no answer and are not indexed; a repeated id keeps one row.
     Queries that see fewer candidates than ``neighbours`` are searched again in all buckets, so each
     answer is full if the table is. An empty table gives no rows. A bucket of any size is dealt into
@@ -224,10 +263,10 @@ def nearest(
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    lengths = vectors.groupBy(F.size(vector).alias("d")).count().filter("d > 0").orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
+    sizes = vectors.groupBy(F.size(vector).alias("d")).count().filter("d > 0").orderBy(F.desc("count"), "d").limit(1).collect()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = lengths[0][0]
+    dim = sizes[0][0]
 
     def clean(df: DataFrame) -> DataFrame:
         plain = df.filter(F.col(id_column).isNotNull() & F.expr(valid(f"`{vector}`", dim)))
@@ -236,19 +275,30 @@ def nearest(
     alike = Window.partitionBy("v").orderBy("id")
     index = staged(clean(vectors).dropDuplicates(["id"]).withColumn("_n", F.row_number().over(alike)).filter(F.col("_n") <= neighbours + 1).drop("_n"))
     asked = staged(clean(queries).dropDuplicates(["id"]))
-    facts = index.agg(F.count("*"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))).first()
-    rows, norm = int(facts[0]), math.sqrt(facts[1] or 0.0)
+    most = F.expr("aggregate(v, 0D, (a, x) -> greatest(a, abs(x)))")
+    length = F.col("_most") * F.sqrt(F.expr("aggregate(v, 0D, (a, x) -> a + (x / _most) * (x / _most))"))
+    facts = index.withColumn("_most", most).agg(F.count("*"), F.max(length)).first()
+    rows = int(facts[0])
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r[0] for r in bounded_sample(index, F.xxhash64("id", F.lit(7)), SAMPLE_ROWS).select("v").collect()])
+    norm = min(facts[1], LONG * float(np.quantile(lengths(sample), 0.99)), np.finfo(np.float64).max)
     hashing = fit(rows, norm, sample, neighbours, tables, recall)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = hashing.buckets(_matrix(batch.column(1)))
+            matrix = _matrix(batch.column(1))
+            long = hashing.long(matrix)
+            hashed = np.flatnonzero(~long)
+            found = hashing.buckets(matrix[hashed])
             for t in range(tables):
+                rows_, bucket = hashed, found[t]
+                if t == 0:
+                    rows_ = np.concatenate([hashed, np.flatnonzero(long)])
+                    bucket = np.concatenate([bucket, np.full(long.sum(), EVERYWHERE)])
+                at = pa.array(rows_)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, t)), pa.array(found[t]), batch.column(0), batch.column(1)], ["t", "bucket", "id", "v"]
+                    [pa.array(np.full(len(rows_), t)), pa.array(bucket), batch.column(0).take(at), batch.column(1).take(at)], ["t", "bucket", "id", "v"]
                 )
 
     def visit(everything: bool):
@@ -260,6 +310,8 @@ def nearest(
                     found = [(np.zeros(len(row), np.int64), row, np.tile(np.arange(count), batch.num_rows))]
                 else:
                     found = hashing.probes(_matrix(batch.column(1)))
+                rows_ = np.arange(batch.num_rows)
+                found.append((np.zeros_like(rows_), rows_, np.full_like(rows_, EVERYWHERE)))
                 for t, row, bucket in found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(t), pa.array(bucket), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["t", "bucket", "id", "v"]
