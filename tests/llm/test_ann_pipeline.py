@@ -123,7 +123,7 @@ def test_stages_take_effect_in_order(spark, tmp_path, documents, prose):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_mixing_query_equals_its_sql(spark):
