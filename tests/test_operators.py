@@ -342,3 +342,48 @@ def test_results_do_not_depend_on_partitions(spark):
         "credits", F.col("n").cast("decimal(10,4)")
     )
     assert rows(au.resolve_status(df.repartition(1))) == rows(au.resolve_status(df.repartition(17)))
+
+
+# --- schedule overlap ----------------------------------------------------------------------
+
+def plain_overlaps(slots):
+    found = set()
+    for i, (s1, t1, c1, d1, u1, a1, b1) in enumerate(slots):
+        for s2, t2, c2, d2, u2, a2, b2 in slots[i + 1:]:
+            if (s1, t1, d1, u1) == (s2, t2, d2, u2) and c1 != c2:
+                if (a1 < b2 and a2 < b1) if u1 == "clock" else (a1 <= b2 and a2 <= b1):
+                    found.add((s1, min(c1, c2), max(c1, c2)))
+    return found
+
+
+def overlaps(spark, slots):
+    return au.schedule_conflicts(spark.createDataFrame(slots, "set_id long, term string, course_code string, weekday string, unit string, start int, end int"))
+
+
+def test_schedule_overlap_against_every_pair(spark):
+    rng = random.Random(6)
+    slots = []
+    for unit, most, longest in (("clock", 1439, 90), ("clock", 60, 4), ("period", 14, 3), ("clock", 6039, 3000)):
+        for _ in range(250):
+            a = rng.randrange(most)
+            slots.append((rng.randrange(4), "t", f"c{rng.randrange(9)}", rng.choice("一二"), unit, a, min(most, a + rng.choice([0, 1, rng.randrange(longest)]))))
+    got = [tuple(r) for r in overlaps(spark, slots).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_overlaps(slots)
+    for case in (
+        [(1, "t", "a", "一", "clock", 5, 7), (1, "t", "a", "一", "clock", 7, 9), (1, "t", "b", "一", "clock", 7, 7)],  # an empty slot between two that touch
+        [(1, "t", "a", "一", "clock", 5, 9), (1, "t", "b", "一", "clock", 7, 7)], [(1, "t", "a", "一", "clock", 5, 9), (1, "t", "b", "一", "clock", 5, 5)],
+        [(1, "t", "a", "一", "period", 3, 3), (1, "t", "b", "一", "period", 3, 3)], [],
+    ):
+        assert {tuple(r) for r in overlaps(spark, case).collect()} == plain_overlaps(case)
+
+
+def test_slots_of_a_crowded_hour_are_merged(spark):
+    # 60 short slots a course in one hour, none of which meets a slot of another course
+    slots = [(1, "t", f"c{k}", "一", "clock", 4 * i + k, 4 * i + k + 1) for i in range(15) for k in range(4)] * 20
+    found = overlaps(spark, slots)
+    assert found.count() == 0
+    merged = au.merged_slots(spark.createDataFrame(slots, "set_id long, term string, course_code string, weekday string, unit string, start int, end int"))
+    assert merged.count() == 60  # repeated slots are one
+    run = [(1, "t", "a", "一", "clock", i, i + 2) for i in range(60)]
+    one = au.merged_slots(spark.createDataFrame(run, "set_id long, term string, course_code string, weekday string, unit string, start int, end int")).collect()
+    assert [(r.start, r.end) for r in one] == [(0, 61)]  # a chain of overlapping slots is one range

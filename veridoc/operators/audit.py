@@ -12,7 +12,7 @@ credits, category).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
@@ -606,35 +606,58 @@ def plan_diff(produced: DataFrame, expected: DataFrame, key: list[str]) -> DataF
 
 def schedule_slots(records: DataFrame) -> DataFrame:
     """In-progress records with a readable term and slot as (set_id, term, course_code, weekday, unit, start, end)."""
-    return (
-        records.where("status = 'in_progress'")
-        .select("set_id", tx.norm_term(F.col("semester")).alias("term"), "course_code", tx.parse_slot(F.col("schedule")).alias("s"))
-        .where("term IS NOT NULL AND s IS NOT NULL")
-        .select("set_id", "term", "course_code", "s.weekday", "s.unit", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    # a generator reads each text once; a filter on the slot would have it parsed again for the filter and each field
+    read = records.where("status = 'in_progress'").select(
+        "set_id", tx.norm_term(F.col("semester")).alias("term"), "course_code", F.inline(F.array_compact(F.array(tx.parse_slot(F.col("schedule")))))
     )
+    return read.where("term IS NOT NULL")
+
 
+def merged_slots(slots: DataFrame) -> DataFrame:
+    """The slots of a course at one place as disjoint half-open ranges: overlapping ones become one.
+
+    Slots with the same start collapse to the longest one first, so a course has at most one row per
+    minute. Ranges that only touch stay apart, because an empty slot between them meets neither.
+    """
+    place = ["set_id", "term", "weekday", "unit", "course_code"]
+    until = F.when(F.col("unit") == "clock", F.col("end")).otherwise(F.col("end") + 1)
+    longest = slots.groupBy(*place, "start").agg(F.max(until).alias("end"))
+    course = Window.partitionBy(*place).orderBy("start")
+    reached = F.max("end").over(course.rowsBetween(Window.unboundedPreceding, -1))
+    opens = longest.withColumn("opens", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+    island = opens.withColumn("island", F.sum("opens").over(course.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*place, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
-def schedule_conflicts(slots: DataFrame, bucket: int = 60) -> DataFrame:
+
+def schedule_conflicts(slots: DataFrame, levels: int = 13) -> DataFrame:
     """Distinct course pairs of one set that overlap in the same term, weekday and unit.
 
-    Slots of a course with the same start collapse to the longest one, which leaves at most
-    one row per minute; then slots meet only inside shared time buckets. Clock ranges are
-    half open, period ranges closed.
+    Clock ranges are half open, period ranges closed. Of two ranges that overlap, one holds the
+    start of the other. A range is cut into blocks of lengths 1, 2, 4 to 2**levels that tile it
+    exactly, a start stands in one block of each length, and both meet by block: the join gives the
+    true overlaps of the merged ranges and no other pairs, however crowded an hour is. ``levels``
+    must let 2**levels cover the largest end.
     """
     place = ["set_id", "term", "weekday", "unit"]
-    longest = slots.groupBy(*place, "course_code", "start").agg(F.max("end").alias("end"))
-    cells = longest.withColumn(
-        "cell", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)))
-    )
-    left = cells.select(*place, "cell", F.col("course_code").alias("left_code"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    right = cells.select(*place, "cell", F.col("course_code").alias("right_code"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    clock = (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1"))
-    period = (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1"))
-    return (
-        left.join(right, [*place, "cell"])
-        .where((F.col("left_code") < F.col("right_code")) & F.when(F.col("unit") == "clock", clock).otherwise(period))
-        .select("set_id", "left_code", "right_code").distinct()
-    )
+    ranges = merged_slots(slots)
+    steps = F.sequence(F.lit(0), F.lit(levels))
+
+    def block(level: Column, cell: Column) -> Column:
+        return F.struct(level.alias("level"), cell.cast("long").alias("cell"))
+
+    def tiles(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        low, high = F.ceil(F.col("start") / size), F.floor(F.col("end") / size)
+        odd = (low < high) & (F.pmod(low, F.lit(2)) == 1), (low < high) & (F.pmod(high, F.lit(2)) == 1)
+        return F.array_compact(F.array(F.when(odd[0], block(level, low)), F.when(odd[1], block(level, high - 1))))
+
+    holding = ranges.withColumn("b", F.explode(F.flatten(F.transform(steps, tiles))))
+    starting = ranges.withColumn("b", F.explode(F.transform(steps, lambda k: block(k, F.floor(F.col("start") / F.pow(F.lit(2.0), k))))))
+    left = holding.select(*place, "b.level", "b.cell", F.col("course_code").alias("c1"), F.col("start").alias("s1"))
+    right = starting.select(*place, "b.level", "b.cell", F.col("course_code").alias("c2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    # an empty slot that stands at the start of a range doesn't overlap it
+    met = left.join(right, [*place, "level", "cell"]).where("c1 <> c2 AND s1 < e2")
+    return met.select("set_id", F.least("c1", "c2").alias("left_code"), F.greatest("c1", "c2").alias("right_code")).distinct()
 
 
 def timetable_conflicts(timetable: DataFrame, in_progress: DataFrame) -> DataFrame:

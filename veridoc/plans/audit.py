@@ -572,7 +572,7 @@ def plan_time_warnings(t: Tables) -> DataFrame:
 SELECT DISTINCT l.user_id AS set_id, l.code AS left_code, r.code AS right_code FROM s l JOIN s r ON l.user_id = r.user_id AND l.d = r.d AND l.code < r.code AND l.a <= r.b AND r.a <= l.b""",
 )
 def schedule_overlap_period(t: Tables) -> DataFrame:
-    return au.schedule_conflicts(au.schedule_slots(slot_records(t, "period")), bucket=8)
+    return au.schedule_conflicts(au.schedule_slots(slot_records(t, "period")))
 
 
 @query(

@@ -12,6 +12,7 @@ from veridoc.operators import matching as mt
 from veridoc.operators.grounding import REFUSAL_TEXT
 from veridoc.operators import fusion
 from veridoc.operators.indexstate import snapshot_diff, table_snapshot
+from veridoc.plans import grounding as gp
 from veridoc.plans import retrieval as rt
 from veridoc.plans.registry import query
 from veridoc.session import Tables
@@ -269,17 +270,47 @@ def nearest_miss(t: Tables) -> DataFrame:
     return ev.nearest_miss(expected_locators(t), cited_locators(t))
 
 
+# a document is a page of its source file; ``st`` names the list that an item stands in
+PAGE_SQL = f"""{rt.FINAL_SQL},
+ep AS (SELECT item_id AS case_id, doc_id AS no, coalesce(source, 'none') AS es FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ls AS (SELECT 'fused' AS st, query_id AS case_id, fused_rank AS rank, id FROM fr WHERE fused_rank <= 20 UNION ALL SELECT 'final', query_id, final_rank, id FROM final),
+pg AS (SELECT st, case_id, rank, id, coalesce(source, 'none') AS s FROM ls LEFT JOIN documents ON doc_id = id),
+pr AS (SELECT sts.st, ep.case_id, ep.no, pg.rank, CASE WHEN pg.rank IS NOT NULL THEN
+ list_filter([CASE WHEN pg.s <> es THEN 'source' END, CASE WHEN pg.id <> ep.no THEN 'page_number' END], lambda x: x IS NOT NULL) END AS failed
+ FROM ep CROSS JOIN (VALUES ('fused'), ('final')) sts(st) LEFT JOIN pg ON pg.case_id = ep.case_id AND pg.st = sts.st)"""
+
+
+def page_locator(source: str, page: str) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.coalesce(source, F.lit("none")).alias("path"), F.col(page).alias("page_number"), none.cast("string").alias("sheet_name"),
+        none.cast("string").alias("section_title"), none.cast("int").alias("row_start"), none.cast("int").alias("row_end"),
+    ).alias("locator")
+
+
+def gold_pages(t: Tables) -> DataFrame:
+    """Every document that holds the whole benchmark text, as an expected page of its source."""
+    docs = t.wide("documents").select(F.col("doc_id").alias("id"), "text")
+    needles = t.benchmark.select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    held = mt.containing(docs, needles).join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
+    return held.select(F.col("needle_id").alias("case_id"), F.col("id").alias("expected_no"), page_locator("source", "id"))
+
+
 @query(
     "staged_misses", "E27",
-    f"""WITH {LOC_SQL}, a AS (SELECT case_id, no AS expected_no, min(rank) FILTER (len(failed) = 0) AS fused_best_rank, {_MISS} AS fused_failed_fields FROM pr GROUP BY ALL),
-b AS (SELECT case_id, no AS expected_no, min(rank) FILTER (len(failed) = 0) AS final_best_rank, {_MISS} AS final_failed_fields FROM
-  (SELECT case_id, no, CASE WHEN rank % 2 = 1 THEN rank END AS rank, CASE WHEN rank % 2 = 1 THEN failed END AS failed FROM pr) GROUP BY ALL)
-SELECT case_id, expected_no, fused_best_rank IS NOT NULL AS fused_recalled, fused_best_rank, fused_failed_fields, final_best_rank IS NOT NULL AS final_recalled, final_best_rank, final_failed_fields
-FROM a JOIN b USING (case_id, expected_no)""",
+    f"""WITH {PAGE_SQL}, m AS (SELECT st, case_id, no, min(rank) FILTER (len(failed) = 0) AS best_rank, {_MISS} AS failed_fields FROM pr GROUP BY ALL)
+SELECT a.case_id, a.no AS expected_no, a.best_rank IS NOT NULL AS fused_recalled, a.best_rank::INT AS fused_best_rank, a.failed_fields AS fused_failed_fields,
+ b.best_rank IS NOT NULL AS final_recalled, b.best_rank::INT AS final_best_rank, b.failed_fields AS final_failed_fields
+FROM m a JOIN m b ON a.case_id = b.case_id AND a.no = b.no AND a.st = 'fused' AND b.st = 'final'""",
 )
 def staged_misses(t: Tables) -> DataFrame:
-    cited = cited_locators(t)
-    return ev.staged_misses(expected_locators(t), {"fused": cited, "final": cited.where("rank % 2 = 1")})
+    """Where documents that hold the question's text are lost: in the fused candidates, or by the rerank."""
+    src = t.documents.select(F.col("doc_id").alias("id"), "source")
+
+    def listed(ranked: DataFrame, rank: str) -> DataFrame:
+        return ranked.join(src, "id", "left").select(F.col("query_id").alias("case_id"), F.col(rank).alias("rank"), page_locator("source", "id"))
+
+    return ev.staged_misses(gold_pages(t), {"fused": listed(rt.fused(t, fusion.RERANK_INPUT), "fused_rank"), "final": listed(rt.reranked(t), "final_rank")})
 
 
 @query(
@@ -327,15 +358,19 @@ def composition_duplicates(t: Tables) -> DataFrame:
 
 @query(
     "source_coverage", "E25",
-    f"""WITH {LOC_SQL}, x AS (SELECT DISTINCT case_id, es || '.pdf' AS name FROM e), r AS (SELECT case_id, s || '.pdf' AS name, min(rank) AS best_rank FROM c GROUP BY ALL),
-ci AS (SELECT case_id, s || '.pdf' AS name, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS positions FROM c WHERE rank % 2 = 1 GROUP BY ALL)
+    f"""WITH {LOC_SQL}, {gp.CITED_SQL}, {gp.EVIDENCE_SQL}, x AS (SELECT DISTINCT case_id, es || '.pdf' AS name FROM e), r AS (SELECT case_id, s || '.pdf' AS name, min(rank) AS best_rank FROM c GROUP BY ALL),
+ci AS (SELECT case_id, s || '.pdf' AS name, string_agg(citation_index::VARCHAR, ',' ORDER BY citation_index) AS positions FROM
+ (SELECT query_id AS case_id, citation_index, l_linestatus AS s FROM cited JOIN rk USING (query_id, evidence_no)) GROUP BY ALL)
 SELECT case_id, substr(sha256('source:' || name), 1, 12) AS source_digest, best_rank IS NOT NULL AS recalled, best_rank, positions IS NOT NULL AS cited, positions
 FROM x LEFT JOIN r USING (case_id, name) LEFT JOIN ci USING (case_id, name)""",
 )
 def source_coverage(t: Tables) -> DataFrame:
-    flat = cited_locators(t).select("case_id", "rank", F.col("locator.path").alias("path"))
+    """Expected sources against the retrieved lines of an order and against the citations of its answer."""
+    retrieved = cited_locators(t).select("case_id", "rank", F.col("locator.path").alias("path"))
     expected = expected_locators(t).select("case_id", F.col("locator.path").alias("path"))
-    return ev.source_coverage(expected, flat, flat.where("rank % 2 = 1"))
+    lines = gp.order_evidence(t).select(F.col("l_orderkey").alias("case_id"), F.col("no").alias("evidence_no"), F.concat("l_linestatus", F.lit(".pdf")).alias("path"))
+    cited = gp.citation_rows(t).withColumnRenamed("query_id", "case_id").join(lines, ["case_id", "evidence_no"])
+    return ev.source_coverage(expected, retrieved, cited.select("case_id", F.col("citation_index").alias("rank"), "path"))
 
 
 # --- verdicts and gates ------------------------------------------------------------------------

@@ -276,13 +276,20 @@ def citation_remap(t: Tables) -> DataFrame:
 def order_evidence(t: Tables) -> DataFrame:
     """Every line of an order as its evidence, numbered in order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return t.lineitem.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("no"))
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_linestatus", F.row_number().over(w).alias("no"))
+
+
+# citations of the valid answers: position in the answer and number of the evidence
+CITED_SQL = f"""{_COMP_SQL}, cited AS (SELECT query_id, unnest([1, 2]) AS citation_index, unnest([3, 1]) AS evidence_no FROM good WHERE kind <> 'refused')"""
+
+EVIDENCE_SQL = """rk AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS evidence_no,
+ l_partkey AS chunk_id, l_linestatus FROM lineitem)"""
 
 
 @query(
     "citation_rows", "G14",
-    f"""WITH {_COMP_SQL}, rk AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS no, l_partkey AS chunk_id FROM lineitem)
-SELECT query_id, c.i::INT AS citation_index, c.no::INT AS evidence_no, chunk_id FROM (SELECT query_id, unnest([1, 2]) AS i, unnest([3, 1]) AS no FROM good WHERE kind <> 'refused') c JOIN rk USING (query_id, no)""",
+    f"""WITH {CITED_SQL}, {EVIDENCE_SQL}
+SELECT query_id, citation_index::INT AS citation_index, evidence_no::INT AS evidence_no, chunk_id FROM cited JOIN rk USING (query_id, evidence_no)""",
 )
 def citation_rows(t: Tables) -> DataFrame:
     ok = gr.audit_completions(completions(t)).where("problem IS NULL")
