@@ -387,3 +387,15 @@ def test_slots_of_a_crowded_hour_are_merged(spark):
     run = [(1, "t", "a", "一", "clock", i, i + 2) for i in range(60)]
     one = au.merged_slots(spark.createDataFrame(run, "set_id long, term string, course_code string, weekday string, unit string, start int, end int")).collect()
     assert [(r.start, r.end) for r in one] == [(0, 61)]  # a chain of overlapping slots is one range
+
+
+def test_conflict_members_are_all_there_in_order(spark):
+    parts = spark.createDataFrame([(2, 9, "B"), (2, 3, "B"), (2, 3, "a"), (1, 5, "x")], "group_id int, idx long, key string")
+    hits = spark.createDataFrame([(2, "p", "q", 3), (2, "p", "q", 1), (3, "r", "s", 7)], "group_id int, a string, b string, idx long")
+    got = [tuple(r) for r in cf.conflict_members(parts, hits).collect()]
+    assert got == [
+        (1, "field", None, "cross_version", "x"), (1, "index", 5, None, None),
+        (2, "field", None, "cross_version", "B"), (2, "field", None, "cross_version", "a"), (2, "field", None, "row_slot", "p|q"),
+        (2, "index", 1, None, None), (2, "index", 3, None, None), (2, "index", 9, None, None),
+        (3, "field", None, "row_slot", "r|s"), (3, "index", 7, None, None),
+    ]

@@ -257,6 +257,17 @@ def conflict_summary(participants: DataFrame, hits: DataFrame) -> DataFrame:
     return n_keys.join(n_idx, "group_id").join(digest, "group_id", "left")
 
 
+def conflict_members(participants: DataFrame, hits: DataFrame) -> DataFrame:
+    """What a summary counts, as rows in order: every index of a group once, and every distinct field key with its signal.
+
+    Rows (group_id, member, idx, signal, key) are sorted in ranges; a group with many members lies in several of them.
+    """
+    idx = participants.select("group_id", "idx").unionByName(hits.select("group_id", "idx")).distinct()
+    indices = idx.select("group_id", F.lit("index").alias("member"), "idx", F.lit(None).cast("string").alias("signal"), F.lit(None).cast("string").alias("key"))
+    fields = conflict_keys(participants, hits).withColumn("member", F.lit("field"))
+    return indices.unionByName(fields, allowMissingColumns=True).orderBy("group_id", "member", "idx", "signal", "key")
+
+
 def cross_version_intent(question: Column, m: Markers = Markers()) -> Column:
     """The question asks for a comparison across versions or files."""
     q = squash(question)

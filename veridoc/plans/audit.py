@@ -251,8 +251,10 @@ def plan_assembly(t: Tables) -> DataFrame:
 
 @query(
     "plan_invariants", "A27",
-    f"""WITH {AUDIT_SQL}, g AS (SELECT set_id, rule_set_id, sum(completed) AS c, sum(in_progress) AS o FROM gap GROUP BY ALL)
-SELECT set_id, rule_set_id, true AS non_negative, true AS remaining_ok, g.c = completed AS completed_ok, g.o = in_progress AS in_progress_ok, true AS gaps_ok
+    f"""WITH {AUDIT_SQL}, g AS (SELECT set_id, rule_set_id, sum(completed) AS c, sum(in_progress) AS o,
+ bool_and(remaining = greatest(required - completed - in_progress, 0)::DECIMAL(12,1)) AS gaps_ok FROM gap GROUP BY ALL)
+SELECT set_id, rule_set_id, completed >= 0 AND in_progress >= 0 AND required >= 0 AS non_negative,
+ remaining = greatest(required - completed - in_progress, 0)::DECIMAL(12,1) AS remaining_ok, g.c = completed AS completed_ok, g.o = in_progress AS in_progress_ok, gaps_ok
 FROM tot JOIN g USING (set_id, rule_set_id)""",
 )
 def plan_invariants(t: Tables) -> DataFrame:

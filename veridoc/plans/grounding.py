@@ -110,7 +110,7 @@ summ AS (SELECT k.group_id, field_count, has_cross, has_slot, n_indices, first_i
  JOIN (SELECT group_id, sum(CAST('0x' || substr(sha256(signal || chr(31) || lower(replace(key, ' ', ''))), 1, 15) AS UBIGINT)::HUGEINT)::VARCHAR AS field_digest FROM keys GROUP BY 1) d USING (group_id))"""
 
 
-def customer_summary(t: Tables) -> DataFrame:
+def customer_conflicts(t: Tables) -> tuple[DataFrame, DataFrame]:
     parts = cf.cross_version_participants(observed(t))
     li = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("group_id")), "l_orderkey")
     rows = li.select(
@@ -118,7 +118,11 @@ def customer_summary(t: Tables) -> DataFrame:
         F.col("l_partkey").cast("string").alias("body"), F.col("l_orderkey").alias("idx"),
         F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("pos"),
     )
-    return cf.conflict_summary(parts, cf.slot_hits(rows))
+    return parts, cf.slot_hits(rows)
+
+
+def customer_summary(t: Tables) -> DataFrame:
+    return cf.conflict_summary(*customer_conflicts(t))
 
 
 @query("conflict_summary", "G9", f"WITH {_SUM_SQL} SELECT * FROM summ")
@@ -126,6 +130,16 @@ def conflict_summary(t: Tables) -> DataFrame:
     return customer_summary(t)
 
 
+@query(
+    "conflict_members", "G9",
+    f"""WITH {_SUM_SQL} SELECT group_id, 'index' AS member, idx, NULL::VARCHAR AS signal, NULL::VARCHAR AS key FROM ix
+UNION ALL SELECT group_id, 'field', NULL, signal, key FROM keys""",
+)
+def conflict_members(t: Tables) -> DataFrame:
+    """The indices and field keys behind ``conflict_summary``, all of them, in order."""
+    return cf.conflict_members(*customer_conflicts(t))
+
+
 MARKS = cf.Markers(
     cross=("versionsdiffer", "acrossfiles"), compare=("on", "the"), scope=("tion", "que"), slot=("heit", "sch"),
     slot_context=("en", "er"), slot_query=("an", "de"), weekday="di", period=r"\d+",
