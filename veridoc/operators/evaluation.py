@@ -6,12 +6,16 @@ lists below stay that small; everything per case or over all cases is a plain ag
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
 from veridoc.functions.digest import sha256, short_digest
 from veridoc.operators.grounding import REFUSAL_TEXT
+from veridoc.session import checkpoint_root
 
 # --- fixed values -----------------------------------------------------------
 STAGES = ("dense", "keyword", "fused", "final")
@@ -115,11 +119,72 @@ def evaluate(expected: DataFrame, ranks: DataFrame, k: int = TOP_K, candidate_k:
 
 # --- aggregates and gates (E6, E9, E10) -------------------------------------------------
 
-def percentiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
-    """Exact interpolating percentiles; equal values are counted first, so the state is the
-    number of distinct values and not of rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(*[F.percentile(value, p, F.col("_n")).alias(name) for name, p in points.items()])
+BINS = 1024
+
+
+def percentiles(df: DataFrame, value: str, points: dict[str, float], bins: int = BINS) -> DataFrame:
+    """Exact interpolating percentiles of any number of distinct values; null where there are none.
+
+    The ranks wanted are enclosed by passes of counts: each pass cuts the intervals that still hold several values into
+    ``bins`` equal parts, counted with their least and greatest value, and goes on in the parts with a wanted rank. A pass
+    keeps ``bins`` counters per interval, however many values there are, and separates an interval's ends, so that it comes to
+    an end. The column is stored once, so that passes don't repeat what made it. NaN counts as the greatest value.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/percentiles-{uuid.uuid4().hex}"
+    df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").write.parquet(path)
+    values = spark.read.parquet(path)
+    v, infinite = F.col("v"), F.lit(float("inf"))
+    kind = F.when(v == -infinite, 0).when(F.isnan(v), 3).when(v == infinite, 2).otherwise(1)
+    found: dict[int, float] = {}
+    counts = {(0, r.kind): r for r in _counted(values, F.lit(0), kind)}
+    total = sum(r.n for r in counts.values())
+    position = {name: p * (total - 1) for name, p in points.items()} if total else {}
+    # rank -> (bin it lies in, its place there)
+    places = _place({r: (0, r) for p in position.values() for r in (math.floor(p), math.ceil(p))}, counts, found)
+    while places:
+        spans = sorted({(lo, hi) for lo, hi, _ in places.values()})
+        part = group = F.lit(None).cast("int")
+        for i, (lo, hi) in enumerate(spans):
+            inside = v.between(lo, hi)
+            # halves, where the width itself is beyond the doubles
+            scale = 1.0 if math.isfinite(hi - lo) else 0.5
+            at = (v * scale - lo * scale) / (hi * scale - lo * scale) * bins
+            part = F.when(inside, F.least(F.floor(at).cast("int"), F.lit(bins - 1))).otherwise(part)
+            group = F.when(inside, i).otherwise(group)
+        counts = {(r.span, r.kind): r for r in _counted(values.where(group.isNotNull()), group, part)}
+        places = _place({rank: (spans.index((lo, hi)), at) for rank, (lo, hi, at) in places.items()}, counts, found)
+
+    def value_at(p: float) -> float:
+        low, high = math.floor(p), math.ceil(p)
+        a, b = found[low], found[high]
+        return a if low == high or a == b else (high - p) * a + (p - low) * b
+
+    row = tuple(value_at(position[name]) if total else None for name in points)
+    return spark.createDataFrame([row], ", ".join(f"`{name}` double" for name in points))
+
+
+def _counted(values: DataFrame, span: Column, kind: Column) -> list:
+    """Counts with least and greatest value per (span, kind): a bounded number of rows."""
+    return values.groupBy(span.alias("span"), kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    ).collect()
+
+
+def _place(wanted: dict[int, tuple[int, int]], counts: dict, found: dict[int, float]) -> dict[int, tuple[float, float, int]]:
+    """The interval of every wanted rank and its place there; ranks in an interval of one value are found."""
+    out = {}
+    for rank, (span, at) in wanted.items():
+        for key in sorted(k for k in counts if k[0] == span):
+            r = counts[key]
+            if at < r.n:
+                if r.lo == r.hi or math.isnan(r.lo):
+                    found[rank] = r.lo
+                else:
+                    out[rank] = (r.lo, r.hi, at)
+                break
+            at -= r.n
+    return out
 
 
 def aggregate(cases: DataFrame, latency: str = "elapsed_ms") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.digest import sha256, stable_digest
+from veridoc.operators import digesttree as dt
 
 # --- fixed values -----------------------------------------------------------
 STAGES = (
@@ -176,6 +177,37 @@ def set_facts(chunks: DataFrame, vectors: DataFrame, keyword: DataFrame) -> Data
     )
 
 
+def set_facts_by_digest(chunks: DataFrame, vectors: DataFrame, keyword: DataFrame) -> DataFrame:
+    """``set_facts`` without meeting the ids of documents whose three sets agree.
+
+    One combinable digest per document and set decides that; ids of other documents go through ``set_facts``.
+    Ids are unique within each set of a document.
+    """
+    def tag(df: DataFrame, side: str) -> DataFrame:
+        current = F.col("current") if "current" in df.columns else F.lit(True)
+        return df.select("doc_id", "chunk_id", current.alias("current"), F.lit(side).alias("side"))
+
+    rows = tag(chunks, "c").unionByName(tag(vectors, "v")).unionByName(tag(keyword, "k"))
+    h = dt.row_hash(["chunk_id"], F.lit(True), "")
+    per_side = rows.groupBy("doc_id", "side").agg(*dt.digest(h), F.min("current").alias("current"))
+    def of(side: str, value: Column) -> Column:
+        return F.max(F.when(F.col("side") == side, value))
+
+    packed = F.struct("n", "x", "lo", "hi")
+    sides = per_side.groupBy("doc_id").agg(
+        *[of(s, packed).alias(s) for s in "cvk"], *[of(s, F.col("current")).alias(f"{s}_current") for s in "vk"]
+    )
+    agree = sides.where(F.col("c").isNotNull() & F.col("c").eqNullSafe(F.col("v")) & F.col("c").eqNullSafe(F.col("k")))
+    n, yes = F.col("c.n"), F.lit(True)
+    whole = agree.select(
+        "doc_id", n.alias("n_chunks"), n.alias("n_vectors"), n.alias("n_keyword"), yes.alias("vector_set_ok"), yes.alias("keyword_set_ok"),
+        F.coalesce("v_current", yes).alias("vectors_current"), F.coalesce("k_current", yes).alias("keyword_current"),
+    )
+    known = agree.select("doc_id")
+    rest = set_facts(*[df.join(known, "doc_id", "left_anti") for df in (chunks, vectors, keyword)])
+    return whole.unionByName(rest)
+
+
 def verified_stage(state: DataFrame, facts: DataFrame) -> DataFrame:
     """Stage confirmed by what is really stored.
 
@@ -211,16 +243,22 @@ def verified_stage(state: DataFrame, facts: DataFrame) -> DataFrame:
 # --- reconciliation (I4-I6) ---------------------------------------------------
 
 def keyword_actions(expected: DataFrame, recorded: DataFrame, fingerprint: Column) -> DataFrame:
-    """Action per (doc_id, chunk_id): keep, refresh (delete and insert), insert or delete."""
-    e = expected.select("doc_id", "chunk_id", F.lit(True).alias("wanted"))
-    r = recorded.select("doc_id", "chunk_id", (F.col("fingerprint") == fingerprint).alias("good"))
-    return e.join(r, ["doc_id", "chunk_id"], "full_outer").select(
-        "doc_id", "chunk_id",
+    """Action per (doc_id, chunk_id): keep, refresh (delete and insert), insert or delete.
+
+    Digests are compared first; only rows of leaves with a difference are joined, all others are kept as they are.
+    """
+    key = ["doc_id", "chunk_id"]
+    wanted = expected.select(*key)
+    stored = recorded.select(*key, F.coalesce(F.col("fingerprint") == fingerprint, F.lit(False)).alias("good"))
+    same, e, r = dt.compare(wanted, stored, key, F.lit(True), F.col("good"))
+    apart = e.withColumn("wanted", F.lit(True)).join(r, key, "full_outer").select(
+        *key,
         F.when(F.col("wanted").isNull(), "delete")
         .when(F.col("good").isNull(), "insert")
         .when(F.col("good"), "keep")
         .otherwise("refresh").alias("action"),
     )
+    return same.select(*key, F.lit("keep").alias("action")).unionByName(apart)
 
 
 def action_counts(actions: DataFrame, by: list[str]) -> DataFrame:
@@ -233,15 +271,20 @@ def action_counts(actions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pending_vectors(expected: DataFrame, stored: DataFrame, current: Column) -> DataFrame:
-    """Action per chunk: reuse a current vector, embed a missing or outdated one, drop the rest."""
-    s = stored.select("chunk_id", current.alias("is_current"))
-    e = expected.select("chunk_id", F.lit(True).alias("wanted"))
-    return e.join(s, "chunk_id", "full_outer").select(
-        "chunk_id",
+    """Action per chunk: reuse a current vector, embed a missing or outdated one, drop the rest.
+
+    As in ``keyword_actions``, only rows of leaves with a difference are joined.
+    """
+    key = ["chunk_id"]
+    held = stored.select(*key, current.alias("is_current"))
+    same, e, s = dt.compare(expected.select(*key), held, key, F.lit(True), F.coalesce("is_current", F.lit(False)))
+    apart = e.withColumn("wanted", F.lit(True)).join(s, key, "full_outer").select(
+        *key,
         F.when(F.col("wanted").isNull(), "drop")
         .when(F.col("is_current"), "reuse")
         .otherwise("embed").alias("action"),
     )
+    return same.select(*key, F.lit("reuse").alias("action")).unionByName(apart)
 
 
 def three_way(facts: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.functions.digest import sha256, stable_digest
@@ -331,7 +331,7 @@ def vector_pending(t: Tables) -> DataFrame:
  AND CASE WHEN length(doc_id) < 7 THEN n_chunks ELSE n_vectors END = n_chunks AND n_keyword = n_chunks AS agree FROM facts""",
 )
 def three_way(t: Tables) -> DataFrame:
-    return ix.three_way(ix.set_facts(*id_sets(t)), recorded_state(t).drop("n_chunks"))
+    return ix.three_way(ix.set_facts_by_digest(*id_sets(t)), recorded_state(t).drop("n_chunks"))
 
 
 # --- activation -------------------------------------------------------------------
@@ -526,18 +526,16 @@ def manifest_entries(t: Tables) -> DataFrame:
     return io.first_reasons(io.entry_reasons(listed, disk))
 
 
-@query(
-    "case_lines", "S6,E1",
-    """WITH c AS (SELECT o_orderkey AS line_no, o_orderpriority AS category, o_orderstatus AS st, month(o_orderdate) AS m, o_orderkey % 8 AS k,
+_CASES_SQL = """WITH c AS (SELECT o_orderkey AS line_no, o_orderpriority AS category, o_orderstatus AS st, month(o_orderdate) AS m, o_orderkey % 8 AS k,
    'case' || CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey ELSE o_orderkey + 100000000 END AS id FROM orders),
 p AS (SELECT line_no, CASE WHEN st = 'P' AND m = 1 THEN NULL ELSE id END AS id, CASE WHEN st = 'P' AND m = 1 THEN 'not_json' WHEN st = 'O' AND m = 2 THEN 'bad_question'
   WHEN st = 'F' AND m = 4 THEN 'bad_expected_source_paths'
   WHEN st = 'O' AND m = 5 AND k < 4 THEN 'bad_required_evidence_groups' WHEN st = 'O' AND m = 6 THEN 'bad_supporting_answer_facts' WHEN st = 'O' AND m = 7 THEN 'bad_supporting_locators'
-  WHEN st = 'F' AND m = 3 THEN 'bad_should_refuse' WHEN st = 'O' AND m = 8 THEN 'bad_conflict_expected' END AS problem FROM c)
-SELECT line_no, id, CASE WHEN problem IS NULL AND line_no <> min(line_no) FILTER (problem IS NULL) OVER (PARTITION BY id) THEN 'duplicate_id' ELSE problem END AS problem FROM p""",
-)
-def case_lines(t: Tables) -> DataFrame:
-    o = t.orders
+  WHEN st = 'F' AND m = 3 THEN 'bad_should_refuse' WHEN st = 'O' AND m = 8 THEN 'bad_conflict_expected' END AS problem FROM c)"""
+
+
+def case_line() -> Column:
+    """A case in JSON from a row of ``orders``; some are broken."""
     st, m = F.col("o_orderstatus"), F.month("o_orderdate")
     case_id = F.concat(
         F.lit("case"),
@@ -552,17 +550,105 @@ def case_lines(t: Tables) -> DataFrame:
     facts = F.when(late & (m == 6), F.lit('["fact"," "]')).otherwise(F.lit('["fact"]'))
     locators = F.when(late & (m == 7), F.lit('[{"path":"a"},"b"]')).otherwise(F.lit("[]"))
     conflict = F.when(late & (m == 8), F.lit('"no"')).otherwise(F.lit("true"))
-    line = F.concat(
+    return F.concat(
         F.lit('{"id":"'), case_id, F.lit('","category":"'), F.col("o_orderpriority"), F.lit('","question":"'), question,
         F.lit('","expected_source_paths":'), paths, F.lit(',"required_evidence_groups":'), groups, F.lit(',"supporting_answer_facts":'), facts,
         F.lit(',"supporting_source_paths":[],"supporting_locators":'), locators, F.lit(',"conflict_expected":'), conflict, F.lit(',"should_refuse":'), refuse,
         F.when((st == "P") & (m == 1), F.lit("")).otherwise(F.lit("}")),
     )
-    lines = o.select(F.col("o_orderkey").alias("line_no"), line.alias("value"))
-    parsed = io.parse_cases(lines)
+
+
+@query(
+    "case_lines", "S6,E1",
+    f"""{_CASES_SQL}
+SELECT line_no, id, CASE WHEN problem IS NULL AND line_no <> min(line_no) FILTER (problem IS NULL) OVER (PARTITION BY id) THEN 'duplicate_id' ELSE problem END AS problem FROM p""",
+)
+def case_lines(t: Tables) -> DataFrame:
+    parsed = io.parse_cases(t.orders.select(F.col("o_orderkey").alias("line_no"), case_line().alias("value")))
     return parsed.select("line_no", F.when(F.col("problem") == "not_json", None).otherwise(F.col("id")).alias("id"), "problem")
 
 
+ORDERS_PER_FILE = 5000
+
+
+@query(
+    "case_files", "S6",
+    f"""{_CASES_SQL}, f AS (SELECT *, line_no // {ORDERS_PER_FILE} AS part, row_number() OVER (PARTITION BY line_no // {ORDERS_PER_FILE} ORDER BY line_no) AS nr FROM p),
+o AS (SELECT *, part || '/' || lpad(nr::VARCHAR, 12, '0') AS place FROM f)
+SELECT part, nr AS line_no, id, CASE WHEN problem IS NULL AND place <> min(place) FILTER (problem IS NULL) OVER (PARTITION BY id) THEN 'duplicate_id' ELSE problem END AS problem FROM o""",
+)
+def case_files(t: Tables) -> DataFrame:
+    """Cases written to files and read back: problems are reported by the line of the file."""
+    folder = fresh_folder(t, "cases")
+    part = F.floor(F.col("o_orderkey") / ORDERS_PER_FILE)
+    t.orders.select(part.alias("part"), "o_orderkey", case_line().alias("value")).repartition("part").sortWithinPartitions("part", "o_orderkey") \
+        .drop("o_orderkey").write.partitionBy("part").text(folder)
+    parsed = io.read_cases(t.spark, f"{folder}/*")
+    return parsed.select(
+        F.regexp_extract("file", r"part=(\d+)/", 1).cast("bigint").alias("part"), "line_no",
+        F.when(F.col("problem") == "not_json", None).otherwise(F.col("id")).alias("id"), "problem",
+    )
+
+
+DOCUMENTS_PER_FILE = 100
+
+
+def document_files(t: Tables) -> DataFrame:
+    """Files of document digests, written and scanned: (part, file_name, path, size, sha256, file_type)."""
+    folder = fresh_folder(t, "corpus")
+    part = F.floor(F.col("doc_id") / DOCUMENTS_PER_FILE)
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
+    t.documents.select(part.alias("part"), "doc_id", line.alias("line")).repartition("part").sortWithinPartitions("part", "doc_id") \
+        .drop("doc_id").write.partitionBy("part").option("extension", "pdf").csv(folder)
+    return io.scan_corpus(t.spark, folder).withColumn("part", F.regexp_extract("path", r"part=(\d+)/", 1).cast("bigint"))
+
+
+@query(
+    "corpus_scan", "S1",
+    f"""SELECT doc_id // {DOCUMENTS_PER_FILE} AS part, 'pdf' AS file_type, sum(length(doc_id || ':') + 33)::BIGINT AS size,
+sha256(string_agg(doc_id || ':' || md5(coalesce(text, '')) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY ALL""",
+)
+def corpus_scan(t: Tables) -> DataFrame:
+    return document_files(t).select("part", "file_type", "size", "sha256")
+
+
+VERSIONS = 6
+
+
+@query(
+    "manifest_check", "S1,S2",
+    f"""WITH f AS (SELECT DISTINCT doc_id // {DOCUMENTS_PER_FILE} AS part FROM documents), v AS (SELECT part % {VERSIONS} AS v, count(*) AS n FROM f GROUP BY ALL)
+SELECT 'v' || v AS dataset_version, CASE v WHEN 1 THEN 'checksum_mismatch' WHEN 2 THEN 'dataset_sha256_mismatch'
+ WHEN 3 THEN CASE WHEN n = 1 THEN 'documents_missing' ELSE 'corpus_file_set_mismatch' END WHEN 4 THEN 'manifest_file_missing' WHEN 5 THEN 'dataset_version_mismatch' END AS reason FROM v""",
+)
+def manifest_check(t: Tables) -> DataFrame:
+    """Six dataset versions over scanned files: one is right, the others are each wrong in one way."""
+    v = F.col("part") % VERSIONS
+    files = document_files(t).select(
+        "part", v.alias("v"), F.concat(F.lit("v"), v.cast("string")).alias("dataset_version"),
+        F.concat(F.lit("corpus/"), F.lpad(F.col("part").cast("string"), 12, "0"), F.lit(".pdf")).alias("path"), "sha256", "file_type",
+    )
+    last = files.groupBy("v").agg(F.max("part").alias("last"))
+    edge = F.col("part") == F.col("last")
+    listed = files.join(last, "v").where(~((F.col("v") == 3) & edge)).withColumn(
+        "sha256", F.when((F.col("v") == 1) & edge, F.reverse("sha256")).otherwise(F.col("sha256"))
+    )
+    extra = listed.where((F.col("v") == 4) & edge).withColumn("path", F.concat(F.lit("corpus/x"), "path"))
+    null = F.lit(None).cast("string")
+    entry = F.struct(
+        "path", "sha256", "file_type", null.alias("doc_category"), null.alias("title"), null.alias("version"), null.alias("effective_from")
+    )
+    # one manifest row holds the files of one dataset version
+    gathered = listed.unionByName(extra).groupBy("v", "dataset_version").agg(F.array_sort(F.collect_list(entry)).alias("documents"))
+    versions = files.select("v", "dataset_version").distinct()
+    manifest = versions.join(gathered.drop("v"), "dataset_version", "left").select(
+        "dataset_version", F.lit(True).alias("fictional"), "documents",
+        F.when(F.col("v") == 2, "0").otherwise(io.dataset_digest(F.col("documents"))).alias("dataset_sha256"),
+        F.when(F.col("v") == 5, "v0").otherwise(F.col("dataset_version")).alias("wanted"),
+    )
+    return io.validate_manifest(manifest, files.select("dataset_version", "path", "sha256"), F.col("wanted"))
+
+
 @query(
     "report_rows", "S7",
     """SELECT '{"case_id":' || item_id || ',"n_chars":' || length(text) || ',"note":null,"question_sha":"' || sha256(text) || '"}' AS value FROM benchmark""",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import jsonx as jx
 from veridoc.functions import text as tx
 from veridoc.functions.digest import sha256
+from veridoc.session import checkpoint_root
 
 # --- fixed values -----------------------------------------------------------
 FILE_TYPES = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx"}
@@ -57,8 +60,8 @@ def dataset_digest(documents: Column) -> Column:
     return sha256(F.array_join(lines, ""))
 
 
-def manifest_head_reason(expected_version: str) -> Column:
-    """First reason that the manifest row itself is invalid."""
+def manifest_head_reason(expected_version: str | Column) -> Column:
+    """First reason that the manifest row itself is invalid; the version is a value, or a column of the manifest."""
     docs = F.col("documents")
     paths = F.transform(docs, lambda d: d["path"])
     return (
@@ -107,7 +110,7 @@ def first_reasons(reasons: DataFrame) -> DataFrame:
     )
 
 
-def validate_manifest(manifest: DataFrame, files: DataFrame, expected_version: str) -> DataFrame:
+def validate_manifest(manifest: DataFrame, files: DataFrame, expected_version: str | Column) -> DataFrame:
     """Head checks first, then entries against the scanned files."""
     head = manifest.select("dataset_version", manifest_head_reason(expected_version).alias("head_reason"))
     entries = manifest.select("dataset_version", F.explode_outer("documents").alias("d")).where("d IS NOT NULL").select(
@@ -137,10 +140,10 @@ def _groups(v: Column) -> Column:
     return _every(v, lambda g: _objects(g) & (F.size(jx.elements(g)) > 0))
 
 
-def parse_cases(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_cases(lines: DataFrame, value: str = "value", order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """One JSON object per line -> fields plus the first validation problem.
 
-    ``lines`` needs a ``line_no``. The types are checked on the raw JSON: a text in place
+    The columns of ``order`` tell lines apart and say which of two cases with one id comes first. The types are checked on the raw JSON: a text in place
     of a boolean or list is a problem, not a null.
     """
     schema = CASE_SCHEMA + ", _corrupt string"
@@ -184,22 +187,40 @@ def parse_cases(lines: DataFrame, value: str = "value") -> DataFrame:
         .when(F.col("_s.refuse") != "BOOLEAN", "bad_should_refuse")
         .when(F.col("_s.has_conflict") & (F.col("_s.conflict") != "BOOLEAN"), "bad_conflict_expected")
     )
-    checked = parsed.select("line_no", "c.*", problem.alias("problem")).drop("_corrupt")
-    copies = checked.where("problem IS NULL").groupBy(F.trim("id").alias("_id")).agg(F.min("line_no").alias("_first"))
+    checked = parsed.select(*order, "c.*", problem.alias("problem")).drop("_corrupt")
+    copies = checked.where("problem IS NULL").groupBy(F.trim("id").alias("_id")).agg(F.min(F.struct(*order)).alias("_first"))
     return (
         checked.join(copies, F.trim(checked["id"]) == copies["_id"], "left")
         .withColumn(
             "problem",
-            F.when(F.col("problem").isNull() & (F.col("line_no") != F.col("_first")), "duplicate_id").otherwise(F.col("problem")),
+            F.when(F.col("problem").isNull() & (F.struct(*order) != F.col("_first")), "duplicate_id").otherwise(F.col("problem")),
         )
         .drop("_id", "_first")
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): every line with its number in its own file, from 1, however files are split.
+
+    A file's splits are read by different tasks. Lines are counted per split, the counts of the splits before are
+    summed within each file (a window over splits, not lines), and a line adds its place in its split. The lines are stored
+    once in the shared folder, so that both passes see the same splits even if executors come or go in between.
+    """
+    stored = f"{checkpoint_root(spark)}/lines-{uuid.uuid4().hex}"
+    spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"), "value",
+    ).write.parquet(stored)
+    lines = spark.read.parquet(stored)
+    splits = lines.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "_start", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    return lines.join(offsets, ["file", "_start"]).select("file", (F.col("_at") + F.col("_offset")).alias("line_no"), "value")
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Case file as rows; ``line_no`` follows the physical order inside each file."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return parse_cases(lines)
+    """Case files as rows; of two cases with one id, the first by file and line counts."""
+    return parse_cases(numbered_lines(spark, path), order=("file", "line_no"))
 
 
 def empty_case_set(cases: DataFrame) -> DataFrame:
