@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import digest as dg
 from veridoc.functions import text as tx
-from veridoc.operators import fusion, keyword, vectors
+from veridoc.operators import bounded, fusion, keyword, vectors
 from veridoc.plans.registry import query
 from veridoc.session import Tables, checkpoint_root
 
@@ -178,6 +178,30 @@ def keyword_bm25_topk(t: Tables) -> DataFrame:
     return keyword_top(t).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+_BOUNDED: dict[str, str] = {}
+
+
+def bounded_index(t: Tables) -> bounded.BoundedIndex:
+    """The stored keyword index, stored once more by impact."""
+    stored_index(t)
+    path = _STORED[t.spark.sparkContext.applicationId, t.sf_dir]
+    if path not in _BOUNDED:
+        target = f"{checkpoint_root(t.spark)}/bounded-{uuid.uuid4().hex}"
+        bounded.save_bounds(keyword.load_index(t.spark, path), target)
+        _BOUNDED[path] = target
+    return bounded.load_bounds(t.spark, _BOUNDED[path])
+
+
+@query(
+    "keyword_bounded_topk", "R5,R7",
+    f"WITH {KEYWORD_SQL} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM kwtop",
+)
+def keyword_bounded_topk(t: Tables) -> DataFrame:
+    """The same ranks as ``keyword_bm25_topk``, by bounds of words and blocks."""
+    q = questions(t).select("query_id", F.explode(tx.index_tokens(F.col("text"))).alias("token"))
+    return bounded.bm25_top_k(bounded_index(t), q).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 _EDITED = """edited AS (
   SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN source || ' ' || text || ' ' || lang ELSE text END AS text, lang, source
   FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
