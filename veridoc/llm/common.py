@@ -33,6 +33,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns of these names (in either case) renamed, and their old names with the new ones."""
+    clashing = {n.lower() for n in names}
+    taken = clashing | {c.lower() for c in df.columns}
+    moved: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in clashing:
+            new = f"kept_{len(moved)}"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+            moved[c] = new
+    return df.withColumnsRenamed(moved), moved
+
+
+def put_back(df: DataFrame, moved: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed({new: old for old, new in moved.items()})
+
+
 def fold(id_column: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus

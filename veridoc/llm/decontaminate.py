@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import let
-from veridoc.llm.common import staged
+from veridoc.llm.common import put_back, set_aside, staged
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -174,8 +174,13 @@ def leaks(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that leak no item; a row is known by its id and its text."""
+    """The rows of ``docs`` that leak no item; a row is known by its id and its text.
+
+    Rows without text leak nothing and stay, repeated rows go or stay together, an empty table stays empty and columns of any
+    name are kept.
+    """
     found = leaks(docs, benchmark, threshold, RADIUS, id_column, text)
     gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_digest"))
-    return docs.join(gone, same, "left_anti")
+    rows, moved = set_aside(docs, ("_gone_id", "_gone_digest"))
+    same = F.col(moved.get(id_column, id_column)).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(moved.get(text, text)) == F.col("_gone_digest"))
+    return put_back(rows.join(gone, same, "left_anti"), moved)

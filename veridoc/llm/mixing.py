@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from veridoc.llm.common import staged
+from veridoc.llm.common import put_back, set_aside, staged
 
 Knots = Sequence[tuple[float, float]]
 
@@ -94,6 +94,10 @@ def due(share: Column, t: Column, w: Column, run: Column) -> Column:
     return F.least(t1, F.when(below > 0, t0 + 2.0 * due_here / below).otherwise(t0))
 
 
+ADDED = ("_size", "_size_all", "_target", "_taken", "_copies", "_position")
+WORKING = ("_key", "_digest", "_cell", "_source", "_offset", "_start", "_plan_source", "_demand", "_t", "_w", "_run")
+
+
 def mix(
     docs: DataFrame,
     schedule: Callable[[int, str | None], Knots] | None = None,
@@ -114,11 +118,14 @@ def mix(
     of them is due, null where nothing is taken.
 
     Null or empty texts have size 0 and take nothing. Repeated ids are ordered by size and text; equal
-    rows are interchangeable. An empty table stays empty. The recipe has one row per source and is the
+    rows are interchangeable. An empty table stays empty. Columns of ``docs`` with the name of an added column
+    are replaced, all others are kept, whatever their names. The recipe has one row per source and is the
     only thing on the driver. No source is gathered in one task: its stream is summed by cells of the
     order key, and only a cell is sorted.
     """
     schedule = schedule or (lambda place, _: CURRICULUM[place % len(CURRICULUM)])
+    docs, moved = set_aside(docs, WORKING + ADDED)
+    id_column, text, source = (moved.get(c, c) for c in (id_column, text, source))
     key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
     sized = docs.withColumns({
         "_size": word_count(F.col(text)), "_digest": F.xxhash64(text), "_key": key, "_source": F.col(source).cast("string"),
@@ -138,9 +145,11 @@ def mix(
     part = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_start")))
     taken = passes * F.col("_size") + part
     due_at = due(F.col("_start") / F.col("_demand"), F.col("_t"), F.col("_w"), F.col("_run"))
-    return placed.withColumns({"_taken": taken, "_copies": F.when(F.col("_size") > 0, passes).otherwise(0) + (part > 0).cast("long")}).withColumn(
+    mixed = placed.withColumns({"_taken": taken, "_copies": F.when(F.col("_size") > 0, passes).otherwise(0) + (part > 0).cast("long")}).withColumn(
         "_position", F.when(F.col("_taken") > 0, due_at)
-    ).drop("_key", "_digest", "_cell", "_source", "_offset", "_start", "_plan_source", "_demand", "_t", "_w", "_run")
+    )
+    replaced = {old: new for old, new in moved.items() if old.lower() in ADDED}
+    return put_back(mixed.drop(*WORKING, *replaced.values()), {old: new for old, new in moved.items() if old not in replaced})
 
 
 def in_training_order(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import bounded_batches, components, sorted_groups, staged, text_bytes
+from veridoc.llm.common import bounded_batches, components, put_back, set_aside, sorted_groups, staged, text_bytes
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -224,14 +224,16 @@ def _named(docs: DataFrame, id_column: str, text: str, radius: int) -> DataFrame
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each component: the least id, null last, then the least digest of the text.
 
-    Of rows equal in both, the one with the least hash of its columns (maps left out) is kept.
+    Of rows equal in both, the one with the least hash of its columns is kept (a column that holds maps counts by its JSON).
+    Rows without words are linked like any others, an empty table stays empty and columns of any name are kept.
     """
     found = _named(docs, id_column, text, radius)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
     keep = found.groupBy("component").agg(F.min(first).alias("_m")).select(F.col("_m.doc_id").alias("_kept_id"), F.col("_m.digest").alias("_kept_digest"))
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_digest"))
-    kept = docs.join(keep, same, "left_semi")
-    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    alone = kept.groupBy(F.col(id_column).cast("long").alias("_i"), F.xxhash64(text).alias("_d")).agg(F.min_by(row, order).alias("_row"))
-    return alone.select("_row.*")
+    rows, moved = set_aside(docs, ("_kept_id", "_kept_digest"))
+    id_of, digest = F.col(moved.get(id_column, id_column)).cast("long"), F.xxhash64(moved.get(text, text))
+    kept = rows.join(keep, id_of.eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest")), "left_semi")
+    order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes])
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    alone = kept.groupBy(id_of.alias("_i"), digest.alias("_d")).agg(F.min_by(row, order).alias("_row"))
+    return put_back(alone.select("_row.*"), moved)
