@@ -13,7 +13,8 @@ QUICK = (
     "register_dispositions", "verified_stage", "activation_check", "run_summary", "case_lines", "call_audit_stream", "plan_totals",
     "plan_missing", "rule_duplicates", "schedule_overlap_clock", "narrowest_cover", "row_slot_conflicts", "completion_audit", "judge_audit",
     "keyword_eligible", "vector_eligible", "hybrid_eligible", "ingest_chunks", "chunk_status", "cross_version_conflicts", "plan_time_warnings", "activation_pointer",
-    "recall_mrr", "coverage_d1_d2", "nearest_miss", "qa_gate", "leak_windows", "case_set_problems",
+    "recall_mrr", "coverage_d1_d2", "nearest_miss", "qa_gate", "leak_windows", "case_set_problems", "case_files", "manifest_check",
+    "keyword_bounded_topk",
 )
 NAMES = list(CATALOGUE) if os.environ.get("ALL_QUERIES") else list(QUICK)
 
@@ -34,7 +35,7 @@ def test_query(spark, duck, name):
 
 
 PLANS = (
-    "keyword_bm25_topk", "vector_topk_filtered", "vector_eligible", "hybrid_eligible", "plan_assembly", "plan_time_warnings", "narrowest_cover", "nearest_miss",
+    "keyword_bm25_topk", "keyword_bounded_topk", "vector_topk_filtered", "vector_eligible", "hybrid_eligible", "plan_assembly", "plan_time_warnings", "narrowest_cover", "nearest_miss",
     "eligible_chunks", "gold_sources", "conflict_summary", "citation_remap", "timetable_conflicts",
 )
 
