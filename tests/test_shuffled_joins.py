@@ -52,3 +52,11 @@ def test_chunks_meet_their_document_without_shuffle(spark):
     assert exchanges(chunks) == 0
     assert sorted((r.doc_id, r.text) for r in chunks.collect()) == [(1, "one. two."), (1, "three.")]
     assert chunks.select("chunk_id").distinct().count() == 2
+
+
+def test_query_plans_are_not_broadcast(spark):
+    """A plan grows with the queries, and so do its sizes per conjunct; few input bytes do not make it small."""
+    queries = spark.range(3).select("id", F.lit("alpha beta-gamma").alias("text"))
+    plan = keyword.match_plan(queries, "id", "text")
+    assert not list(broadcast_subtrees(plan))
+    assert plan.where("mode = 'and'").count() == 9

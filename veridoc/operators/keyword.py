@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
+from veridoc.session import shuffled
 from veridoc.sources.buckets import Change, create_store, current_state, read_keys, read_table, replace_documents
 
 # --- fixed values -----------------------------------------------------------
@@ -197,7 +198,7 @@ def match_plan(
     rows = rows.withColumn("token", tx.fold_accents(F.col("token")))
     distinct = rows.groupBy("query_id", "mode", "conj", "token").agg(F.count(F.lit(1)).alias("mult"))
     size = distinct.groupBy("query_id", "mode", "conj").agg(F.count(F.lit(1)).alias("conj_size"))
-    return distinct.join(size, ["query_id", "mode", "conj"])
+    return distinct.join(shuffled(size), ["query_id", "mode", "conj"])
 
 
 def query_status(
@@ -231,7 +232,9 @@ def keyword_matches(index: Index, plan: DataFrame, allowed: DataFrame | None = N
     """
     postings, n, avgdl = _wanted(index, plan.select(F.col("token").alias("term")).distinct(), allowed)
     weighted = postings.withColumn("w", _weight(n, avgdl))
-    hits = plan.withColumnRenamed("token", "term").join(weighted, "term")
+    # words that no row holds find nothing; the rest of the plan grows with the queries and meets the postings by shuffle
+    known = shuffled(plan.withColumnRenamed("token", "term")).join(index.terms.select("term"), "term", "left_semi")
+    hits = shuffled(known).join(weighted, "term")
     per_conj = hits.groupBy("query_id", "id", "mode", "conj", "conj_size").agg(
         F.count(F.lit(1)).alias("found"), F.sum(F.col("w") * F.col("mult")).alias("s")
     )
@@ -244,7 +247,7 @@ def keyword_matches(index: Index, plan: DataFrame, allowed: DataFrame | None = N
     ).where(F.col("is_and") | F.col("is_or"))
     with_and = per_doc.where("is_and").select("query_id").distinct().withColumn("has_and", F.lit(True))
     return (
-        per_doc.join(with_and, "query_id", "left")
+        per_doc.join(shuffled(with_and), "query_id", "left")
         .where(F.col("is_and") | (F.col("has_and").isNull() & F.col("is_or")))
         .select(
             "query_id", "id", F.round("raw", RANK_SCALE).alias("score"),
