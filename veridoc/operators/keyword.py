@@ -98,7 +98,8 @@ def save_index(tokens: DataFrame, path: str) -> Index:
     """Tokenise once and store the index, postings clustered by term; counts are taken from what is stored."""
     spark = tokens.sparkSession
     tokens.select("id", "dl").write.parquet(f"{path}/lengths")
-    build_postings(tokens).repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    # dealt out by term first, counted rows of one id merge where they lie: the postings are shuffled once
+    merged_postings(row_postings(tokens).repartition("term")).sortWithinPartitions("term").write.parquet(f"{path}/postings")
     term_stats(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
     index_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/totals")
     return load_index(spark, path)
