@@ -60,7 +60,7 @@ def match_normalise(t: Tables) -> DataFrame:
 def markdown_docs(t: Tables) -> DataFrame:
     """Plain documents plus one structured text per customer (headings, a table, a skipped level)."""
     nl = F.lit("\n")
-    sheet = t.customer.select(
+    sheet = t.wide("customer").select(
         (F.lit(10_000_000_000) + F.col("c_custkey")).alias("doc_id"),
         F.concat(
             F.lit("# "), "c_name", nl, F.lit("Segment "), "c_mktsegment", nl, F.lit("  nation  "),
