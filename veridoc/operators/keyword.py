@@ -1,10 +1,11 @@
 """Keyword index and BM25 retrieval for whole batches of queries.
 
-The corpus is tokenised once and stored as postings clustered by term with their document
-frequencies and two totals. A batch of queries reads the postings of its terms, restricted to the
-ids it may return while the statistics stay those of the whole index. The per-query top-k is cut
-inside every map task before the final exchange, so a query that matches a third of the corpus
-never sends more than k rows per task.
+The corpus is tokenised once and stored by row, each with its counted words, beside document
+frequencies and two totals; nothing is shuffled for that. A batch of queries reads the postings of its
+terms, restricted to the ids it may return while the statistics stay those of the whole index. Matching
+postings are dealt out by row, so that the scores of a row are summed where they lie and the pairs of queries
+and rows are never sent. The per-query top-k is cut inside every task before the final exchange, so a query that
+matches a third of the corpus never sends more than k rows per task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
-from veridoc.session import shuffled
+from veridoc.session import computed, few, shuffled
 from veridoc.sources.buckets import Change, create_store, current_state, read_keys, read_table, replace_documents
 
 # --- fixed values -----------------------------------------------------------
@@ -35,9 +36,7 @@ def tokenised(docs: DataFrame, id_col: str, text_cols: list[str], cjk: bool = Tr
         grams = tx.cjk_bigram_list(tx.norm_search(body, compose=False))
         parts.append(F.when(body.rlike("[" + tx.CJK + "]"), grams).otherwise(F.array().cast("array<string>")))
     tokens = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).withColumn(
-        "dl", F.size("tokens")
-    )
+    return computed(docs, "tokens", tokens, F.col(id_col).alias("id")).withColumn("dl", F.size("tokens"))
 
 
 def word_counts(tokens: Column) -> Column:
@@ -54,7 +53,16 @@ def word_counts(tokens: Column) -> Column:
 
 def row_postings(tokens: DataFrame) -> DataFrame:
     """(term, id, tf, dl): one row per word of each row; for tokens whose ids do not repeat, these are the postings."""
-    return tokens.select("id", "dl", F.inline(word_counts(F.col("tokens")))).select("term", "id", "tf", "dl")
+    return _row_words(counted_rows(tokens))
+
+
+def counted_rows(tokens: DataFrame) -> DataFrame:
+    """(id, dl, words): every row with its distinct words and their counts."""
+    return computed(tokens, "words", word_counts(F.col("tokens")), "id", "dl")
+
+
+def _row_words(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "dl", F.inline("words")).select("term", "id", "tf", "dl")
 
 
 def merged_postings(counted: DataFrame) -> DataFrame:
@@ -95,18 +103,30 @@ def build_index(tokens: DataFrame) -> Index:
 
 
 def save_index(tokens: DataFrame, path: str) -> Index:
-    """Tokenise once and store the index, postings clustered by term; counts are taken from what is stored."""
+    """Tokenise once and store the index by row; counts are taken from what is stored."""
     spark = tokens.sparkSession
-    tokens.select("id", "dl").write.parquet(f"{path}/lengths")
-    # dealt out by term first, counted rows of one id merge where they lie: the postings are shuffled once
-    merged_postings(row_postings(tokens).repartition("term")).sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    term_stats(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
-    index_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/totals")
+    counted_rows(tokens).write.parquet(f"{path}/rows/part=0")
+    rows = spark.read.parquet(f"{path}/rows/part=0")
+    index_stats(rows).write.parquet(f"{path}/totals")
+    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    if not repeated.isEmpty():
+        # rows of one id are merged, and those of all other ids kept, as a second part that replaces the first
+        counted = merged_postings(_row_words(rows.join(shuffled(repeated), rows["id"].eqNullSafe(repeated["id"]), "left_semi")))
+        merged = counted.groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("words"))
+        single = rows.join(shuffled(repeated), rows["id"].eqNullSafe(repeated["id"]), "left_anti")
+        single.unionByName(merged).write.parquet(f"{path}/rows/part=1")
+    term_stats(_stored_postings(spark, path)).write.parquet(f"{path}/terms")
     return load_index(spark, path)
 
 
+def _stored_postings(spark: SparkSession, path: str) -> DataFrame:
+    parts = spark.read.parquet(f"{path}/rows")
+    newest = parts.agg(F.max("part")).first()[0]
+    return _row_words(parts.where(F.col("part") == newest).drop("part"))
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+    return Index(_stored_postings(spark, path), *(spark.read.parquet(f"{path}/{name}") for name in ("terms", "totals")))
 
 
 def create_live_index(tokens: DataFrame, store: str, buckets: int) -> Index:
@@ -263,9 +283,14 @@ def bm25_scores(index: Index, query_tokens: DataFrame, allowed: DataFrame | None
     ``allowed`` (id) restricts what may be returned; the statistics stay those of the whole index.
     """
     q = query_tokens.groupBy("query_id", F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("mult"))
-    postings, n, avgdl = _wanted(index, q.select("term").distinct(), allowed)
+    totals = index.totals.select(F.struct("n", "avgdl").alias("s")).scalar()
+    terms = few(index.terms.join(shuffled(q.select("term").distinct()), "term", "left_semi"))
+    # the weights of a row are dealt out together: joins and sums below need no further exchange where the queries are few
+    dealt = index.postings.join(terms, "term").select("id", "term", _weight(totals["n"], totals["avgdl"]).alias("_w")).repartition("id")
+    if allowed is not None:
+        dealt = dealt.join(shuffled(allowed.select("id").distinct()), "id", "left_semi")
     return (
-        postings.withColumn("_w", _weight(n, avgdl)).join(q, "term")
+        dealt.join(few(q), "term")
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(F.col("_w") * F.col("mult")), RANK_SCALE).alias("score"))
     )
