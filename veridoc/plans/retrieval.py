@@ -11,7 +11,7 @@ from veridoc.functions import digest as dg
 from veridoc.functions import text as tx
 from veridoc.operators import bounded, fusion, keyword, vectors
 from veridoc.plans.registry import query
-from veridoc.session import Tables, checkpoint_root
+from veridoc.session import Tables, checkpoint_root, few, stored
 
 DIM = 64
 INDEXED = ["text", "lang", "source"]
@@ -130,20 +130,27 @@ def vector_top(t: Tables, allowed: DataFrame | None = None) -> DataFrame:
 
 
 def fused(t: Tables, limit: int | None = None) -> DataFrame:
-    return fusion.rrf(vector_top(t), keyword_top(t), limit=limit)
+    """Ranked once and stored, a few rows a query, for all joins that read them."""
+    ranked = stored(fusion.rrf(vector_top(t), keyword_top(t)), "fused")
+    return ranked if limit is None else ranked.where(F.col("fused_rank") <= limit)
+
+
+def with_documents(t: Tables, ranked: DataFrame, *columns: str) -> DataFrame:
+    """Ranked rows with columns of their documents, null where there is none; only documents of the list are shuffled."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), *columns)
+    return ranked.join(docs.join(few(ranked.select("id").distinct()), "id", "left_semi"), "id", "left")
 
 
 def candidates(t: Tables, limit: int | None = fusion.RERANK_INPUT) -> DataFrame:
     """Fused top 20 with the candidate text a scorer sees."""
-    cand = fused(t, limit=limit)
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    cand = with_documents(t, fused(t, limit=limit), "text", "lang", "source")
     q = questions(t).withColumnRenamed("text", "query_text")
-    return cand.join(docs, "id", "left").join(q, "query_id").withColumn(
+    return stored(cand.join(q, "query_id").withColumn(
         "candidate_text",
         fusion.candidate_text(
             F.col("text"), {"doc_category": F.col("lang"), "section_title": F.col("source")}
         ),
-    )
+    ), "candidates")
 
 
 def reranked(t: Tables) -> DataFrame:
@@ -410,8 +417,7 @@ SELECT query_id, id, final_rank::INT AS final_rank, source,
 'S' || dense_rank() OVER (PARTITION BY query_id ORDER BY fa) AS label FROM first_""",
 )
 def source_labels(t: Tables) -> DataFrame:
-    src = t.documents.select(F.col("doc_id").alias("id"), "source")
-    ranked = reranked(t).join(src, "id", "left").withColumn("source", F.coalesce("source", F.lit("none")))
+    ranked = with_documents(t, reranked(t), "source").withColumn("source", F.coalesce("source", F.lit("none")))
     return fusion.source_labels(ranked, "source").select("query_id", "id", "final_rank", "source", "label")
 
 
@@ -428,8 +434,7 @@ SELECT query_id, final_rank::INT AS evidence_no,
        coalesce(length(text), 0)::INT AS n_chars, sha256(coalesce(text, '')) AS text_sha FROM lab""",
 )
 def context_rows(t: Tables) -> DataFrame:
-    src = t.documents.select(F.col("doc_id").alias("id"), "source", "lang", "text")
-    ranked = reranked(t).join(src, "id", "left").withColumn("source", F.coalesce("source", F.lit("none")))
+    ranked = with_documents(t, reranked(t), "source", "lang", "text").withColumn("source", F.coalesce("source", F.lit("none")))
     text = F.coalesce("text", F.lit(""))
     return fusion.source_labels(ranked, "source").select(
         "query_id", F.col("final_rank").alias("evidence_no"),
