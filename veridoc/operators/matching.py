@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
+from veridoc.session import computed, few, stored
 
 SHORT_GRAMS = (16, 8, 4, 2, 1)
 
@@ -56,6 +57,15 @@ def anchors(text: Column, stride: int, q: int) -> Column:
     return tx.let(pieces(text, stride), build)
 
 
+def sampled_grams(text: Column, stride: int, q: int) -> Column:
+    """The distinct grams of ``anchors`` alone."""
+    def build(ps: Column) -> Column:
+        grams = F.transform(ps, lambda p, i: F.substring(F.concat(p, F.coalesce(F.get(ps, i + 1), F.lit(""))), 1, q))
+        return F.array_distinct(F.filter(grams, lambda g: F.length(g) == q))
+
+    return tx.let(pieces(text, stride), build)
+
+
 def leaked_windows(answers: DataFrame, protected: DataFrame, width: int = 20) -> DataFrame:
     """Per answer (id, text): number of distinct protected windows it contains.
 
@@ -98,15 +108,17 @@ def containing(texts: DataFrame, needles: DataFrame, q: int = 24, stride: int =
         mine = sized.where(F.col("w") == w)
         if w:
             grams = mine.select("needle_id", F.substring("needle", 1, w).alias("gram"))
-            spots = texts.select("id", F.explode(F.array_distinct(windows(F.col("text"), w))).alias("gram"))
+            spots = computed(texts, "grams", windows(F.col("text"), w), "id").select("id", F.explode("grams").alias("gram"))
         else:
             sampled = F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda k: F.substring(F.col("needle"), k, F.lit(q)))
             grams = mine.select("needle_id", F.explode(F.array_distinct(sampled)).alias("gram"))
-            spots = texts.select("id", F.explode(anchors(F.col("text"), stride, q)).alias("a")).select("id", "a.gram").distinct()
-        found = spots.join(grams, "gram").select("id", "needle_id").distinct()
+            spots = computed(texts, "grams", sampled_grams(F.col("text"), stride, q), "id").select("id", F.explode("grams").alias("gram"))
+        found = spots.join(few(grams), "gram").select("id", "needle_id").distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
     if pairs is None:
         return texts.select("id").join(needles.select("needle_id"), F.lit(False))
+    pairs = stored(pairs, "pairs")
+    held = texts.join(few(pairs.select("id").distinct()), "id", "left_semi")
     return (
-        pairs.join(texts, "id").join(needles, "needle_id").where(F.contains("text", F.col("needle"))).select("id", "needle_id")
+        pairs.join(held, "id").join(needles, "needle_id").where(F.contains("text", F.col("needle"))).select("id", "needle_id")
     )

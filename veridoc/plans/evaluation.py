@@ -15,7 +15,7 @@ from veridoc.operators.indexstate import snapshot_diff, table_snapshot
 from veridoc.plans import grounding as gp
 from veridoc.plans import retrieval as rt
 from veridoc.plans.registry import query
-from veridoc.session import Tables
+from veridoc.session import Tables, stored
 
 VERSION = "v1"
 
@@ -49,28 +49,25 @@ def gold(t: Tables) -> DataFrame:
     needles = t.benchmark.select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
     pairs = mt.containing(docs, needles)
     src = t.documents.select(F.col("doc_id").alias("id"), "source")
-    return pairs.join(src, "id").select(
+    return stored(pairs.join(src, "id").select(
         F.col("needle_id").alias("query_id"), F.concat(F.lit("corpus/"), "source", F.lit(".txt")).alias("path")
-    ).distinct().withColumn("pos", F.col("path"))
+    ).distinct(), "gold").withColumn("pos", F.col("path"))
 
 
 def stage_ranks(t: Tables, expected: DataFrame) -> DataFrame:
     """(stage, query_id, source, rank): canonical source ranks of the four stages, one retrieval run."""
-    src = t.documents.select(
-        F.col("doc_id").alias("id"),
-        F.when(F.col("lang") == "en", F.concat(F.lit(f"{VERSION}:corpus/"), "source", F.lit(".txt"))).alias("demo_key"),
-        F.concat("source", F.lit(".txt")).alias("file_name"),
-    )
+    demo_key = F.when(F.col("lang") == "en", F.concat(F.lit(f"{VERSION}:corpus/"), "source", F.lit(".txt")))
+    file_name = F.concat("source", F.lit(".txt"))
     stages = F.array(
         F.struct(F.lit("dense").alias("stage"), F.col("dense_rank").alias("rank")),
         F.struct(F.lit("keyword").alias("stage"), F.col("keyword_rank").alias("rank")),
         F.struct(F.lit("fused").alias("stage"), F.when(F.col("fused_rank") <= 20, F.col("fused_rank")).alias("rank")),
         F.struct(F.lit("final").alias("stage"), F.when(F.col("final_rank") <= 5, F.col("final_rank")).alias("rank")),
     )
-    hits = rt.all_ranks(t).join(src, "id", "left").select(
+    hits = rt.with_documents(t, rt.all_ranks(t), "lang", "source").select(
         "query_id", F.explode(F.filter(stages, lambda x: x["rank"].isNotNull())).alias("s"),
-        F.coalesce("demo_key", F.concat(F.lit("upload:"), F.col("id").cast("string"))).alias("source_key"),
-        F.coalesce("file_name", F.lit("")).alias("file_name"),
+        F.coalesce(demo_key, F.concat(F.lit("upload:"), F.col("id").cast("string"))).alias("source_key"),
+        F.coalesce(file_name, F.lit("")).alias("file_name"),
     ).select("query_id", "s.stage", "s.rank", "source_key", "file_name")
     return ev.canonical_ranks(hits, expected, VERSION)
 
@@ -327,9 +324,8 @@ co AS (SELECT *, row_number() OVER (PARTITION BY query_id, sd, ld ORDER BY final
 
 
 def composed(t: Tables) -> DataFrame:
-    src = t.documents.select(F.col("doc_id").alias("id"), "lang")
     none = F.lit(None)
-    ranked = rt.reranked(t).join(src, "id", "left").select(
+    ranked = rt.with_documents(t, rt.reranked(t), "lang").select(
         F.col("query_id").alias("case_id"), F.col("final_rank").alias("rank"),
         F.struct(
             F.coalesce("lang", F.lit("none")).alias("path"), F.lit(1).alias("page_number"), none.cast("string").alias("sheet_name"),
