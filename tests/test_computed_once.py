@@ -72,3 +72,8 @@ def test_gram_candidates_are_counted_on_hits_only(spark):
     needles = spark.createDataFrame([(9, "a long needle that is surely over forty characters"), (8, "sho"), (7, "")], "needle_id long, needle string")
     found = matching.containing(texts, needles)
     assert sorted(map(tuple, found.collect())) == [(1, 9), (2, 8)]
+
+
+def test_warnings_are_made_once_for_their_evidence(spark):
+    plan = runner("plan_warning_evidence")(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan
