@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.session import checkpoint_root
+from veridoc.session import FEW_ROWS, checkpoint_root, shuffled
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
@@ -106,6 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: every round is two grouped minima and their joins, staged in
     the shared folder. Minima are combined before the shuffle and the joins may be split by adaptive
     execution, so the centre of a large star is no bottleneck. Nodes without an edge don't appear.
+    Minima, at most two for each edge counted, are broadcast only where these are few.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
@@ -114,13 +115,14 @@ def components(edges: DataFrame) -> DataFrame:
     current = staged(edges.filter(both_ways).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     mark = state(current)
     while mark[0]:
+        minima = F.broadcast if 2 * mark[0] <= FEW_ROWS else shuffled
         ends = current.select(F.explode(F.array(
             F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )).alias("e")).select("e.*")
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ends.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = ends.filter("v > u").join(minima(least), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         floor = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        pairs = large.join(floor, "hi")
+        pairs = large.join(minima(floor), "hi")
         small = (
             pairs.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .unionByName(floor.select("hi", F.col("m").alias("lo"))).distinct()

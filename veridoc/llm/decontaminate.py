@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from veridoc.functions.text import let
 from veridoc.llm.common import put_back, set_aside, staged
+from veridoc.session import shuffled
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -157,8 +158,7 @@ def leaks(
     probes = printed.select("*", F.explode(block_keys("fp", 0)).alias("b")).select("*", "b.*").drop("b")
     keyed = items.select("item_key", "n", "item_fp", F.explode(block_keys("item_fp", radius // BLOCKS)).alias("b"))
     index = staged(keyed.select("item_key", "n", "item_fp", "b.*"))
-    if index.count() <= BROADCAST_ROWS:
-        index = F.broadcast(index)
+    index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else shuffled(index)
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = probes.join(index, ["n", "block", "value"]).filter(differ <= radius)
     met = near.groupBy("doc_id", "digest", "start", "item_key").agg(F.first("window").alias("window"), F.first("width").alias("width"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import bounded_batches, components, put_back, set_aside, sorted_groups, staged, text_bytes
+from veridoc.session import shuffled
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -178,7 +179,9 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     ``classes`` has one row per different fingerprint ``fp``. A key with two members is settled by its
     least and greatest member. The members of any larger key are dealt into blocks of about ``block``
     by hash and each pair of blocks is one group, so that no task holds a large key and none emits
-    its pairs: a group gives a spanning forest of its links.
+    its pairs: a group gives a spanning forest of its links. The planner takes the keys, of which a
+    fingerprint has over a hundred, to be as many as the classes, so their join is marked as one of
+    two large sides.
     """
     if radius > RADIUS:
         raise ValueError(f"the keys cover a radius of {RADIUS}")
@@ -189,7 +192,7 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     dealt = (
-        keys.join(met.filter("n > 2").select("key", "n"), "key").withColumn("g", blocks).withColumn("own", own)
+        keys.join(shuffled(met.filter("n > 2").select("key", "n")), "key").withColumn("g", blocks).withColumn("own", own)
         .select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     )
@@ -214,11 +217,11 @@ def _named(docs: DataFrame, id_column: str, text: str, radius: int) -> DataFrame
     prints = staged(fingerprints(docs, id_column, text))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     grouped = staged(components(links(classes, radius)))
-    linked = grouped.join(classes.withColumnRenamed("fp", "node"), "node")
+    linked = grouped.join(shuffled(classes.withColumnRenamed("fp", "node")), "node")
     named = linked.groupBy("component").agg(F.min("least").alias("reach"))
-    reach = grouped.join(named, "component").select(F.col("node").alias("fp"), "component", "reach")
-    ids = classes.join(reach, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("reach", "least").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "digest", "fp", "component_id", "component")
+    reach = grouped.join(shuffled(named), "component").select(F.col("node").alias("fp"), "component", "reach")
+    ids = classes.join(shuffled(reach), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("reach", "least").alias("component_id"))
+    return prints.join(shuffled(ids), "fp").select("doc_id", "digest", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -232,7 +235,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     keep = found.groupBy("component").agg(F.min(first).alias("_m")).select(F.col("_m.doc_id").alias("_kept_id"), F.col("_m.digest").alias("_kept_digest"))
     rows, moved = set_aside(docs, ("_kept_id", "_kept_digest"))
     id_of, digest = F.col(moved.get(id_column, id_column)).cast("long"), F.xxhash64(moved.get(text, text))
-    kept = rows.join(keep, id_of.eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest")), "left_semi")
+    kept = rows.join(shuffled(keep), id_of.eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest")), "left_semi")
     order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes])
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     alone = kept.groupBy(id_of.alias("_i"), digest.alias("_d")).agg(F.min_by(row, order).alias("_row"))
