@@ -44,3 +44,13 @@ def test_windows_are_not_broadcast_to_a_large_index(spark, documents, prose, mon
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [tree for tree in broadcast_subtrees(found) if "block" in tree], plan
     assert [(r.doc_id, r.item_id) for r in found.select(F.col("doc_id"), "item_id").collect()] == [(1, 1)]
+
+
+def test_near_dedup_stage_of_the_pipeline_broadcasts_nothing(spark, documents, prose):
+    import corpus_pipeline
+
+    text = prose(40)
+    docs = documents([(5, text, "en", "a"), (4, text, "en", "a"), (6, prose(40), "en", "b")])
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert not list(broadcast_subtrees(kept))
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 6]
