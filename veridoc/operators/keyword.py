@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as tx
-from veridoc.session import computed, few, shuffled
+from veridoc.session import computed, few, shuffled, stored
 from veridoc.sources.buckets import Change, create_store, current_state, read_keys, read_table, replace_documents
 
 # --- fixed values -----------------------------------------------------------
@@ -164,15 +164,6 @@ def update_live_index(store: str, tokens: DataFrame, gone: DataFrame) -> dict[st
     ], since)
 
 
-def _wanted(index: Index, terms: DataFrame, allowed: DataFrame | None) -> tuple[DataFrame, Column, Column]:
-    """Postings of the wanted terms and allowed ids with df, and the totals of the whole index as scalars."""
-    totals = index.totals.select(F.struct("n", "avgdl").alias("s")).scalar()
-    found = index.postings.join(index.terms.join(terms, "term", "left_semi"), "term")
-    if allowed is not None:
-        found = found.join(allowed.select("id").distinct(), "id", "left_semi")
-    return found, totals["n"], totals["avgdl"]
-
-
 def match_plan(
     queries: DataFrame, id_col: str, text_col: str, compose: bool = False, max_terms: int | None = None, max_chars: int | None = None
 ) -> DataFrame:
@@ -251,21 +242,7 @@ def keyword_matches(index: Index, plan: DataFrame, allowed: DataFrame | None = N
     ``allowed`` (id) restricts what may be returned; weights keep the statistics of the whole index,
     and whether a query has AND hits is decided among the allowed rows.
     """
-    postings, n, avgdl = _wanted(index, plan.select(F.col("token").alias("term")).distinct(), allowed)
-    weighted = postings.withColumn("w", _weight(n, avgdl))
-    # words that no row holds find nothing; the rest of the plan grows with the queries and meets the postings by shuffle
-    known = shuffled(plan.withColumnRenamed("token", "term")).join(index.terms.select("term"), "term", "left_semi")
-    hits = shuffled(known).join(weighted, "term")
-    per_conj = hits.groupBy("query_id", "id", "mode", "conj", "conj_size").agg(
-        F.count(F.lit(1)).alias("found"), F.sum(F.col("w") * F.col("mult")).alias("s")
-    )
-    complete = F.col("found") == F.col("conj_size")
-    # every phrase of the expression occurs exactly once on the OR side: its sum is the score
-    per_doc = per_conj.groupBy("query_id", "id").agg(
-        F.sum(F.when(F.col("mode") == "or", F.col("s")).otherwise(0.0)).alias("raw"),
-        F.max((F.col("mode") == "and") & complete).alias("is_and"),
-        F.max((F.col("mode") == "or") & complete).alias("is_or"),
-    ).where(F.col("is_and") | F.col("is_or"))
+    per_doc = _judged(index, plan, allowed)
     with_and = per_doc.where("is_and").select("query_id").distinct().withColumn("has_and", F.lit(True))
     return (
         per_doc.join(shuffled(with_and), "query_id", "left")
@@ -277,6 +254,54 @@ def keyword_matches(index: Index, plan: DataFrame, allowed: DataFrame | None = N
     )
 
 
+def best_matches(index: Index, plan: DataFrame, k: int = KEYWORD_TOP_K, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank, mode): the best ``k`` of ``keyword_matches``, score descending, id ascending.
+
+    AND hits stand before all others, so a query's first ``k`` rows tell whether it has any: the pairs of queries and rows are
+    cut inside the tasks and none is sent to learn that.
+    """
+    query = Window.partitionBy("query_id")
+    scored = _judged(index, plan, allowed).withColumn("score", F.round("raw", RANK_SCALE))
+    ranked = scored.withColumn("rank", F.row_number().over(query.orderBy(F.col("is_and").desc(), F.col("score").desc(), F.col("id"))))
+    first = ranked.where(F.col("rank") <= k).withColumn("has_and", F.max("is_and").over(query))
+    mode = F.when(F.col("has_and"), F.lit("and")).otherwise(F.lit("or"))
+    return first.where(F.col("is_and") | ~F.col("has_and")).select("query_id", "id", "score", "rank", mode.alias("mode"))
+
+
+PAIRS_A_TASK = 8_000_000  # matches that a task sums, two groups of some 60 bytes for each row it holds at most
+
+
+def _judged(index: Index, plan: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """(query_id, id, raw, is_and, is_or): every row that meets an expression of a query.
+
+    The weights of a row are dealt out together, to as many tasks as their counted matches ask for. Where the plan is small
+    it goes to all of them, and pairs of queries and rows are summed where they lie.
+    """
+    spark = plan.sparkSession
+    totals = index.totals.select(F.struct("n", "avgdl").alias("s")).scalar()
+    # words that no row holds find nothing; the rest of the plan grows with the queries and meets the terms by shuffle
+    known = stored(shuffled(plan.withColumnRenamed("token", "term")).join(index.terms.select("term", "df"), "term"), "plan")
+    matches = known.agg(F.sum("df")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-matches // PAIRS_A_TASK))
+    weighted = index.postings.join(few(known.select("term", "df").distinct()), "term").select("id", "term", _weight(totals["n"], totals["avgdl"]).alias("w"))
+    dealt = weighted.repartition(parts, "id")
+    if allowed is not None:
+        dealt = dealt.join(shuffled(allowed.select("id").distinct()), "id", "left_semi")
+    # an OR piece of one word is complete with it: all such pieces of a query are one group
+    single = (F.col("mode") == "or") & (F.col("conj_size") == 1)
+    asked = known.drop("df").withColumn("conj", F.when(single, F.lit(-1)).otherwise(F.col("conj")))
+    per_conj = dealt.join(few(asked), "term").groupBy("query_id", "id", "mode", "conj", "conj_size").agg(
+        F.count(F.lit(1)).alias("found"), F.sum(F.col("w") * F.col("mult")).alias("s")
+    )
+    complete = F.col("found") >= F.col("conj_size")
+    # every phrase of the expression occurs exactly once on the OR side: its sum is the score
+    return per_conj.groupBy("query_id", "id").agg(
+        F.sum(F.when(F.col("mode") == "or", F.col("s")).otherwise(0.0)).alias("raw"),
+        F.max((F.col("mode") == "and") & complete).alias("is_and"),
+        F.max((F.col("mode") == "or") & complete).alias("is_or"),
+    ).where(F.col("is_and") | F.col("is_or"))
+
+
 def bm25_scores(index: Index, query_tokens: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) for any shared token; ``query_tokens`` is (query_id, token), repeats count.
 

@@ -11,7 +11,7 @@ from veridoc.functions import digest as dg
 from veridoc.functions import text as tx
 from veridoc.operators import bounded, fusion, keyword, vectors
 from veridoc.plans.registry import query
-from veridoc.session import Tables, checkpoint_root, few, stored
+from veridoc.session import Tables, checkpoint_root, few, shuffled, stored
 
 DIM = 64
 INDEXED = ["text", "lang", "source"]
@@ -259,11 +259,13 @@ def keyword_and_or_fallback(t: Tables) -> DataFrame:
             F.concat_ws(" ", "p_name", "p_type").alias("text"),
         )
     )
-    plan = keyword.match_plan(qs, "query_id", "text")
-    hits = keyword.keyword_matches(stored_index(t), plan)
-    return keyword.top_k(hits, extra=("mode",)).select(
-        "query_id", "id", F.round("score", 6).alias("score"), "rank", "mode"
-    )
+    # equal questions have equal answers: each text is searched once, for the least id that asks it
+    asked = qs.groupBy("query_id").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    texts = asked.groupBy("texts").agg(F.min("query_id").alias("first"))
+    searched = qs.join(shuffled(texts.select(F.col("first").alias("query_id"))), "query_id", "left_semi")
+    plan = keyword.match_plan(searched, "query_id", "text")
+    found = stored(keyword.best_matches(stored_index(t), plan).withColumnRenamed("query_id", "first"), "found")
+    return asked.join(few(texts), "texts").join(few(found), "first").select("query_id", "id", F.round("score", 6).alias("score"), "rank", "mode")
 
 
 @query(
