@@ -129,11 +129,19 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(_stored_postings(spark, path), *(spark.read.parquet(f"{path}/{name}") for name in ("terms", "totals")))
 
 
+def _counted_once(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, id, tf, dl) and lengths (id, dl) of rows that are tokenised and stored once; rows of one id are merged."""
+    rows = stored(counted_rows(tokens), "counted")
+    postings = _row_words(rows)
+    repeated = not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return merged_postings(postings) if repeated else postings, rows.select("id", "dl")
+
+
 def create_live_index(tokens: DataFrame, store: str, buckets: int) -> Index:
     """An index that follows its documents: postings and lengths lie in buckets by document, counts in buckets by term."""
     spark = tokens.sparkSession
-    postings = build_postings(tokens)
-    tables = {"postings": (postings, "id"), "lengths": (tokens.select("id", "dl"), "id"), "terms": (term_stats(postings), "term")}
+    postings, lengths = _counted_once(tokens)
+    tables = {"postings": (postings, "id"), "lengths": (lengths, "id"), "terms": (term_stats(postings), "term")}
     create_store(spark, store, tables, buckets)
     return load_live_index(spark, store)
 
@@ -151,15 +159,15 @@ def update_live_index(store: str, tokens: DataFrame, gone: DataFrame) -> dict[st
     """
     spark = tokens.sparkSession
     since = current_state(spark, store)[0]
-    ids = tokens.select("id").unionByName(gone.select("id")).distinct()
-    postings = build_postings(tokens)
+    postings, lengths = _counted_once(tokens)
+    ids = lengths.select("id").unionByName(gone.select("id")).distinct()
     old = read_keys(spark, store, "postings", ids)
     steps = old.select("term", F.lit(-1).alias("step")).unionByName(postings.select("term", F.lit(1).alias("step")))
     moved = steps.groupBy("term").agg(F.sum("step").alias("step")).filter("step <> 0")
     known = read_keys(spark, store, "terms", moved)
     counts = moved.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("step")).alias("df"))
     return replace_documents(spark, store, [
-        Change("postings", postings, ids, True), Change("lengths", tokens.select("id", "dl"), ids, True),
+        Change("postings", postings, ids, True), Change("lengths", lengths, ids, True),
         Change("terms", counts.filter("df > 0"), moved.select("term"), True),
     ], since)
 
